@@ -99,12 +99,17 @@ def format_duration(seconds: Column | str) -> Column:
     return F.format_string("%d:%02d:%02d", int_div(total, 3600), int_div(total, 60) % 60, total % 60)
 
 
+def _fixed(value: Column, digits: int, unit: str) -> Column:
+    """Fixed-point text; ties go to the even digit, where ``format_string`` alone would round them up."""
+    return F.format_string(f"%.{digits}f {unit}", F.bround(value, digits))
+
+
 def format_bitrate(bps: Column | str) -> Column:
     bps = _col(bps).cast("double")
     return (
-        F.when(bps >= 1e6, F.format_string("%.1f Mb/s", bps / 1e6))
-        .when(bps >= 1e3, F.format_string("%.0f kb/s", bps / 1e3))
-        .otherwise(F.format_string("%.0f b/s", bps))
+        F.when(bps >= 1e6, _fixed(bps / 1e6, 1, "Mb/s"))
+        .when(bps >= 1e3, _fixed(bps / 1e3, 0, "kb/s"))
+        .otherwise(_fixed(bps, 0, "b/s"))
     )
 
 
@@ -113,9 +118,9 @@ def format_bytes(size: Column | str) -> Column:
     size = _big(size)
     return (
         F.when(size < 1024, F.format_string("%d o", size))
-        .when(size < 1024**2, F.format_string("%.1f Kio", size / 1024.0))
-        .when(size < 1024**3, F.format_string("%.1f Mio", size / 1024.0**2))
-        .otherwise(F.format_string("%.1f Gio", size / 1024.0**3))
+        .when(size < 1024**2, _fixed(size / 1024.0, 1, "Kio"))
+        .when(size < 1024**3, _fixed(size / 1024.0**2, 1, "Mio"))
+        .otherwise(_fixed(size / 1024.0**3, 1, "Gio"))
     )
 
 

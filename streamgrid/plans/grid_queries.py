@@ -9,8 +9,8 @@ from streamgrid.operators import align, audit, grid, origin
 from streamgrid.operators.joins import lookup_join
 from streamgrid.plans.inputs import (
     DAY,
+    FINE,
     HOUR,
-    MINUTE,
     events,
     sql_fill,
     sql_observations,
@@ -21,7 +21,6 @@ from streamgrid.plans.inputs import (
 from streamgrid.plans.registry import query
 from streamgrid.plans.regularise import anchored, regularise, slotted
 
-FINE = 10 * MINUTE
 SQL_USER = "CAST(user_id AS VARCHAR)"
 
 

@@ -10,6 +10,7 @@ from streamgrid.sources.observations import micros, read_chunks, read_observatio
 HOUR = 3_600_000_000
 MINUTE = 60_000_000
 DAY = 24 * HOUR
+FINE = 10 * MINUTE
 
 # Stand-ins for columns ``events`` lacks, written the same way in both dialects.
 ARRIVAL_DELAY_US = "((event_id * 7919) % 7200) * 1000000"
