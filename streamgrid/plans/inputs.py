@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from streamgrid.sources.observations import micros, read_chunks, read_observations
 
@@ -21,9 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str, where: Column | None = None, session: str = "'all'") -> DataFrame:
-    """Events as observations, one stream per event type; ``session`` is an SQL expression."""
-    mapping = {
+def _event_mapping(session: str) -> dict[str, Column]:
+    return {
         "session_id": F.expr(session),
         "stream_id": F.col("event_type"),
         "seq": F.col("event_id"),
@@ -32,7 +32,26 @@ def events(spark: SparkSession, sf_dir: str, where: Column | None = None, sessio
         "arrival_us": micros("ts") + F.expr(ARRIVAL_DELAY_US),
         "value": F.col("value"),
     }
-    return read_observations(spark, f"{sf_dir}/events.parquet", mapping, where=where)
+
+
+def events(spark: SparkSession, sf_dir: str, where: Column | None = None, session: str = "'all'") -> DataFrame:
+    """Events as observations, one stream per event type; ``session`` is an SQL expression."""
+    return read_observations(spark, f"{sf_dir}/events.parquet", _event_mapping(session), where=where)
+
+
+EVENTS_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()),
+    T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("user_id", T.LongType()),
+    T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()),
+    T.StructField("props", T.StringType()),
+])
+
+
+def events_stream(spark: SparkSession, sf_dir: str, session: str = "'all'", pattern: str = "events*.parquet") -> DataFrame:
+    """The same rows as a stream of files."""
+    return read_observations(spark, f"{sf_dir}/{pattern}", _event_mapping(session), stream_schema=EVENTS_SCHEMA)
 
 
 USER_SESSION = "CAST(user_id AS STRING)"
