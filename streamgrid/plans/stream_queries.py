@@ -77,7 +77,7 @@ def stream_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_barrier", f"""WITH {sql_observations('CAST(user_id AS VARCHAR)')},
 f AS (SELECT session_id, stream_id, min(us) AS f FROM obs GROUP BY ALL),
 e AS (SELECT session_id, min(f) AS e, count(*) AS n, max((SELECT max(us) FROM obs)) AS mark FROM f GROUP BY session_id)
-SELECT session_id, max(f) AS t0, count(*) AS streams, max(n) < 5 AS timed_out FROM f JOIN e USING (session_id)
+SELECT session_id, max(f) AS t0, count(*) AS streams, max(n) < 5 OR count(*) < max(n) AS timed_out FROM f JOIN e USING (session_id)
 WHERE f <= e + {2 * DAY} GROUP BY session_id HAVING max(n) = 5 OR max(e) + {2 * DAY} < max(mark)""")
 def stream_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Origins of user sessions: all five streams, or those within two days of the earliest."""

@@ -165,7 +165,8 @@ class BarrierProcessor(StatefulProcessor):
         self.firsts.clear()
         self.summary.update((True, len(known), min(known)))
         columns = ["session_id", "t0", "streams", "timed_out"]
-        return pd.DataFrame([(*key, max(in_time), len(in_time), timed_out)], columns=columns)
+        without_some = timed_out or len(in_time) < len(known)
+        return pd.DataFrame([(*key, max(in_time), len(in_time), without_some)], columns=columns)
 
     def close(self) -> None:
         pass
