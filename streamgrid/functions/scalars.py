@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,7 +56,21 @@ def deadline_of(
 def rescale_ts(
     ts: Column | str, from_num: Column | int, from_den: Column | int, to_num: Column | int, to_den: Column | int
 ) -> Column:
-    """Convert a tick count between rational time bases ``num/den``; DECIMAL inside, so nothing overflows."""
+    """Convert a tick count between rational time bases ``num/den``, nearest tick.
+
+    Constant time bases are reduced first and applied to quotient and remainder, which stays in BIGINT; time
+    bases given as columns use DECIMAL, so nothing overflows either way.
+    """
+    parts = (from_num, from_den, to_num, to_den)
+    if all(isinstance(p, int) for p in parts):
+        ratio = Fraction(from_num * to_den, from_den * to_num)
+        if ratio.numerator * ratio.denominator < 2**62:
+            ticks, d = _big(ts), ratio.denominator
+            if d == 1:
+                return ticks * ratio.numerator
+            whole = int_div(ticks, F.lit(d).cast("bigint"))
+            rest = ticks - whole * d
+            return whole * ratio.numerator + div_round(rest * ratio.numerator, d)
     wide = _col(ts).cast("decimal(19,0)")
     n = (wide * (_big(from_num) * _big(to_den)).cast("decimal(18,0)")).cast("decimal(38,0)")
     d = (_big(from_den) * _big(to_num)).cast("decimal(18,0)")

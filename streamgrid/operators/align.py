@@ -11,16 +11,26 @@ from streamgrid.operators.ordered import Ordered, last_value, ordered
 
 
 def asof_latest(
-    left: DataFrame, right: DataFrame, value: str = "value", key: str = "session_id", hot_rows: int | None = None
+    left: DataFrame,
+    right: DataFrame,
+    value: str = "value",
+    key: str = "session_id",
+    hot_rows: int | None = None,
+    rows_bound: int | None = None,
 ) -> DataFrame:
     """At every update of either side, the latest known value of both.
 
-    Updates at the same time are ordered left before right, then by ``seq``.
+    Updates at the same time are ordered left before right, then by ``seq``. ``rows_bound`` is a known bound of
+    the updates per key; it spares counting them, which matters when the sides are costly to compute.
     """
-    return _asof(left, right, value, key, hot_rows).result()
+    return asof_scan(left, right, value, key, hot_rows, rows_bound).result()
 
 
-def _asof(left: DataFrame, right: DataFrame, value: str, key: str, hot_rows: int | None) -> Ordered:
+def asof_scan(
+    left: DataFrame, right: DataFrame, value: str, key: str, hot_rows: int | None = None, rows_bound: int | None = None
+) -> Ordered:
+    """The ordered frame behind ``asof_latest``, for callers that go on scanning in the same order."""
+
     def side(df: DataFrame, number: int) -> DataFrame:
         null = F.lit(None).cast(df.schema[value].dataType)
         own, other = ("left_value", "right_value") if number == 0 else ("right_value", "left_value")
@@ -28,7 +38,7 @@ def _asof(left: DataFrame, right: DataFrame, value: str, key: str, hot_rows: int
         return df.select(key, "us", F.lit(number).alias("side"), "seq", columns["left_value"], columns["right_value"])
 
     both = side(left, 0).unionByName(side(right, 1))
-    rows = ordered(both, [key], ["us", "side", "seq"], hot_rows=hot_rows)
+    rows = ordered(both, [key], ["us", "side", "seq"], hot_rows=hot_rows, rows_bound=rows_bound)
     return rows.scan(latest_left=last_value("left_value"), latest_right=last_value("right_value"))
 
 

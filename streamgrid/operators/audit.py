@@ -18,12 +18,15 @@ def start_check(df: DataFrame, first: str, lowest: int, highest: int) -> DataFra
     )
 
 
-def grid_check(slots: DataFrame, at_us: Column, period_us: int, tol_us: int) -> DataFrame:
+def grid_check(
+    slots: DataFrame, at_us: Column, period_us: int, tol_us: int, slot_bound: int | None = None
+) -> DataFrame:
     """Intervals between consecutive slots that differ from the period by ``tol_us`` or more.
 
     ``slots`` has one row per slot, so slot ranges bound the parts.
     """
-    rows = ordered(slots.withColumn("_at", at_us), STREAM_KEYS, ["slot"], part=floor_div("slot", PART_SLOTS))
+    part = floor_div("slot", PART_SLOTS)
+    rows = ordered(slots.withColumn("_at", at_us), STREAM_KEYS, ["slot"], part=part, rows_bound=slot_bound)
     rows = rows.scan(_previous=lag("_at")).result()
     off = F.abs(F.col("_at") - F.col("_previous") - period_us) >= tol_us
     return rows.groupBy(*STREAM_KEYS).agg(

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from streamgrid.functions.scalars import US_PER_SEC, int_div
-from streamgrid.operators.align import _asof
+from streamgrid.operators.align import asof_scan
 from streamgrid.operators.ordered import PART, first_value, lag, ordered, running_sum
 from streamgrid.schema import STREAM_KEYS
 
@@ -33,9 +33,11 @@ def us_of_units(units: Column, rate: int, tb_us: int = US_PER_SEC) -> Column:
     return units_in(units, tb_us, rate)
 
 
-def counted_pts(df: DataFrame, units: str = "units", hot_rows: int | None = None) -> DataFrame:
+def counted_pts(
+    df: DataFrame, units: str = "units", hot_rows: int | None = None, rows_bound: int | None = None
+) -> DataFrame:
     """Units emitted before each block: an exact timestamp without jitter."""
-    rows = ordered(df, STREAM_KEYS, ["us", "seq"], hot_rows=hot_rows)
+    rows = ordered(df, STREAM_KEYS, ["us", "seq"], hot_rows=hot_rows, rows_bound=rows_bound)
     return rows.scan(counted=running_sum(F.col(units).cast("bigint"), inclusive=False)).result()
 
 
@@ -246,7 +248,11 @@ def leads(df: DataFrame, start: str = "t0") -> DataFrame:
 
 
 def relative_drift(
-    left: DataFrame, right: DataFrame, warmup_us: int = US_PER_SEC, hot_rows: int | None = None
+    left: DataFrame,
+    right: DataFrame,
+    warmup_us: int = US_PER_SEC,
+    hot_rows: int | None = None,
+    rows_bound: int | None = None,
 ) -> DataFrame:
     """Drift of the right stream against the left one, corrected by the first gap after the warm-up.
 
@@ -256,7 +262,7 @@ def relative_drift(
     def packed(df: DataFrame) -> DataFrame:
         return df.withColumn("value", F.struct("lead_us", "elapsed_us"))
 
-    rows = _asof(packed(left), packed(right), "value", "session_id", hot_rows)
+    rows = asof_scan(packed(left), packed(right), "value", "session_id", hot_rows, rows_bound)
     elapsed = F.coalesce("left_value", "right_value")["elapsed_us"]
     gap = F.col("latest_right.lead_us") - F.col("latest_left.lead_us")
     rows = rows.with_columns(elapsed_us=elapsed, gap_us=gap)

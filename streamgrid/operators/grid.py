@@ -68,16 +68,18 @@ def fill_gaps(
     slots: DataFrame,
     max_fill: int | None = None,
     end_slot: Column | int | None = None,
+    slot_bound: int | None = None,
     part_slots: int = PART_SLOTS,
     fill_block: int = FILL_BLOCK,
 ) -> DataFrame:
     """Repeat the previous row in empty slots; a run longer than ``max_fill`` becomes one ``skipped`` row.
 
     Nothing is emitted before the first row of a stream. ``end_slot`` continues the grid after the last row.
-    Filled rows copy the value of the row they repeat; it is computed once per fresh slot.
+    Filled rows copy the value of the row they repeat; it is computed once per fresh slot. ``slot_bound`` is a
+    known bound of the slots per stream; a small one spares the cut into slot ranges.
     """
     part = floor_div("slot", part_slots)
-    rows = ordered(slots, STREAM_KEYS, ["slot"], part=part).scan(_next=lead("slot")).result()
+    rows = ordered(slots, STREAM_KEYS, ["slot"], part=part, rows_bound=slot_bound).scan(_next=lead("slot")).result()
     if end_slot is not None:
         end = end_slot if isinstance(end_slot, Column) else F.lit(end_slot)
         rows = rows.withColumn("_next", F.coalesce("_next", end.cast("bigint") + 1))

@@ -2,38 +2,73 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 SALTS = 64
 
 
+class Bounded(NamedTuple):
+    """A small aggregate: evaluated once and held as a local table, or left lazy when it has too many rows."""
+
+    df: DataFrame
+    rows: list | None
+
+    @property
+    def is_local(self) -> bool:
+        return self.rows is not None
+
+
+def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> Bounded:
+    """Evaluate ``df`` unless it has more than ``max_rows`` rows; at most one row more is fetched to find out."""
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
+        return Bounded(df, None)
+    local = df.sparkSession.createDataFrame(table, schema=df.schema) if table.num_rows else df.limit(0)
+    return Bounded(local, table.to_pylist())
+
+
 def lookup_join(
     big: DataFrame,
-    lookup: DataFrame,
+    lookup: DataFrame | Bounded,
     on: Sequence[str],
     how: str = "inner",
     spread_by: Sequence[str] = (),
     max_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join on ``on``, at most one lookup row per key.
+    """Join on ``on`` (inner or left), at most one lookup row per key.
 
-    The lookup is an aggregate whose row count grows with the number of keys. It is evaluated once; while it
-    has at most ``max_rows`` rows it is broadcast, so the large side is not shuffled at all. A larger lookup is
-    joined by a shuffle, each lookup row repeated ``salts`` times and the large side spread over the salts by
-    a hash of ``spread_by``, so one hot key is spread over many tasks.
+    The lookup is an aggregate whose row count grows with the number of keys. It is evaluated once. A single
+    row becomes literals; while it has at most ``max_rows`` rows it is broadcast, so the large side is not
+    shuffled at all. A larger lookup is joined by a shuffle, each lookup row repeated ``salts`` times and the
+    large side spread over the salts by a hash of ``spread_by``, so one hot key is spread over many tasks.
     """
-    spark = big.sparkSession
-    rows = lookup.limit(max_rows + 1).toArrow()
-    if rows.num_rows <= max_rows:
-        small = spark.createDataFrame(rows, schema=lookup.schema) if rows.num_rows else lookup.limit(0)
-        return big.join(F.broadcast(small), list(on), how)
+    small = lookup if isinstance(lookup, Bounded) else bounded(lookup, max_rows)
+    if small.is_local and len(small.rows) == 1:
+        return _literal_join(big, small, list(on), how)
+    if small.is_local:
+        return big.join(F.broadcast(small.df), list(on), how)
     if not spread_by:
-        return big.join(lookup, list(on), how)
-    salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return big.join(small.df, list(on), how)
+    salted = small.df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     return spread.join(salted, [*on, "_salt"], how).drop("_salt")
+
+
+def _literal_join(big: DataFrame, small: Bounded, on: list[str], how: str) -> DataFrame:
+    row = small.rows[0]
+    same = functools.reduce(lambda a, b: a & b, [F.col(k) == _literal(small, row, k) for k in on])
+    added = [c for c in small.df.columns if c not in on]
+    if how == "inner":
+        return big.filter(same).withColumns({c: _literal(small, row, c) for c in added})
+    return big.withColumns({c: F.when(same, _literal(small, row, c)) for c in added})
+
+
+def _literal(small: Bounded, row: dict, name: str) -> Column:
+    return F.lit(row[name]).cast(small.df.schema[name].dataType)

@@ -15,20 +15,23 @@ US_BASE = (1, 1_000_000)
 STREAK = 5
 
 
-def interleave(*streams: DataFrame, time_base: tuple[int, int] = US_BASE, sort: bool = True) -> DataFrame:
-    """Bring packets of several streams to one time base and order them by (ts, stream_index, seq).
+def interleave(
+    *streams: tuple[DataFrame, tuple[int, int]], time_base: tuple[int, int] = US_BASE, sort: bool = True
+) -> DataFrame:
+    """Bring packets of several streams to one time base and order them by (dts, stream_index, seq).
 
-    Each stream has session_id, seq, pts, dts and its own ``tb`` struct; ``stream_index`` is its position in
-    the argument list. The order is total, so the result does not depend on the partitioning. The sort is
+    Every stream is a pair of packets (session_id, seq, pts, dts) and their time base; ``stream_index`` is its
+    position. The order is total, so the result does not depend on the partitioning. The sort is
     range-partitioned; leave it out (``sort=False``) when the result goes to ``write_merged`` or an aggregate.
     """
-    tagged = [df.withColumn("stream_index", F.lit(i)) for i, df in enumerate(streams)]
-    merged = functools.reduce(DataFrame.unionByName, tagged)
-    for tick in ("pts", "dts"):
-        merged = merged.withColumn(
-            tick, rescale_ts(tick, F.col("tb.num"), F.col("tb.den"), time_base[0], time_base[1])
-        )
-    merged = merged.drop("tb")
+    rescaled = [
+        df.withColumns({
+            "stream_index": F.lit(i),
+            **{tick: rescale_ts(tick, *base, *time_base) for tick in ("pts", "dts")},
+        })
+        for i, (df, base) in enumerate(streams)
+    ]
+    merged = functools.reduce(DataFrame.unionByName, rescaled)
     return merged.orderBy("dts", "stream_index", "seq") if sort else merged
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from streamgrid.functions.scalars import US_PER_SEC, floor_div
-from streamgrid.operators.joins import lookup_join
+from streamgrid.operators.joins import Bounded, bounded, lookup_join
 from streamgrid.operators.ordered import lag, ordered, running_max, running_sum
 from streamgrid.schema import STREAM_KEYS
 
@@ -34,27 +34,41 @@ def _recorded(df: DataFrame, latency: str) -> DataFrame:
 def latency_summary(df: DataFrame, latency: str, by: Sequence[str]) -> DataFrame:
     """count, mean, p50, p99 (nearest rank, exact) and max per group.
 
-    Values are first counted per (group, value), then ranked by a running count over distinct values that is
-    cut into value ranges. No group is ever held by one task, whatever its share of the rows.
+    First the rows per (group, value range) are counted; the running count over the ranges tells which range
+    holds a rank. Only rows of those ranges are then counted value by value. Both steps combine before the
+    shuffle, and no task holds more than the distinct values of one range, whatever the group's share of rows.
     """
     by = list(by)
-    counts = _recorded(df, latency).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ordered(counts, by, ["_v"], part=floor_div("_v", PART_TICKS)).scan(_upto=running_sum("_n")).result()
-    totals = counts.groupBy(*by).agg(
-        F.sum("_n").alias("count"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean_us")
+    rows = _recorded(df, latency).withColumn("_part", floor_div("_v", PART_TICKS))
+    parts = rows.groupBy(*by, "_part").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_sum"), F.max("_v").alias("_max")
     )
+    group = W.partitionBy(*by)
+    before = F.sum("_n").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    ranges = bounded(
+        parts.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_total", F.sum("_n").over(group))
+    )
+
+    def holds(q: float) -> Column:
+        rank = F.col("_total") * q
+        return (F.col("_before") < rank) & (F.col("_before") + F.col("_n") >= rank)
+
+    wanted = ranges.df.filter(holds(0.5) | holds(0.99)).select(*by, "_part", "_before", "_total")
+    near = lookup_join(rows, Bounded(wanted, ranges.rows) if ranges.is_local else wanted, [*by, "_part"], spread_by=["_v"])
+    counts = near.groupBy(*by, "_part", "_v", "_before", "_total").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.col("_before") + F.sum("_n").over(
+        W.partitionBy(*by, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    )
+    ranked = counts.withColumn("_upto", upto)
 
     def quantile(q: float) -> Column:
-        return F.min(F.when(F.col("_upto") >= F.col("count") * q, F.col("_v")))
-
-    joined = lookup_join(ranked, totals, by, spread_by=["_v"])
-    return joined.groupBy(*by).agg(
-        F.max("count").alias("count"),
-        F.max("mean_us").alias("mean_us"),
-        quantile(0.5).alias("p50_us"),
-        quantile(0.99).alias("p99_us"),
-        F.max("_v").alias("max_us"),
+        return F.min(F.when(F.col("_upto") >= F.col("_total") * q, F.col("_v")))
+
+    totals = ranges.df.groupBy(*by).agg(
+        F.sum("_n").alias("count"), (F.sum("_sum") / F.sum("_n")).alias("mean_us"), F.max("_max").alias("max_us")
     )
+    quantiles = ranked.groupBy(*by).agg(quantile(0.5).alias("p50_us"), quantile(0.99).alias("p99_us"))
+    return totals.join(quantiles, by).select(*by, "count", "mean_us", "p50_us", "p99_us", "max_us")
 
 
 def histogram_bucket(value: Column) -> tuple[Column, Column]:
@@ -95,20 +109,32 @@ def histogram_quantiles(histogram: DataFrame, by: Sequence[str], quantiles: Mapp
     ])
 
 
-def snapshots(df: DataFrame, tick_us: int, counters: Mapping[str, Column]) -> DataFrame:
-    """Cumulative counters at the end of every tick that saw a row."""
+def snapshots(
+    df: DataFrame, tick_us: int, counters: Mapping[str, Column], tick_bound: int | None = None
+) -> DataFrame:
+    """Cumulative counters at the end of every tick that saw a row.
+
+    ``tick_bound`` is a known bound of the ticks per stream (``span_bound``).
+    """
     per_tick = (
         df.withColumn("_tick", floor_div("us", tick_us))
         .groupBy(*STREAM_KEYS, "_tick")
         .agg(*[F.sum(c.cast("bigint")).alias(f"_{name}") for name, c in counters.items()])
     )
     # One row per tick, so a range of ticks bounds a part.
-    rows = ordered(per_tick, STREAM_KEYS, ["_tick"], part=floor_div("_tick", PART_TICKS))
+    part = floor_div("_tick", PART_TICKS)
+    rows = ordered(per_tick, STREAM_KEYS, ["_tick"], part=part, rows_bound=tick_bound)
     rows = rows.scan(**{name: running_sum(f"_{name}") for name in counters}).result()
     return rows.select(*STREAM_KEYS, ((F.col("_tick") + 1) * tick_us).alias("at_us"), *counters)
 
 
-def rates(snapshot: DataFrame, counters: Sequence[str], size: str | None = None, tick_us: int = US_PER_SEC) -> DataFrame:
+def rates(
+    snapshot: DataFrame,
+    counters: Sequence[str],
+    size: str | None = None,
+    tick_us: int = US_PER_SEC,
+    tick_bound: int | None = None,
+) -> DataFrame:
     """Per-second rates between consecutive snapshots.
 
     A counter that went back gives 0, so does an empty window; the first snapshot of a stream has no rate.
@@ -116,7 +142,7 @@ def rates(snapshot: DataFrame, counters: Sequence[str], size: str | None = None,
     """
     part = floor_div(floor_div("at_us", tick_us), PART_TICKS)
     previous = {f"_{c}": lag(c) for c in [*counters, "at_us"]}
-    rows = ordered(snapshot, STREAM_KEYS, ["at_us"], part=part).scan(**previous).result()
+    rows = ordered(snapshot, STREAM_KEYS, ["at_us"], part=part, rows_bound=tick_bound).scan(**previous).result()
     seconds = (F.col("at_us") - F.col("_at_us")) / US_PER_SEC
 
     def rate(counter: str) -> Column:
@@ -182,10 +208,10 @@ def threshold_breaches(df: DataFrame, thresholds: DataFrame, elapsed: str, by: S
 
 
 def utilisation(
-    samples: DataFrame, ticks: str, hz: float, cpus: int, part: Column | None = None, hot_rows: int | None = None
+    samples: DataFrame, ticks: str, hz: float, cpus: int, hot_rows: int | None = None, rows_bound: int | None = None
 ) -> DataFrame:
     """Cores in use, percent of one core and of the machine, between samples of a cumulative tick counter."""
-    rows = ordered(samples, STREAM_KEYS, ["us"], part=part, hot_rows=hot_rows)
+    rows = ordered(samples, STREAM_KEYS, ["us"], hot_rows=hot_rows, rows_bound=rows_bound)
     rows = rows.scan(_us=lag("us"), _ticks=lag(ticks)).result()
     seconds = (F.col("us") - F.col("_us")) / US_PER_SEC
     cores = F.when(seconds > 0, F.greatest(F.col(ticks) - F.col("_ticks"), F.lit(0)) / hz / seconds)

@@ -10,7 +10,9 @@ the rows. Here every stream is cut into *parts* along its order, and a scan runs
 Parts come from a cheap bounded expression when there is one (slots are unique per stream, so ``slot div n``
 holds at most n rows). Otherwise the rows per stream are counted first: while the largest stream fits into one
 task there is a single part and a plain window; beyond that the rows are range-partitioned on
-(stream, order) - Spark's own skew-proof split - and checkpointed, so that both levels see the same cut.
+(stream, order) - Spark's own skew-proof split - and written to the shared scratch folder, so that both levels
+see the same cut and the summary level reads only the columns it needs.
+A caller that knows a bound on the rows per stream spares the count.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from streamgrid.session import ensure_checkpoint_dir
+from streamgrid.sources.sinks import scratch_path
 
 HOT_ROWS = 4_000_000
 PART = "_part"
@@ -101,20 +103,16 @@ class Ordered:
         return Ordered(df.drop(*inputs, *(f"_carry_{n}" for n in scans)), self.keys, self.order, self.split)
 
     def _carry(self, df: DataFrame, scans: dict[str, Scan]) -> DataFrame:
-        rank = F.struct(*self.order)
         summaries = []
         for name, s in scans.items():
             col = F.col(f"_in_{name}")
-            # Nulls sort first in max() and are skipped by the guard, so last/first ignore them.
-            present = F.when(col.isNotNull(), F.struct(rank.alias("r"), col.alias("v")))
-            always = F.struct(rank.alias("r"), col.alias("v"))
             summary = {
                 "sum": lambda: F.sum(col),
                 "max": lambda: F.max(col),
-                "last": lambda: F.max(present)["v"],
-                "first": lambda: F.min(present)["v"],
-                "lag": lambda: F.struct(F.max(always)["v"].alias("v")),
-                "lead": lambda: F.struct(F.min(always)["v"].alias("v")),
+                "last": lambda: self._edge(col, col.isNotNull(), latest=True),
+                "first": lambda: self._edge(col, col.isNotNull(), latest=False),
+                "lag": lambda: F.struct(self._edge(col, F.lit(True), latest=True).alias("v")),
+                "lead": lambda: F.struct(self._edge(col, F.lit(True), latest=False).alias("v")),
                 "row_number": lambda: F.count(F.lit(1)),
             }[s.kind]()
             summaries.append(summary.alias(f"_carry_{name}"))
@@ -134,6 +132,14 @@ class Ordered:
             }[s.kind]().alias(f"_carry_{name}"))
         return df.groupBy(*self.keys, PART).agg(*summaries).select(*self.keys, PART, *carried)
 
+    def _edge(self, col: Column, eligible: Column, latest: bool) -> Column:
+        """Value of the last or first eligible row. Primitive order columns keep it a hash aggregate."""
+        if len(self.order) == 1:
+            rank = F.when(eligible, F.col(self.order[0]))
+            return F.max_by(col, rank) if latest else F.min_by(col, rank)
+        row = F.when(eligible, F.struct(*self.order, col.alias("_v")))
+        return (F.max(row) if latest else F.min(row))["_v"]
+
     def _local(self, name: str, s: Scan, window: W) -> Column:
         col = F.col(f"_in_{name}") if s.value is not None else None
         frame = window.rowsBetween(W.unboundedPreceding, 0 if s.inclusive else -1)
@@ -160,29 +166,47 @@ class Ordered:
         return F.coalesce(shift(F.struct(col.alias("v"))).over(window), carry)["v"]
 
 
+def _refuse_null(keys: Sequence[str]) -> dict[str, Column]:
+    message = F.lit(f"stream keys {list(keys)} must not be null; see split_malformed")
+    return {k: F.coalesce(F.col(k), F.raise_error(message)) for k in keys}
+
+
 def ordered(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     part: Column | None = None,
     hot_rows: int | None = None,
+    rows_bound: int | None = None,
 ) -> Ordered:
     """Prepare ordered scans. ``order`` must be total per stream; stream keys must not be null.
 
-    ``part`` is a bounded, order-preserving part number when the caller has one; without it the rows per
-    stream are counted (one aggregate over the key columns) and split only if a stream exceeds ``hot_rows``.
+    ``rows_bound`` is an upper bound of the rows per stream (the total number of rows if nothing better is
+    known): up to ``hot_rows`` one part is enough. ``part`` is a bounded, order-preserving part number. With
+    neither, the rows per stream are counted by one aggregate over the key columns.
     """
-    if part is not None:
-        return Ordered(df.withColumn(PART, part.cast("bigint")), keys, order, split=True)
     hot_rows = hot_rows or HOT_ROWS
-    has_null = functools.reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total, peak, nulls = sizes.agg(F.sum("n"), F.max("n"), F.max(has_null)).first()
-    if nulls:
-        raise ValueError(f"stream keys {list(keys)} must not be null; see split_malformed")
-    if (peak or 0) <= hot_rows:
+    if rows_bound is not None and rows_bound <= hot_rows:
         return Ordered(df, keys, order, split=False)
-    ensure_checkpoint_dir(df.sparkSession)
-    cuts = math.ceil(total / max(1, hot_rows // 2))
-    ranged = df.repartitionByRange(cuts, *keys, *order).withColumn(PART, F.spark_partition_id().cast("bigint"))
-    return Ordered(ranged.checkpoint(), keys, order, split=True)
+    if part is not None:
+        return Ordered(df.withColumns({**_refuse_null(keys), PART: part.cast("bigint")}), keys, order, split=True)
+    if rows_bound is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        has_null = functools.reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+        rows_bound, peak, nulls = sizes.agg(F.sum("n"), F.max("n"), F.max(has_null)).first()
+        if nulls:
+            raise ValueError(f"stream keys {list(keys)} must not be null; see split_malformed")
+        if (peak or 0) <= hot_rows:
+            return Ordered(df, keys, order, split=False)
+    cuts = math.ceil(rows_bound / max(1, hot_rows // 2))
+    ranged = df.withColumns(_refuse_null(keys)).repartitionByRange(cuts, *keys, *order)
+    ranged = ranged.withColumn(PART, F.spark_partition_id().cast("bigint"))
+    path = scratch_path(df.sparkSession, "ordered")
+    ranged.write.parquet(path)
+    return Ordered(df.sparkSession.read.schema(ranged.schema).parquet(path), keys, order, split=True)
+
+
+def span_bound(df: DataFrame, us: str, period_us: int) -> int:
+    """Upper bound of the distinct periods a stream can touch, from the time range of all rows."""
+    low, high = df.agg(F.min(us), F.max(us)).first()
+    return 0 if low is None else (high - low) // period_us + 2

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamgrid.operators.joins import lookup_join
+from streamgrid.operators.joins import Bounded, lookup_join
 from streamgrid.schema import STREAM_KEYS
 
 
@@ -30,9 +30,17 @@ def common_origin(df: DataFrame, withdrawn: DataFrame | None = None, timeout_us:
     return firsts.groupBy("session_id").agg(F.max("first_us").alias("t0"), F.count(F.lit(1)).alias("streams"))
 
 
-def attach_origin(df: DataFrame, origin: DataFrame) -> DataFrame:
+def session_bounds(df: DataFrame) -> DataFrame:
+    """Common origin and last event time per session, in one pass."""
+    streams = df.groupBy(*STREAM_KEYS).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+    return streams.groupBy("session_id").agg(F.max("first_us").alias("t0"), F.max("last_us").alias("end_us"))
+
+
+def attach_origin(df: DataFrame, origin: DataFrame | Bounded) -> DataFrame:
     """Give every row its session's ``t0``."""
-    return lookup_join(df, origin.select("session_id", "t0"), ["session_id"], spread_by=["stream_id", "seq"])
+    if not isinstance(origin, Bounded):
+        origin = origin.select("session_id", "t0")
+    return lookup_join(df, origin, ["session_id"], spread_by=["stream_id", "seq"])
 
 
 def trim_pre_origin(df: DataFrame) -> DataFrame:

@@ -41,9 +41,9 @@ drifted AS (SELECT *, {_sql_units('us - anchor_us')} AS expected, {_sql_units('u
 timed AS (SELECT *, {_sql_us('drift')} AS drift_us FROM drifted)"""
 
 
-def _drifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _drifted(spark: SparkSession, sf_dir: str, rows_bound: int | None = None) -> DataFrame:
     rows = anchored(events(spark, sf_dir)).withColumn("units", units_of()).withColumn("anchor_us", F.col("t0"))
-    return drift.drift(drift.counted_pts(rows), RATE, tb_us=TB_US)
+    return drift.drift(drift.counted_pts(rows, rows_bound=rows_bound), RATE, tb_us=TB_US)
 
 
 @query("asof_latest", f"""WITH {sql_observations()},
@@ -68,9 +68,10 @@ f AS (SELECT *, first_value(CASE WHEN elapsed >= {DAY} THEN gap_us END IGNORE NU
 SELECT us, side, seq, gap_us, baseline_us,
   CASE WHEN gap_us IS NULL THEN NULL WHEN baseline_us IS NULL THEN 0 ELSE gap_us - baseline_us END AS drift_us FROM f""")
 def relative_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = drift.leads(_drifted(spark, sf_dir)).withColumn("elapsed_us", F.col("us") - F.col("t0"))
+    total = events(spark, sf_dir).count()
+    rows = drift.leads(_drifted(spark, sf_dir, total)).withColumn("elapsed_us", F.col("us") - F.col("t0"))
     left, right = rows.filter("stream_id = 'purchase'"), rows.filter("stream_id = 'signup'")
-    out = drift.relative_drift(left, right, warmup_us=DAY)
+    out = drift.relative_drift(left, right, warmup_us=DAY, rows_bound=total)
     return out.select("us", "side", "seq", "gap_us", "baseline_us", "drift_us")
 
 
@@ -98,8 +99,10 @@ def clock_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.clock_check(_drifted(spark, sf_dir), RATE, DAY, DAY, tb_us=TB_US)
 
 
-@query("applied_correction", f"""WITH RECURSIVE {sql_observations()},
-origin AS (SELECT min(us) + {DAY} AS t0 FROM obs),
+def sql_clock(t0: str) -> str:
+    """CTEs b (blocks with skipped and expected units) and step (the clock, block by block)."""
+    return f"""{sql_observations()},
+origin AS (SELECT {t0} AS t0 FROM obs),
 a AS (SELECT stream_id, us, seq, us - t0 AS start, 1 + seq % 3 AS n,
   least(greatest({_sql_units('t0 - us')}, 0), 1 + seq % 3) AS skipped FROM obs, origin),
 b AS (SELECT *, {_sql_units(f"start + {_sql_us('skipped')}")} AS expected FROM a),
@@ -111,7 +114,10 @@ step AS (
   SELECT l.stream_id, l.rn, l.seq, l.expected, l.m, c.next, l.expected - c.next
   FROM (SELECT *, CASE WHEN abs(drift) < {RATE // 1000} THEN counted + m WHEN drift > {MAX_GAP} THEN counted + drift + m
           WHEN -drift > {MAX_GAP} THEN counted + m - least(-drift, m) ELSE counted + m END AS next FROM step) c
-  JOIN live l ON l.stream_id = c.stream_id AND l.rn = c.rn + 1),
+  JOIN live l ON l.stream_id = c.stream_id AND l.rn = c.rn + 1)"""
+
+
+@query("applied_correction", f"""WITH RECURSIVE {sql_clock(f'min(us) + {DAY}')},
 act AS (SELECT *, greatest(least(drift // 8, {RATE // 100}), -{RATE // 100}) AS soft FROM step)
 SELECT b.stream_id, b.seq, b.skipped, counted,
   CASE WHEN counted IS NULL THEN 'trimmed' WHEN abs(drift) < {RATE // 1000} THEN 'none' WHEN drift > {MAX_GAP} THEN 'insert'

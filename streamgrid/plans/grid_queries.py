@@ -19,7 +19,7 @@ from streamgrid.plans.inputs import (
     user_events,
 )
 from streamgrid.plans.registry import query
-from streamgrid.plans.regularise import anchored, regularise, slotted
+from streamgrid.plans.regularise import anchored, regularise, slotted, slotted_with_bound
 
 SQL_USER = "CAST(user_id AS VARCHAR)"
 
@@ -173,8 +173,9 @@ SELECT session_id, stream_id, count(p) AS intervals, count(*) FILTER (slot - p <
   count(*) FILTER (slot - p <> 1) = 0 AS grid_ok FROM g GROUP BY ALL""")
 def grid_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skipped runs leave irregular intervals behind; filled ones do not."""
-    filled = regularise(events(spark, sf_dir), FINE, max_fill=2).filter("status <> 'skipped'")
-    return audit.grid_check(filled, F.col("slot") * FINE, FINE, 1000)
+    slots, limit = slotted_with_bound(events(spark, sf_dir), FINE)
+    filled = grid.fill_gaps(slots, max_fill=2, slot_bound=limit).filter("status <> 'skipped'")
+    return audit.grid_check(filled, F.col("slot") * FINE, FINE, 1000, slot_bound=limit)
 
 
 @query("rate_check", f"""WITH {sql_fill(HOUR)},

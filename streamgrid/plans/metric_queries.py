@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from streamgrid.functions import scalars
 from streamgrid.operators import merge, metrics, planning, rules
 from streamgrid.operators import verdict as verdicts
-from streamgrid.operators.joins import lookup_join
+from streamgrid.operators.ordered import span_bound
 from streamgrid.plans.inputs import (
     HOUR,
     USER_SESSION,
@@ -30,10 +30,6 @@ LATENCY = "((event_id * 7919) % 70000) * 1000"
 # --- merging -------------------------------------------------------------------------------------------------------
 
 
-def _time_base(num: int, den: int):
-    return F.struct(F.lit(num).alias("num"), F.lit(den).alias("den")).alias("tb")
-
-
 @query("interleave", """SELECT 0 AS stream_index, o_orderkey AS seq, epoch_us(o_orderdate) AS pts, epoch_us(o_orderdate) AS dts
 FROM orders UNION ALL
 SELECT 1, l_orderkey * 10 + l_linenumber, epoch_us(l_shipdate) + l_linenumber * 1000, epoch_us(l_shipdate) FROM lineitem""")
@@ -41,16 +37,15 @@ def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in milliseconds and line items in microseconds, merged by time."""
     order_ms = scalars.int_div(micros("o_orderdate"), 1000)
     orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("seq"), order_ms.alias("pts"), order_ms.alias("dts"), _time_base(1, 1000)
+        F.col("o_orderkey").alias("seq"), order_ms.alias("pts"), order_ms.alias("dts")
     )
     shipped = micros("l_shipdate")
     items = table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
         (shipped + F.col("l_linenumber") * 1000).alias("pts"),
         shipped.alias("dts"),
-        _time_base(1, 1_000_000),
     )
-    return merge.interleave(orders, items).select("stream_index", "seq", "pts", "dts")
+    return merge.interleave((orders, (1, 1000)), (items, (1, 1_000_000))).select("stream_index", "seq", "pts", "dts")
 
 
 @query("merge_order_check", f"""WITH {sql_observations()},
@@ -179,18 +174,20 @@ snap AS (SELECT session_id, stream_id, (k + 1) * {PERIOD} AS at_us, CAST(sum(c)
   WINDOW w AS (PARTITION BY session_id, stream_id ORDER BY k))"""
 
 
-def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     counters = {
         "captured": F.lit(1),
         "dropped": (F.col("value") > 150).cast("bigint"),
         "bytes": F.round(F.col("value") * 100).cast("bigint"),
     }
-    return metrics.snapshots(events(spark, sf_dir), PERIOD, counters)
+    rows = events(spark, sf_dir)
+    ticks = span_bound(rows, "us", PERIOD)
+    return metrics.snapshots(rows, PERIOD, counters, ticks), ticks
 
 
 @query("snapshots", f"WITH {SQL_SNAPSHOTS} SELECT * FROM snap")
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _snapshots(spark, sf_dir)
+    return _snapshots(spark, sf_dir)[0]
 
 
 @query("snapshot_rates", f"""WITH {SQL_SNAPSHOTS},
@@ -199,7 +196,8 @@ d AS (SELECT *, (at_us - lag(at_us) OVER w) / 1000000 AS secs, captured - lag(ca
 SELECT stream_id, at_us, secs AS window_secs, round(greatest(dc, 0) / secs, 9) AS captured_per_sec,
   round(greatest(db, 0) / secs, 6) AS bytes_per_sec, round(greatest(db, 0) / secs * 8, 6) AS bytes_bits_per_sec FROM d""")
 def snapshot_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = metrics.rates(_snapshots(spark, sf_dir), ["captured", "bytes"], size="bytes", tick_us=PERIOD)
+    cumulative, ticks = _snapshots(spark, sf_dir)
+    rates = metrics.rates(cumulative, ["captured", "bytes"], size="bytes", tick_us=PERIOD, tick_bound=ticks)
     return rates.select(
         "stream_id", "at_us", "window_secs",
         F.round("captured_per_sec", 9).alias("captured_per_sec"),
@@ -215,9 +213,8 @@ SELECT stream_id, at_us, round(greatest(db, 0) / 100.0 / secs, 6) AS cores,
   round(greatest(db, 0) / 100.0 / secs * 100.0 / 8, 4) AS percent_of_machine FROM d""")
 def utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The byte counter stands for CPU ticks at 100 per second on eight cores."""
-    samples = _snapshots(spark, sf_dir).withColumnRenamed("at_us", "us")
-    part = scalars.floor_div(scalars.floor_div("us", PERIOD), metrics.PART_TICKS)
-    used = metrics.utilisation(samples, "bytes", 100.0, 8, part=part)
+    cumulative, ticks = _snapshots(spark, sf_dir)
+    used = metrics.utilisation(cumulative.withColumnRenamed("at_us", "us"), "bytes", 100.0, 8, rows_bound=ticks)
     return used.select(
         "stream_id", F.col("us").alias("at_us"), F.round("cores", 6).alias("cores"),
         F.round("percent_of_machine", 4).alias("percent_of_machine"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from streamgrid.operators import grid
-from streamgrid.operators.origin import attach_origin, common_origin, trim_pre_origin
+from streamgrid.operators.joins import bounded
+from streamgrid.operators.origin import attach_origin, common_origin, session_bounds, trim_pre_origin
 
 
 def anchored(observations: DataFrame, timeout_us: int | None = None) -> DataFrame:
@@ -13,14 +14,30 @@ def anchored(observations: DataFrame, timeout_us: int | None = None) -> DataFram
     return trim_pre_origin(attach_origin(observations, common_origin(observations, timeout_us=timeout_us)))
 
 
+def slotted_with_bound(
+    observations: DataFrame, period_us: int, lookahead_us: int | None = None, anchor: str = "origin"
+) -> tuple[DataFrame, int | None]:
+    """One row per (stream, slot), and a bound of the slots per stream where the sessions are few enough.
+
+    With a lookahead, late rows move to the next open slot first; their slots depend on arrival times, so there
+    is no bound.
+    """
+    bounds = bounded(session_bounds(observations))
+    with_origin = attach_origin(observations, bounds).drop("end_us")
+    rows = grid.assign_slots(trim_pre_origin(with_origin), period_us, anchor)
+    if lookahead_us is not None:
+        return grid.coalesce_slots(grid.reslot_late(rows, period_us, lookahead_us), by_arrival=True), None
+    limit = None
+    if bounds.is_local:
+        limit = max(((r["end_us"] - r["t0"]) // period_us + 2 for r in bounds.rows), default=0)
+    return grid.coalesce_slots(rows), limit
+
+
 def slotted(
     observations: DataFrame, period_us: int, lookahead_us: int | None = None, anchor: str = "origin"
 ) -> DataFrame:
-    """One row per (stream, slot); with a lookahead, late rows move to the next open slot first."""
-    rows = grid.assign_slots(anchored(observations), period_us, anchor)
-    if lookahead_us is None:
-        return grid.coalesce_slots(rows)
-    return grid.coalesce_slots(grid.reslot_late(rows, period_us, lookahead_us), by_arrival=True)
+    """One row per (stream, slot)."""
+    return slotted_with_bound(observations, period_us, lookahead_us, anchor)[0]
 
 
 def regularise(
@@ -31,4 +48,5 @@ def regularise(
     anchor: str = "origin",
 ) -> DataFrame:
     """Irregular observations to a constant-rate grid per stream."""
-    return grid.fill_gaps(slotted(observations, period_us, lookahead_us, anchor), max_fill)
+    slots, limit = slotted_with_bound(observations, period_us, lookahead_us, anchor)
+    return grid.fill_gaps(slots, max_fill, slot_bound=limit)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamgrid.plans.align_queries import MAX_GAP, RATE, TB_US
+from streamgrid.plans.align_queries import MAX_GAP, RATE, TB_US, sql_clock
 from streamgrid.plans.inputs import DAY, HOUR, events_stream, sql_observations, units_of
 from streamgrid.plans.registry import query
 from streamgrid.sources.sinks import scratch_path
@@ -67,11 +67,12 @@ def stream_grid_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.drop("session_id", "seq")
 
 
-@query("stream_clock")
+@query("stream_clock", f"""WITH RECURSIVE {sql_clock(f'max({ORIGIN + DAY})')}
+SELECT stream_id, seq, expected, m AS units, counted, drift FROM step""")
 def stream_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events_stream(spark, sf_dir).withColumn("units", units_of())
     clock = operators.stream_clock(rows, RATE, MAX_GAP, ORIGIN + DAY, tb_us=TB_US)
-    return sinks.drain(spark, clock, "clock")
+    return sinks.drain(spark, clock, "clock").select("stream_id", "seq", "expected", "units", "counted", "drift")
 
 
 @query("stream_barrier", f"""WITH {sql_observations('CAST(user_id AS VARCHAR)')},

@@ -27,8 +27,15 @@ def to_schema(df: DataFrame, mapping: Mapping[str, Column], schema: T.StructType
     return df.select(*columns)
 
 
+# Bounds a micro-batch, and with it what one stream can bring into one state processor call.
+BYTES_PER_TRIGGER = 2 * 1024**3
+
+
 def _scan(spark: SparkSession, path: str, where: Column | None, stream_schema: T.StructType | None) -> DataFrame:
-    df = spark.read.parquet(path) if stream_schema is None else spark.readStream.schema(stream_schema).parquet(path)
+    if stream_schema is None:
+        df = spark.read.parquet(path)
+    else:
+        df = spark.readStream.schema(stream_schema).option("maxBytesPerTrigger", BYTES_PER_TRIGGER).parquet(path)
     return df if where is None else df.filter(where)
 
 

@@ -114,8 +114,7 @@ def test_streaks_need_consecutive_failures(observe):
 def test_interleave_is_a_total_order(spark):
     def packets(pts, den):
         df = spark.createDataFrame([("s", i, p) for i, p in enumerate(pts)], "session_id string, seq bigint, pts bigint")
-        tb = F.struct(F.lit(1).alias("num"), F.lit(den).alias("den"))
-        return df.withColumn("dts", F.col("pts")).withColumn("tb", tb)
+        return df.withColumn("dts", F.col("pts")), (1, den)
 
     out = merge.interleave(packets([0, 1, 2], 60), packets([0, 16_667, 40_000], 1_000_000)).collect()
     assert [(r["dts"], r["stream_index"]) for r in out] == [
