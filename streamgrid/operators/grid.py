@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from streamgrid.functions.scalars import ceil_div, floor_div, int_div, slot_of
+from streamgrid.functions.scalars import ceil_div, floor_div, slot_of
 from streamgrid.operators.joins import lookup_join
 from streamgrid.operators.ordered import lead, ordered, row_number, running_max
 from streamgrid.schema import STREAM_KEYS
@@ -83,42 +83,31 @@ def fill_gaps(
     if end_slot is not None:
         end = end_slot if isinstance(end_slot, Column) else F.lit(end_slot)
         rows = rows.withColumn("_next", F.coalesce("_next", end.cast("bigint") + 1))
-    run = F.greatest(F.coalesce(F.col("_next") - F.col("slot") - 1, F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
+    zero, slot, last = F.lit(0).cast("bigint"), F.col("slot"), F.coalesce(F.col("_next") - 1, F.col("slot"))
+    run = F.greatest(last - slot, zero)
     skipped = F.lit(False) if max_fill is None else run > max_fill
-
-    def piece(first: Column, last: Column, status: str) -> Column:
-        return F.struct(first.alias("first"), last.alias("last"), F.lit(status).alias("status"))
-
-    slot, last = F.col("slot"), F.col("_next") - 1
-    blocks = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), int_div(run - 1, fill_block)),
-        lambda b: piece(slot + 1 + b * fill_block, F.least(slot + (b + 1) * fill_block, last), "filled"),
-    )
-    pieces = F.when(run == 0, F.array(piece(slot, slot, "fresh")))
-    pieces = pieces.when(skipped, F.array(piece(slot, slot, "fresh"), piece(slot + 1, last, "skipped")))
-    pieces = pieces.otherwise(F.concat(F.array(piece(slot, slot, "fresh")), blocks))
-    out = rows.withColumn("_piece", F.explode(pieces)).withColumn("status", F.col("_piece.status"))
-    out = out.withColumn(
-        "_slot",
-        F.explode(
-            F.when(F.col("status") == "filled", F.sequence("_piece.first", "_piece.last")).otherwise(
-                F.array("_piece.first")
-            )
-        ),
-    )
-    fresh, skip = F.col("status") == "fresh", F.col("status") == "skipped"
-    zero = F.lit(0).cast("bigint")
+    # A fresh slot and the slots that repeat it are one run [slot, last]; a skipped run keeps its first slot only.
+    rows = rows.withColumns({"_skipped": skipped, "_last": F.greatest(last, slot)})
+    first, stop = F.col("slot"), F.col("_last")
+    if max_fill is None or max_fill >= fill_block:
+        starts = F.sequence("slot", "_last", F.lit(fill_block).cast("bigint"))
+        rows = rows.withColumn("_start", F.explode(F.when(F.col("_skipped"), F.array("slot")).otherwise(starts)))
+        first, stop = F.col("_start"), F.least(F.col("_last"), F.col("_start") + (fill_block - 1))
+    slots_of_run = F.when(F.col("_skipped"), F.array(F.col("slot"), F.col("slot") + 1)).otherwise(F.sequence(first, stop))
+    out = rows.withColumn("_slot", F.explode(slots_of_run))
+    fresh = F.col("_slot") == F.col("slot")
+    skip = F.col("_skipped") & ~fresh
     return out.select(
         *STREAM_KEYS,
         F.col("_slot").alias("slot"),
-        F.when(skip, F.col("_piece.last")).otherwise(F.col("_slot")).alias("slot_to"),
-        "status",
+        F.when(skip, F.col("_last")).otherwise(F.col("_slot")).alias("slot_to"),
+        F.when(fresh, "fresh").when(skip, "skipped").otherwise("filled").alias("status"),
         F.when(~skip, F.col("us")).alias("us"),
         F.when(~skip, F.col("seq")).alias("seq"),
         F.when(~skip, F.col("value")).alias("value"),
         F.when(fresh, F.col("superseded")).otherwise(zero).alias("superseded"),
         F.when(fresh, F.col("late")).otherwise(zero).alias("late"),
-        F.when(skip, F.col("_piece.last") - F.col("_slot") + 1).otherwise(zero).alias("lost"),
+        F.when(skip, F.col("_last") - F.col("_slot") + 1).otherwise(zero).alias("lost"),
     )
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from streamgrid.functions.scalars import US_PER_SEC, floor_div
-from streamgrid.operators.joins import Bounded, bounded, lookup_join
-from streamgrid.operators.ordered import lag, ordered, running_max, running_sum
+from streamgrid.operators.joins import bounded, lookup_join
+from streamgrid.operators.ordered import HOT_ROWS, lag, ordered, running_max, running_sum
 from streamgrid.schema import STREAM_KEYS
 
 # Latencies are floored at 1 us and values above 60 s are not recorded.
@@ -19,6 +19,8 @@ LATENCY_BOUND_US = 60_000_000
 # Fixed value: three significant digits need 2048 exact buckets, so 11 leading bits are kept.
 SIGNIFICANT_BITS = 11
 PART_TICKS = 65_536
+# Latencies are bounded, so a group has at most 58 value ranges of this width.
+PART_VALUES = 1_048_576
 
 
 def count_board(df: DataFrame, counters: Mapping[str, Column], by: Sequence[str] = STREAM_KEYS) -> DataFrame:
@@ -31,15 +33,34 @@ def _recorded(df: DataFrame, latency: str) -> DataFrame:
     return df.withColumn("_v", floored).filter(F.col("_v") <= LATENCY_BOUND_US)
 
 
-def latency_summary(df: DataFrame, latency: str, by: Sequence[str]) -> DataFrame:
+def latency_summary(df: DataFrame, latency: str, by: Sequence[str], hot_rows: int | None = None) -> DataFrame:
     """count, mean, p50, p99 (nearest rank, exact) and max per group.
 
+    The rows per group are counted first. While the largest group fits into one task the built-in exact
+    percentile is used; its state holds the distinct values of a group. Larger groups are ranked by value range.
+    """
+    by = list(by)
+    rows = _recorded(df, latency)
+    peak = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if peak > (hot_rows or HOT_ROWS):
+        return _summary_by_range(rows, by)
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("count"),
+        (F.sum("_v") / F.count(F.lit(1))).alias("mean_us"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _v)").cast("bigint").alias("p50_us"),
+        F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY _v)").cast("bigint").alias("p99_us"),
+        F.max("_v").alias("max_us"),
+    )
+
+
+def _summary_by_range(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The summary without ever holding a group's values in one place.
+
     First the rows per (group, value range) are counted; the running count over the ranges tells which range
     holds a rank. Only rows of those ranges are then counted value by value. Both steps combine before the
     shuffle, and no task holds more than the distinct values of one range, whatever the group's share of rows.
     """
-    by = list(by)
-    rows = _recorded(df, latency).withColumn("_part", floor_div("_v", PART_TICKS))
+    rows = rows.withColumn("_part", floor_div("_v", PART_VALUES))
     parts = rows.groupBy(*by, "_part").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_sum"), F.max("_v").alias("_max")
     )
@@ -47,15 +68,18 @@ def latency_summary(df: DataFrame, latency: str, by: Sequence[str]) -> DataFrame
     before = F.sum("_n").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     ranges = bounded(
         parts.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_total", F.sum("_n").over(group))
-    )
+    ).df
 
     def holds(q: float) -> Column:
         rank = F.col("_total") * q
         return (F.col("_before") < rank) & (F.col("_before") + F.col("_n") >= rank)
 
-    wanted = ranges.df.filter(holds(0.5) | holds(0.99)).select(*by, "_part", "_before", "_total")
-    near = lookup_join(rows, Bounded(wanted, ranges.rows) if ranges.is_local else wanted, [*by, "_part"], spread_by=["_v"])
-    counts = near.groupBy(*by, "_part", "_v", "_before", "_total").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = ranges.filter(holds(0.5) | holds(0.99)).select(*by, "_part", "_before", "_total")
+    counts = (
+        lookup_join(rows, wanted, [*by, "_part"], spread_by=["_v"])
+        .groupBy(*by, "_part", "_v", "_before", "_total")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
     upto = F.col("_before") + F.sum("_n").over(
         W.partitionBy(*by, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     )
@@ -64,7 +88,7 @@ def latency_summary(df: DataFrame, latency: str, by: Sequence[str]) -> DataFrame
     def quantile(q: float) -> Column:
         return F.min(F.when(F.col("_upto") >= F.col("_total") * q, F.col("_v")))
 
-    totals = ranges.df.groupBy(*by).agg(
+    totals = ranges.groupBy(*by).agg(
         F.sum("_n").alias("count"), (F.sum("_sum") / F.sum("_n")).alias("mean_us"), F.max("_max").alias("max_us")
     )
     quantiles = ranked.groupBy(*by).agg(quantile(0.5).alias("p50_us"), quantile(0.99).alias("p99_us"))

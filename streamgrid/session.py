@@ -31,7 +31,12 @@ def build_session(
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    settings = {**RUNTIME_SETTINGS, "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER}
+    settings = {
+        **RUNTIME_SETTINGS,
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
+        # Call-site capture costs a driver round trip per column expression.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
+    }
     for key, value in {**settings, **(conf or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

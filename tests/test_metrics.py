@@ -10,25 +10,30 @@ from streamgrid.functions.lookups import constant_table
 from streamgrid.operators import audit, merge, metrics, planning, rules, verdict
 
 
-def test_latency_summary_uses_nearest_rank(spark):
+@pytest.mark.parametrize("hot_rows", [None, 10])
+def test_latency_summary_uses_nearest_rank(spark, hot_rows):
     df = spark.range(1, 1001).select(F.lit("a").alias("k"), F.col("id").alias("us"))
-    out = metrics.latency_summary(df, "us", ["k"])
+    out = metrics.latency_summary(df, "us", ["k"], hot_rows=hot_rows)
     assert rows(out, "count", "mean_us", "p50_us", "p99_us", "max_us") == [(1000, 500.5, 500, 990, 1000)]
 
 
-def test_latency_bounds(spark):
+@pytest.mark.parametrize("hot_rows", [None, 1])
+def test_latency_bounds(spark, hot_rows):
     df = constant_table(spark, ["k", "us"], [("a", -5), ("a", 0), ("a", 60_000_000), ("a", 60_000_001)])
-    out = metrics.latency_summary(df, "us", ["k"])
+    out = metrics.latency_summary(df, "us", ["k"], hot_rows=hot_rows)
     assert rows(out, "count", "p50_us", "max_us") == [(3, 1, 60_000_000)]
 
 
 def test_latency_summary_over_value_ranges(spark):
     rng = random.Random(9)
-    values = [int(rng.paretovariate(0.6)) * 97 % 50_000_000 + 1 for _ in range(600)]
-    df = spark.createDataFrame([("a", v) for v in values], "k string, us bigint")
-    ranked = sorted(values)
-    got = metrics.latency_summary(df, "us", ["k"]).first()
-    assert (got["p50_us"], got["p99_us"]) == (ranked[299], ranked[593])
+    data = [(rng.choice("aaab"), int(rng.paretovariate(0.6)) * 97 % 50_000_000 + 1) for _ in range(600)]
+    df = spark.createDataFrame(data, "k string, us bigint")
+    for hot_rows in (None, 100):
+        for r in metrics.latency_summary(df, "us", ["k"], hot_rows=hot_rows).collect():
+            ranked = sorted(v for k, v in data if k == r["k"])
+            n = len(ranked)
+            assert (r["count"], r["max_us"]) == (n, ranked[-1])
+            assert (r["p50_us"], r["p99_us"]) == (ranked[-(-n // 2) - 1], ranked[-(-99 * n // 100) - 1])
 
 
 def test_histogram_keeps_three_digits_and_merges(spark):
