@@ -96,31 +96,55 @@ def _replay(counted: int, expected: Iterable[int], units: Iterable[int], band: i
 
 Piece = tuple[int, int, bool, int]
 
+# Blocks that touch single values between two removals of values that have become equal.
+_MERGE_EVERY = 16
 
-def _compose(pieces: list[Piece], expected: int, units: int, band: int) -> list[Piece]:
-    """Apply one block to a map given as pieces (low, high, constant?, value or shift)."""
-    edges = (expected - band - 1, expected + band, max(expected + band, expected + units))
-    out: list[Piece] = []
-    for low, high, constant, v in pieces:
-        if constant:
-            out.append((low, high, True, _advance(v, expected, units, band)))
+
+def _transfer(low: int, high: int, expected: Iterable[int], units: Iterable[int], band: int) -> list[Piece]:
+    """The map from the counted position before some blocks, in [low, high], to the position after them.
+
+    While all positions lie within the band a block shifts them alike, which costs one addition. Otherwise the
+    distinct positions are advanced together; insertions and drops make many of them equal.
+    """
+    values, index, offset = np.arange(low, high + 1), np.arange(high - low + 1), 0
+    least, most, touched = low, high, 0
+    for e, m in zip(expected, units, strict=True):
+        if least >= e - band and most <= e + band:
+            offset, least, most = offset + m, least + m, most + m
+            continue
+        if len(values) == 1:
+            least = most = _advance(least, e, m, band)
+            offset = least - int(values[0])
             continue
-        start = low
-        for edge, fixed, shift in (
-            (edges[0], True, 0), (edges[1], False, units), (edges[2], True, 0), (None, False, 0)
-        ):
-            stop = high if edge is None else min(high, edge - v)
-            if stop >= start:
-                out.append((start, stop, True, expected + units) if fixed else (start, stop, False, v + shift))
-                start = stop + 1
-    merged = [out[0]]
-    for piece in out[1:]:
-        last = merged[-1]
-        if last[2:] == piece[2:]:
-            merged[-1] = (last[0], piece[1], *last[2:])
-        else:
-            merged.append(piece)
-    return merged
+        now = values + offset
+        ahead = np.maximum(e + m, now)
+        values, offset = np.where(now < e - band, e + m, np.where(now <= e + band, now + m, ahead)), 0
+        touched += 1
+        if touched % _MERGE_EVERY == 0:
+            values, inverse = np.unique(values, return_inverse=True)
+            index = inverse[index]
+        least, most = int(values.min()), int(values.max())
+    return _pieces(low, values[index] + offset)
+
+
+def _pieces(low: int, after: np.ndarray) -> list[Piece]:
+    """Stretches (low, high, constant?, value or shift) of a map given point by point."""
+    step = np.diff(after)
+    ends = [*np.flatnonzero(step[1:] != step[:-1]) + 1, len(step)] if len(step) else []
+    out: list[Piece] = []
+    at = 0
+    for end in ends:
+        kind = int(step[end - 1])
+        if kind not in (0, 1):
+            out.extend((low + i, low + i, True, int(after[i])) for i in range(at, end))
+            at = end
+        elif at <= end - 1:
+            value = int(after[at]) - (low + at if kind else 0)
+            out.append((low + at, low + int(end), kind == 0, value))
+            at = int(end) + 1
+    if at < len(after):
+        out.extend((low + i, low + i, True, int(after[i])) for i in range(at, len(after)))
+    return out
 
 
 def _evaluate(pieces: Iterable[dict], counted: int) -> int:
@@ -160,9 +184,7 @@ def _carried_counts(rows: DataFrame, keys: list[str], order: list[str], band: in
     def reduce_part(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         head = pdf.iloc[0]
-        pieces: list[Piece] = [(int(head["low"]), int(head["high"]), False, 0)]
-        for e, m in zip(pdf["expected"].tolist(), pdf["units"].tolist(), strict=True):
-            pieces = _compose(pieces, e, m, band)
+        pieces = _transfer(int(head["low"]), int(head["high"]), pdf["expected"].tolist(), pdf["units"].tolist(), band)
         out = pdf.iloc[:1][[*keys, PART]].copy()
         out["pieces"] = [[dict(zip(("low", "high", "constant", "v"), p, strict=True)) for p in pieces]]
         return out

@@ -96,6 +96,26 @@ def test_applied_correction_matches_a_loop_also_when_split(observe, seed, gap):
         assert rows(out, "seq", "action", "amount", "emitted", "counted") == expected
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_transfer_map_matches_every_start(seed):
+    rng = random.Random(seed)
+    band, low = rng.choice([0, 1, 7, 60]), rng.randrange(-20, 20)
+    e, expected, units = 0, [], []
+    for _ in range(rng.randrange(1, 80)):
+        e += rng.choice([0, 1, 5, 30, 200])
+        expected.append(e)
+        units.append(rng.choice([1, 1, 4, 35]))
+    high = low + rng.choice([0, 1, 50, 300])
+    pieces = drift._transfer(low, high, expected, units, band)
+    assert [p[0] for p in pieces] == [low, *[p[1] + 1 for p in pieces[:-1]]] and pieces[-1][1] == high
+    named = [dict(zip(("low", "high", "constant", "v"), p, strict=True)) for p in pieces]
+    for start in range(low, high + 1):
+        counted = start
+        for x, m in zip(expected, units, strict=True):
+            counted = drift._advance(counted, x, m, band)
+        assert drift._evaluate(named, start) == counted
+
+
 def _leads(spark, data):
     return spark.createDataFrame(
         [("s", us, i, lead, us) for i, (us, lead) in enumerate(data)],
