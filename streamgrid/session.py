@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # State processors need it.
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
 }
 
 
@@ -33,7 +35,6 @@ def build_session(
         builder = builder.master(master)
     settings = {
         **RUNTIME_SETTINGS,
-        "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
         # Call-site capture costs a driver round trip per column expression.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
