@@ -38,7 +38,7 @@ def rows_of(columns: list[str], rows: list) -> list[tuple]:
 def differences(df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     """None when columns, types (by kind) and rows agree."""
     got = df.toArrow()
-    want = con.execute(sql).to_arrow_table()
+    want = con.sql(sql).to_arrow_table()
     if sorted(got.column_names) != sorted(want.column_names):
         return f"columns {sorted(got.column_names)} != {sorted(want.column_names)}"
     types = {c: (got.schema.field(c).type, want.schema.field(c).type) for c in got.column_names}
