@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamgrid.llm import bpe, licenses, quality_model, secret_scan, toxicity
+from streamgrid.llm import bpe, licenses, mixing, neardup, quality_model, secret_scan, toxicity
 from streamgrid.llm.common import table
 from streamgrid.llm.training import held_out
 from streamgrid.session import apply_settings
@@ -62,3 +62,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     found = toxicity.score(docs, model)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op4_mixing")
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    taken = (F.col("size") * F.size("shards")).alias("taken")
+    return planned.select("doc_id", "source", "size", "source_size", "target", taken, "shards")
+
+
+@query("op6_neardup")
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
