@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamgrid.llm import bpe, licenses, mixing, neardup, quality_model, secret_scan, toxicity
+from streamgrid.llm import bpe, licenses, mixing, neardup, quality_model, quality_rules, secret_scan, toxicity
 from streamgrid.llm.common import table
 from streamgrid.llm.training import held_out
 from streamgrid.session import apply_settings
@@ -74,3 +74,40 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_neardup")
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL_QUALITY_RULES = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+c AS (
+  SELECT doc_id, len(words) AS n_words,
+         coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         list_transform(range(1, greatest(len(words) - 1, 1)),
+                        lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS tri
+  FROM w),
+g AS (SELECT doc_id, unnest(tri) AS gram, generate_subscripts(tri, 1) AS i FROM c),
+r AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g
+    QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1) GROUP BY doc_id),
+f AS (
+  SELECT c.doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+         len(regexp_extract_all(' ' || regexp_replace(w.t, '(\pL+)', ' \1 ', 'g') || ' ', ' \p{Lu}{2,} ')) AS capitals
+  FROM c JOIN w USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > 3 * n_words
+            OR 2 * capitals > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR 2 * n_dup_lines > n_lines) AS kept
+FROM f
+"""
+
+
+@query("op8_quality_rules", SQL_QUALITY_RULES)
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
