@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamgrid.llm import bpe, licenses, mixing, neardup, quality_model, quality_rules, secret_scan, toxicity
+from streamgrid.llm import bpe, licenses, mixing, neardup, pii, quality_model, quality_rules, secret_scan, toxicity
 from streamgrid.llm.common import table
 from streamgrid.llm.training import held_out
 from streamgrid.session import apply_settings
@@ -111,3 +111,8 @@ FROM f
 @query("op8_quality_rules", SQL_QUALITY_RULES)
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(table(spark, sf_dir, "documents"))
