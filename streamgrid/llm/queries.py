@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamgrid.llm import bpe, licenses, mixing, neardup, pii, quality_model, quality_rules, secret_scan, toxicity
+from streamgrid.llm import bpe, licenses, mixing, neardup, neighbours, pii, quality_model, quality_rules, secret_scan, toxicity
 from streamgrid.llm.common import table
 from streamgrid.llm.training import held_out
 from streamgrid.session import apply_settings
@@ -116,3 +116,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_pii")
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal(table(spark, sf_dir, "documents"))
+
+
+@query("op2_neighbours")
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(rows, rows.filter(F.col("vec_id") % 20 == 0))
