@@ -129,11 +129,17 @@ class LabelModel(NamedTuple):
         return sigmoid(math.log(self.prior / (1 - self.prior)) + (fired * hit + (1 - fired) * miss) @ self.share)
 
 
+def correlations(fired: np.ndarray, gold: np.ndarray) -> np.ndarray:
+    """How voters correlate beyond what the label explains: within labelled toxic and within labelled clean rows."""
+    rest = np.concatenate([fired[gold == y] - fired[gold == y].mean(0) for y in (0, 1) if (gold == y).any()])
+    length = np.sqrt((rest**2).sum(0))
+    return (rest.T @ rest) / np.maximum(np.outer(length, length), 1e-9)
+
+
 def fit_labels(fired: np.ndarray, gold: np.ndarray) -> LabelModel:
     """Expectation-maximisation from the labelled rows (``gold`` 0 or 1; -1: unknown), whose labels stay."""
     known = gold >= 0
-    linked = np.abs(np.nan_to_num(np.corrcoef(fired, rowvar=False))) >= SAME
-    share = 1 / np.maximum(1, linked.reshape(fired.shape[1], -1).sum(1))
+    share = 1 / np.maximum(1, (correlations(fired, gold) >= SAME).sum(1))
     belief = np.where(known, gold, 0.0).astype(float)
     weight = known.astype(float)
     model = None
