@@ -79,7 +79,7 @@ def shingles(text: str, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, _U), np.zeros(0, np.int64)
     size = min(size, len(words))
     count = len(words) - size + 1
-    joined = np.full(count, _U(size) * _GOLD)
+    joined = np.full(count, _U(size))
     for i in range(size):
         joined = (joined ^ words[i : i + count]) * _U(0xD6E8FEB86659FD93)
         joined ^= joined >> _U(32)
@@ -114,7 +114,7 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int = BANDS * RO
             height, throw = np.zeros(len(own)), 0
             while len(own):
                 throw += 1
-                dart = mix(h + _U((throw * 64 + width.bit_length()) & 0xFFFFFFFF) * _GOLD)
+                dart = mix(h + _U((throw * 64 + width.bit_length()) * int(_GOLD) % 2**64))
                 height = height - np.log1p(-uniform(dart)) / width
                 low = height < limit
                 own, h, w, limit, height, dart = (x[low] for x in (own, h, w, limit, height, dart))
