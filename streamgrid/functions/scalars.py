@@ -121,14 +121,34 @@ def _fixed(value: Column, digits: int, unit: str) -> Column:
 
 
 def format_bitrate(bps: Column | str) -> Column:
-    bps = _col(bps).cast("double")
+    """Whole bits per second, rounded as the double that stands for the scaled rate is."""
+    bps = _big(bps)
     return (
-        F.when(bps >= 1e6, _fixed(bps / 1e6, 1, "Mb/s"))
-        .when(bps >= 1e3, _fixed(bps / 1e3, 0, "kb/s"))
-        .otherwise(_fixed(bps, 0, "b/s"))
+        F.when(bps >= 1_000_000, _scaled(bps, 1_000_000, 1, "Mb/s"))
+        .when(bps >= 1_000, _scaled(bps, 1_000, 0, "kb/s"))
+        .otherwise(F.format_string("%d b/s", bps))
     )
 
 
+def _scaled(value: Column, unit: int, digits: int, name: str) -> Column:
+    """``value / unit`` with up to one digit, rounded by the exact value of that double.
+
+    The remainder decides in whole numbers. In the middle between two texts the double may lie above or below it: it
+    is its mantissa over a power of two, and both are whole numbers that can be compared. True ties go to the even.
+    """
+    step = unit // 10**digits
+    low, rest = int_div(value, step), value % step
+    double = value.cast("double") / F.lit(float(unit))
+    power = F.pow(F.lit(2.0), 52 - F.floor(F.log2(double)))
+    exact = lambda c: c.cast("decimal(19,0)").cast("decimal(38,0)")
+    side = exact(double * power) * (2 * 10**digits) - exact(power) * (2 * low + 1)
+    up = (rest * 2 > step) | ((rest * 2 == step) & ((side > 0) | ((side == 0) & (low % 2 == 1))))
+    shown = low + up.cast("bigint")
+    if not digits:
+        return F.format_string(f"%d {name}", shown)
+    return F.format_string(f"%d.%d {name}", int_div(shown, 10), shown % 10)
+
+
 def format_bytes(size: Column | str) -> Column:
     """Sizes in steps of 1024 up to Gio."""
     size = _big(size)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,12 +53,18 @@ def observed_rate_check(df: DataFrame, source_rate: float, tol: float, min_secs:
 
 
 def conservation(observations: DataFrame, filled: DataFrame) -> DataFrame:
-    """Nothing gets lost unnoticed: observations = fresh + superseded + pre-origin, slots = fresh + filled + skipped.
+    """Nothing gets lost unnoticed: observations = fresh + superseded + pre-origin + rejected, and
+    slots = fresh + filled + skipped.
 
-    ``observations`` has ``us`` and ``t0``; ``filled`` is the output of ``fill_gaps``.
+    ``observations`` are the raw rows, with the session's ``t0`` where it has one. Rows without a key, a time or an
+    origin are ``rejected``; those without a key are rows of the result of their own. ``filled`` is the output of
+    ``fill_gaps``.
     """
+    named = functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*STREAM_KEYS, "us", "t0")])
     seen = observations.groupBy(*STREAM_KEYS).agg(
-        F.count(F.lit(1)).alias("observations"), F.count_if(F.col("us") < F.col("t0")).alias("pre_origin")
+        F.count(F.lit(1)).alias("observations"),
+        F.count_if(named & (F.col("us") < F.col("t0"))).alias("pre_origin"),
+        F.count_if(~named).alias("rejected"),
     )
     grid = filled.groupBy(*STREAM_KEYS).agg(
         F.count_if(F.col("status") == "fresh").alias("fresh"),
@@ -69,5 +77,5 @@ def conservation(observations: DataFrame, filled: DataFrame) -> DataFrame:
     counts = ["fresh", "filled", "skipped", "superseded", "slots"]
     both = seen.join(grid, list(STREAM_KEYS), "left").withColumns({c: F.coalesce(F.col(c), zero) for c in counts})
     return both.withColumn(
-        "rows_conserved", F.col("observations") == F.col("fresh") + F.col("superseded") + F.col("pre_origin")
+        "rows_conserved", F.col("observations") == F.col("fresh") + F.col("superseded") + F.col("pre_origin") + F.col("rejected")
     ).withColumn("slots_conserved", F.col("slots") == F.col("fresh") + F.col("filled") + F.col("skipped"))

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -232,22 +233,31 @@ def apply_corrections(
     rows = rows.withColumn("expected", units_in(start + us_of_units(F.col("skipped"), rate, tb_us), rate, tb_us))
     cut = ordered(rows, keys, order, hot_rows=hot_rows)
     parted = cut.parted()
-    live = parted.filter(F.col("skipped") < n).select(
-        *keys, PART, *order, "expected", (n - F.col("skipped")).alias("units")
-    )
+    remaining = n - F.col("skipped")
     if cut.split:
-        live = live.join(_carried_counts(live, keys, order, band), [*keys, PART])
+        live = parted.filter(F.col("skipped") < n).select(
+            *keys, PART, *order, "expected", remaining.alias("units")
+        )
+        # A part of trimmed blocks only has no starting position, and needs none.
+        parted = parted.join(_carried_counts(live, keys, order, band), [*keys, PART], "left")
     else:
-        live = live.withColumn("start", F.lit(0).cast("bigint"))
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        counted = _replay(int(pdf["start"].iloc[0]), pdf["expected"].tolist(), pdf["units"].tolist(), band)
-        return pdf[[*keys, PART, *order]].assign(counted=np.array(counted, dtype="int64"))
-
-    types = ", ".join(f"`{c}` {live.schema[c].dataType.simpleString()}" for c in [*keys, PART, *order])
-    clock = live.groupBy(*keys, PART).applyInPandas(replay, f"{types}, counted bigint")
-    out = parted.join(clock, [*keys, PART, *order], "left").withColumn("drift", F.col("expected") - F.col("counted"))
+        parted = parted.withColumn("start", F.lit(0).cast("bigint"))
+    parted = parted.withColumn("_remaining", remaining).withColumn("counted", F.lit(None).cast("bigint"))
+
+    def replay(part: pa.Table) -> pa.Table:
+        """The rows of a part with their clock; rows of equal time and number stay as many as they are."""
+        part = part.sort_by([(c, "ascending") for c in (*order, "expected", "_remaining")])
+        left = part["_remaining"].to_numpy()
+        live = left > 0
+        counted = np.zeros(len(left), dtype="int64")
+        if live.any():
+            start = part["start"].to_pylist()[int(np.argmax(live))]
+            counted[live] = _replay(start, part["expected"].to_numpy()[live].tolist(), left[live].tolist(), band)
+        place = part.schema.get_field_index("counted")
+        return part.set_column(place, "counted", pa.array(counted, pa.int64(), mask=~live))
+
+    out = parted.groupBy(*keys, PART).applyInArrow(replay, parted.schema).drop("start", "_remaining")
+    out = out.withColumn("drift", F.col("expected") - F.col("counted"))
     out = plan_correction(out, rate, max_gap)
     remaining, trimmed = n - F.col("skipped"), F.col("counted").isNull()
     dropped = F.when(F.col("action") == "drop", F.least(F.col("amount"), remaining)).otherwise(F.lit(0))

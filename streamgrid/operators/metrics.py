@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,17 +10,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from streamgrid.functions.scalars import US_PER_SEC, floor_div
-from streamgrid.operators.joins import bounded, lookup_join
-from streamgrid.operators.ordered import HOT_ROWS, lag, ordered, running_max, running_sum
+from streamgrid.operators.ordered import lag, ordered, running_max, running_sum
 from streamgrid.schema import STREAM_KEYS
 
-# Latencies are floored at 1 us and values above 60 s are not recorded.
+# Fixed value: latencies are floored at 1 us.
 LATENCY_FLOOR_US = 1
-LATENCY_BOUND_US = 60_000_000
 # Fixed value: three significant digits need 2048 exact buckets, so 11 leading bits are kept.
 SIGNIFICANT_BITS = 11
 PART_TICKS = 65_536
-# Latencies are bounded, so a group has at most 58 value ranges of this width.
+# Width of a value range, about a second; a group has as many ranges as its largest latency has seconds.
 PART_VALUES = 1_048_576
 
 
@@ -28,71 +27,65 @@ def count_board(df: DataFrame, counters: Mapping[str, Column], by: Sequence[str]
     return df.groupBy(*by).agg(*[F.count_if(c).alias(name) for name, c in counters.items()])
 
 
-def _recorded(df: DataFrame, latency: str) -> DataFrame:
+def _floored(df: DataFrame, latency: str) -> DataFrame:
     floored = F.greatest(F.col(latency).cast("bigint"), F.lit(LATENCY_FLOOR_US).cast("bigint"))
-    return df.withColumn("_v", floored).filter(F.col("_v") <= LATENCY_BOUND_US)
+    return df.withColumn("_v", floored)
 
 
-def latency_summary(df: DataFrame, latency: str, by: Sequence[str], hot_rows: int | None = None) -> DataFrame:
-    """count, mean, p50, p99 (nearest rank, exact) and max per group.
+def latency_summary(df: DataFrame, latency: str, by: Sequence[str], bound_us: int | None = None) -> DataFrame:
+    """count, mean, p50, p99 (nearest rank, exact), max and out_of_range per group; null groups are groups.
 
-    The rows per group are counted first. While the largest group fits into one task the built-in exact
-    percentile is used; its state holds the distinct values of a group. Larger groups are ranked by value range.
+    Latencies above ``bound_us`` are counted in ``out_of_range`` only. A group's values are counted by value range
+    and value, combined before the shuffle. The running count over the ranges tells which range holds a rank, and
+    only there are values ranked, so no task holds more than the values of one range, whatever a group's share.
     """
     by = list(by)
-    rows = _recorded(df, latency)
-    peak = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if peak > (hot_rows or HOT_ROWS):
-        return _summary_by_range(rows, by)
-    return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("count"),
-        (F.sum("_v") / F.count(F.lit(1))).alias("mean_us"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _v)").cast("bigint").alias("p50_us"),
-        F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY _v)").cast("bigint").alias("p99_us"),
-        F.max("_v").alias("max_us"),
+    above = F.lit(False) if bound_us is None else F.col("_v") > bound_us
+    rows = _floored(df, latency).withColumn("_part", F.when(~above, floor_div("_v", PART_VALUES)))
+    counts = rows.groupBy(*by, "_part", F.when(F.col("_part").isNotNull(), F.col("_v")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n")
     )
-
-
-def _summary_by_range(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The summary without ever holding a group's values in one place.
-
-    First the rows per (group, value range) are counted; the running count over the ranges tells which range
-    holds a rank. Only rows of those ranges are then counted value by value. Both steps combine before the
-    shuffle, and no task holds more than the distinct values of one range, whatever the group's share of rows.
-    """
-    rows = rows.withColumn("_part", floor_div("_v", PART_VALUES))
-    parts = rows.groupBy(*by, "_part").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_sum"), F.max("_v").alias("_max")
+    inside = F.col("_part").isNotNull()
+    parts = counts.groupBy(*by, "_part").agg(
+        F.sum("_n").alias("_rows"), F.sum(F.col("_v") * F.col("_n")).alias("_sum"), F.max("_v").alias("_max")
     )
     group = W.partitionBy(*by)
-    before = F.sum("_n").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    ranges = bounded(
-        parts.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_total", F.sum("_n").over(group))
-    ).df
+    earlier = group.orderBy(F.col("_part").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    ranges = parts.withColumns({
+        "_before": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)),
+        "_total": F.sum(F.when(inside, F.col("_rows"))).over(group),
+    })
 
     def holds(q: float) -> Column:
         rank = F.col("_total") * q
-        return (F.col("_before") < rank) & (F.col("_before") + F.col("_n") >= rank)
+        return inside & (F.col("_before") < rank) & (F.col("_before") + F.col("_rows") >= rank)
 
-    wanted = ranges.filter(holds(0.5) | holds(0.99)).select(*by, "_part", "_before", "_total")
-    counts = (
-        lookup_join(rows, wanted, [*by, "_part"], spread_by=["_v"])
-        .groupBy(*by, "_part", "_v", "_before", "_total")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    wanted = ranges.filter(holds(0.5) | holds(0.99)).select(
+        *[F.col(k).alias(f"_by_{k}") for k in by], F.col("_part").alias("_wanted"), "_before", "_total"
+    )
+    same = functools.reduce(
+        lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_by_{k}")), by, F.col("_part") == F.col("_wanted")
     )
     upto = F.col("_before") + F.sum("_n").over(
         W.partitionBy(*by, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     )
-    ranked = counts.withColumn("_upto", upto)
+    ranked = counts.join(wanted, same).withColumn("_upto", upto)
 
     def quantile(q: float) -> Column:
         return F.min(F.when(F.col("_upto") >= F.col("_total") * q, F.col("_v")))
 
+    zero = F.lit(0).cast("bigint")
     totals = ranges.groupBy(*by).agg(
-        F.sum("_n").alias("count"), (F.sum("_sum") / F.sum("_n")).alias("mean_us"), F.max("_max").alias("max_us")
+        F.coalesce(F.sum(F.when(inside, F.col("_rows"))), zero).alias("count"),
+        (F.sum("_sum") / F.sum(F.when(inside, F.col("_rows")))).alias("mean_us"),
+        F.max("_max").alias("max_us"),
+        F.coalesce(F.sum(F.when(~inside, F.col("_rows"))), zero).alias("out_of_range"),
     )
     quantiles = ranked.groupBy(*by).agg(quantile(0.5).alias("p50_us"), quantile(0.99).alias("p99_us"))
-    return totals.join(quantiles, by).select(*by, "count", "mean_us", "p50_us", "p99_us", "max_us")
+    named = quantiles.withColumnsRenamed({k: f"_q_{k}" for k in by})
+    both = functools.reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_q_{k}")), by, F.lit(True))
+    joined = totals.join(named, both, "left") if by else totals.crossJoin(named)
+    return joined.select(*by, "count", "mean_us", "p50_us", "p99_us", "max_us", "out_of_range")
 
 
 def histogram_bucket(value: Column) -> tuple[Column, Column]:
@@ -103,11 +96,20 @@ def histogram_bucket(value: Column) -> tuple[Column, Column]:
     return low, low + width - 1
 
 
-def latency_histogram(df: DataFrame, latency: str, by: Sequence[str]) -> DataFrame:
-    """Mergeable histogram: rows per (group, bucket). Histograms of shards add up bucket by bucket."""
+def latency_histogram(
+    df: DataFrame, latency: str, by: Sequence[str], bound_us: int | None = None
+) -> DataFrame:
+    """Mergeable histogram: rows per (group, bucket). Histograms of shards add up bucket by bucket.
+
+    Latencies above ``bound_us`` share the bucket from ``bound_us + 1`` on, whose end is null.
+    """
     low, high = histogram_bucket(F.col("_v"))
+    if bound_us is not None:
+        above = F.col("_v") > bound_us
+        low = F.when(above, F.lit(bound_us + 1)).otherwise(low)
+        high = F.when(~above, high)
     return (
-        _recorded(df, latency)
+        _floored(df, latency)
         .withColumns({"bucket_low": low, "bucket_high": high})
         .groupBy(*by, "bucket_low", "bucket_high")
         .agg(F.count(F.lit(1)).alias("rows"))
@@ -121,7 +123,7 @@ def merge_histograms(histograms: DataFrame, by: Sequence[str]) -> DataFrame:
 def histogram_quantiles(histogram: DataFrame, by: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
     """Quantiles of a histogram, as the highest value of the bucket that holds the rank.
 
-    A group has at most about 18 000 buckets (bounded values, three digits), so one window per group is safe.
+    A group has at most 1024 buckets for each doubling of the value (three digits), so one window per group is safe.
     """
     window = W.partitionBy(*by)
     ranked = histogram.withColumn(
@@ -195,7 +197,7 @@ def gauge_statistics(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def loss_accounting(board: DataFrame) -> DataFrame:
     """Lost = queue drops + skipped slots. Filled and late rows are in the output, hence not lost."""
-    overruns = ["capture_overrun", "encoder_overload", "audio_overrun", "disk_write_lag"]
+    overruns = ["intake_overrun", "encoder_overload", "audio_overrun", "disk_write_lag"]
     present = [F.col(c) > 0 for c in overruns if c in board.columns]
     any_overrun = F.lit(False)
     for p in present:
@@ -255,17 +257,19 @@ def resource_peaks(df: DataFrame, memory: str, optional: str, by: Sequence[str])
 def occupancy(
     events: DataFrame, capacity: int, key: str = "session_id", hot_rows: int | None = None
 ) -> DataFrame:
-    """Fill of a queue after every event; ``delta`` is +1 for an offer and -1 for a take (us, seq order).
+    """Fill of a queue after every event; ``delta`` is +1 for an offer and -1 for a take.
+
+    Events are in the order of us, at one instant offers first, then seq: what is taken was offered before.
 
     ``inflight`` is the fill of an unbounded queue. ``length`` is the fill of a queue that drops the newest
     offer when full, and ``overflow`` the offers dropped so far: the running excess over the capacity. Takes
     are of accepted offers, so the bounded queue never goes below zero.
     """
-    rows = ordered(events, [key], ["us", "delta", "seq"], hot_rows=hot_rows)
+    rows = ordered(events.withColumn("_turn", -F.col("delta")), [key], ["us", "_turn", "seq"], hot_rows=hot_rows)
     rows = rows.scan(inflight=running_sum(F.col("delta").cast("bigint")))
     rows = rows.with_columns(above=F.col("inflight") > capacity, _excess=F.col("inflight") - capacity)
     rows = rows.scan(overflow=running_max(F.greatest(F.col("_excess"), F.lit(0))))
-    return rows.with_columns(length=F.col("inflight") - F.col("overflow")).result().drop("_excess")
+    return rows.with_columns(length=F.col("inflight") - F.col("overflow")).result().drop("_excess", "_turn")
 
 
 def occupancy_summary(occupied: DataFrame, key: str = "session_id") -> DataFrame:

@@ -187,7 +187,7 @@ def ordered(
     """
     hot_rows = hot_rows or HOT_ROWS
     if rows_bound is not None and rows_bound <= hot_rows:
-        return Ordered(df, keys, order, split=False)
+        return Ordered(df.withColumns(_refuse_null(keys)), keys, order, split=False)
     if part is not None:
         return Ordered(df.withColumns({**_refuse_null(keys), PART: part.cast("bigint")}), keys, order, split=True)
     if rows_bound is None:

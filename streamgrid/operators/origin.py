@@ -36,11 +36,11 @@ def session_bounds(df: DataFrame) -> DataFrame:
     return streams.groupBy("session_id").agg(F.max("first_us").alias("t0"), F.max("last_us").alias("end_us"))
 
 
-def attach_origin(df: DataFrame, origin: DataFrame | Bounded) -> DataFrame:
-    """Give every row its session's ``t0``."""
+def attach_origin(df: DataFrame, origin: DataFrame | Bounded, how: str = "inner") -> DataFrame:
+    """Give every row its session's ``t0``; with ``how="left"`` rows whose session has none stay, without."""
     if not isinstance(origin, Bounded):
         origin = origin.select("session_id", "t0")
-    return lookup_join(df, origin, ["session_id"], spread_by=["stream_id", "seq"])
+    return lookup_join(df, origin, ["session_id"], how, spread_by=["stream_id", "seq"])
 
 
 def trim_pre_origin(df: DataFrame) -> DataFrame:

@@ -104,10 +104,11 @@ def rank_candidates(requests: DataFrame) -> DataFrame:
 def first_success(attempts: DataFrame) -> DataFrame:
     """First attempt by rank that worked, with the failures before it in order.
 
-    Needs request_id, rank, name, ok and err. Without a success ``name`` is null and all failures are listed.
+    Needs request_id, rank, name, codec (asked for), candidate_codec, ok and err. ``fallback`` tells that the codec
+    opened is not the one asked for. Without a success ``name`` and it are null and all failures are listed.
     Attempts of one request are bounded by the preference table.
     """
-    best = F.min(F.when(F.col("ok"), F.struct("rank", "name")))
+    best = F.min(F.when(F.col("ok"), F.struct("rank", "name", "codec", "candidate_codec")))
     failures = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("rank", "name", "err"))))
     rows = attempts.groupBy("request_id").agg(best.alias("_best"), failures.alias("_failures"))
     before = F.filter("_failures", lambda f: F.col("_best").isNull() | (f["rank"] < F.col("_best.rank")))
@@ -116,6 +117,6 @@ def first_success(attempts: DataFrame) -> DataFrame:
         F.col("_best.rank").alias("rank"),
         F.col("_best.name").alias("name"),
         F.col("_best").isNotNull().alias("opened"),
-        (F.col("_best.rank") > 1).alias("fallback"),
+        (F.col("_best.candidate_codec") != F.col("_best.codec")).alias("fallback"),
         F.transform(before, lambda f: F.format_string("%s (%s)", f["name"], f["err"])).alias("failures"),
     )

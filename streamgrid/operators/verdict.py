@@ -14,7 +14,7 @@ SOURCE_SHARE = 0.95
 
 # Counters that should be zero.
 FAULT_COUNTERS = (
-    "lost", "gaps_filled", "dropped_units", "capture_overrun", "encoder_overload", "audio_overrun", "disk_write_lag",
+    "lost", "gaps_filled", "dropped_units", "intake_overrun", "encoder_overload", "audio_overrun", "disk_write_lag",
 )
 
 
@@ -37,10 +37,10 @@ def diagnosis(board: DataFrame) -> DataFrame:
             _rule(overloaded, "encoder_bottleneck"),
             _rule(overloaded & ~F.col("hardware"), "software_encoder"),
             _rule(overloaded & F.col("hardware"), "lower_quality"),
-            _rule(F.col("capture_overrun") > 0, "capture_queue_overflow"),
+            _rule(F.col("intake_overrun") > 0, "intake_queue_overflow"),
             _rule(F.col("disk_write_lag") > 0, "disk_lag"),
             _rule(
-                (F.col("captured_per_sec") < F.col("target") * SOURCE_SHARE) & (F.col("lost") == 0), "source_too_slow"
+                (F.col("received_per_sec") < F.col("target") * SOURCE_SHARE) & (F.col("lost") == 0), "source_too_slow"
             ),
         )
     )

@@ -196,17 +196,18 @@ def observed_rate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("conservation", f"""WITH {sql_fill(6 * HOUR, 2, SQL_USER)},
-seen AS (SELECT session_id, stream_id, count(*) AS observations, count(*) FILTER (us < t0) AS pre_origin
-  FROM obs JOIN origin USING (session_id) GROUP BY ALL),
+seen AS (SELECT session_id, stream_id, count(*) AS observations, count(*) FILTER (us < t0) AS pre_origin,
+  count(*) FILTER (session_id IS NULL OR stream_id IS NULL OR us IS NULL OR t0 IS NULL) AS rejected
+  FROM obs LEFT JOIN origin USING (session_id) GROUP BY ALL),
 g AS (SELECT session_id, stream_id, count(*) FILTER (status = 'fresh') AS fresh,
   count(*) FILTER (status = 'filled') AS filled, CAST(sum(lost) AS BIGINT) AS skipped,
   CAST(sum(superseded) AS BIGINT) AS superseded, max(slot_to) - min(slot) + 1 AS slots FROM filled GROUP BY ALL),
-b AS (SELECT session_id, stream_id, observations, pre_origin, coalesce(fresh, 0) AS fresh, coalesce(filled, 0) AS filled,
+b AS (SELECT session_id, stream_id, observations, pre_origin, rejected, coalesce(fresh, 0) AS fresh, coalesce(filled, 0) AS filled,
   coalesce(skipped, 0) AS skipped, coalesce(superseded, 0) AS superseded, coalesce(slots, 0) AS slots
   FROM seen LEFT JOIN g USING (session_id, stream_id))
-SELECT *, observations = fresh + superseded + pre_origin AS rows_conserved,
+SELECT *, observations = fresh + superseded + pre_origin + rejected AS rows_conserved,
   slots = fresh + filled + skipped AS slots_conserved FROM b""")
 def conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = user_events(spark, sf_dir)
-    seen = origin.attach_origin(rows, origin.common_origin(rows))
+    seen = origin.attach_origin(rows, origin.common_origin(rows), "left")
     return audit.conservation(seen, regularise(rows, 6 * HOUR, max_fill=2))

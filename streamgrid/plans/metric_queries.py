@@ -24,6 +24,7 @@ from streamgrid.sources.observations import micros
 
 SQL_USER = "CAST(user_id AS VARCHAR)"
 PERIOD = 6 * HOUR
+STAGES = ("click", "error", "purchase", "signup", "view")
 LATENCY = "((event_id * 7919) % 70000) * 1000"
 
 
@@ -72,7 +73,7 @@ def stream_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_ERRORS = f"""err AS (SELECT {SQL_USER} AS session_id, event_type AS stream_id, event_id AS seq, epoch_us(ts) AS us,
-  CASE event_id % 6 WHEN 0 THEN 'write' WHEN 1 THEN 'mux' WHEN 2 THEN 'encode' WHEN 3 THEN 'audio_capture'
+  CASE event_id % 6 WHEN 0 THEN 'write' WHEN 1 THEN 'mux' WHEN 2 THEN 'encode' WHEN 3 THEN 'audio_intake'
     WHEN 4 THEN 'eagain' ELSE 'eof' END AS raw, CASE WHEN event_id % 4 = 0 THEN 28 ELSE 5 END AS errno
   FROM events WHERE event_type = 'error'),
 cls AS (SELECT *, CASE WHEN raw = 'write' AND errno = 28 THEN 'disk_full' WHEN raw = 'write' THEN 'disk_write'
@@ -82,7 +83,7 @@ cls AS (SELECT *, CASE WHEN raw = 'write' AND errno = 28 THEN 'disk_full' WHEN r
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir, where=F.col("event_type") == "error", session=USER_SESSION)
     raw = F.element_at(
-        F.array(*[F.lit(k) for k in ("write", "mux", "encode", "audio_capture", "eagain", "eof")]),
+        F.array(*[F.lit(k) for k in ("write", "mux", "encode", "audio_intake", "eagain", "eof")]),
         (F.col("seq") % 6 + 1).cast("int"),
     )
     rows = rows.withColumn("raw", raw).withColumn("errno", F.when(F.col("seq") % 4 == 0, 28).otherwise(5))
@@ -106,7 +107,7 @@ SELECT session_id, arg_min(severity, (severity, us, seq)) AS severity, arg_min(u
   arg_min(seq, (severity, us, seq)) AS seq, arg_min(kind, (severity, us, seq)) AS kind, count(*) AS errors
 FROM r GROUP BY session_id""")
 def first_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write errors come first, then encoding, then capture; among equals the earliest."""
+    """Write errors come first, then encoding, then intake; among equals the earliest."""
     failures = _errors(spark, sf_dir).filter(scalars.is_failure("kind"))
     severity = F.when(F.col("kind").isin("disk_full", "disk_write", "mux"), 0).when(F.col("kind") == "encode", 1).otherwise(2)
     return merge.first_error(failures, severity).select("session_id", "severity", "us", "seq", "kind", "errors")
@@ -129,7 +130,7 @@ def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- counters and latency ------------------------------------------------------------------------------------------
 
 SQL_LATENCY = f"""lat AS (SELECT event_type AS stream_id, greatest({LATENCY}, 1) AS v FROM events),
-ok AS (SELECT * FROM lat WHERE v <= 60000000)"""
+ok AS (SELECT * FROM lat)"""
 SQL_BUCKET = """hist AS (SELECT stream_id, (v >> k) << k AS bucket_low, ((v >> k) << k) + (1::BIGINT << k) - 1 AS bucket_high,
   count(*) AS rows FROM (SELECT *, greatest(length(bin(v)) - 11, 0)::INT AS k FROM ok) GROUP BY ALL)"""
 
@@ -141,12 +142,22 @@ def _latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("latency_summary", f"""WITH {SQL_LATENCY}
 SELECT stream_id, count(*) AS count, round(CAST(sum(v) AS DOUBLE) / count(*), 3) AS mean_us, quantile_disc(v, 0.5) AS p50_us,
-  quantile_disc(v, 0.99) AS p99_us, max(v) AS max_us FROM ok GROUP BY stream_id""")
+  quantile_disc(v, 0.99) AS p99_us, max(v) AS max_us, CAST(0 AS BIGINT) AS out_of_range FROM ok GROUP BY stream_id""")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = metrics.latency_summary(_latencies(spark, sf_dir), "latency_us", ["stream_id"])
     return summary.withColumn("mean_us", F.round("mean_us", 3))
 
 
+@query("latency_bounded", f"""WITH {SQL_LATENCY}
+SELECT stream_id, count(*) FILTER (v <= 60000000) AS count, max(v) FILTER (v <= 60000000) AS max_us,
+  quantile_disc(v, 0.99) FILTER (v <= 60000000) AS p99_us, count(*) FILTER (v > 60000000) AS out_of_range
+FROM ok GROUP BY stream_id""")
+def latency_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latencies above a minute are told apart."""
+    summary = metrics.latency_summary(_latencies(spark, sf_dir), "latency_us", ["stream_id"], 60_000_000)
+    return summary.select("stream_id", "count", "max_us", "p99_us", "out_of_range")
+
+
 @query("latency_histogram", f"""WITH {SQL_LATENCY}, {SQL_BUCKET} SELECT * FROM hist""")
 def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.latency_histogram(_latencies(spark, sf_dir), "latency_us", ["stream_id"])
@@ -169,14 +180,14 @@ def histogram_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_SNAPSHOTS = f"""{sql_observations()},
 tick AS (SELECT session_id, stream_id, us // {PERIOD} AS k, count(*) AS c, count(*) FILTER (value > 150) AS d,
   CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS b FROM obs GROUP BY ALL),
-snap AS (SELECT session_id, stream_id, (k + 1) * {PERIOD} AS at_us, CAST(sum(c) OVER w AS BIGINT) AS captured,
+snap AS (SELECT session_id, stream_id, (k + 1) * {PERIOD} AS at_us, CAST(sum(c) OVER w AS BIGINT) AS received,
   CAST(sum(d) OVER w AS BIGINT) AS dropped, CAST(sum(b) OVER w AS BIGINT) AS bytes FROM tick
   WINDOW w AS (PARTITION BY session_id, stream_id ORDER BY k))"""
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     counters = {
-        "captured": F.lit(1),
+        "received": F.lit(1),
         "dropped": (F.col("value") > 150).cast("bigint"),
         "bytes": F.round(F.col("value") * 100).cast("bigint"),
     }
@@ -191,16 +202,16 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("snapshot_rates", f"""WITH {SQL_SNAPSHOTS},
-d AS (SELECT *, (at_us - lag(at_us) OVER w) / 1000000 AS secs, captured - lag(captured) OVER w AS dc,
+d AS (SELECT *, (at_us - lag(at_us) OVER w) / 1000000 AS secs, received - lag(received) OVER w AS dc,
   bytes - lag(bytes) OVER w AS db FROM snap WINDOW w AS (PARTITION BY session_id, stream_id ORDER BY at_us))
-SELECT stream_id, at_us, secs AS window_secs, round(greatest(dc, 0) / secs, 9) AS captured_per_sec,
+SELECT stream_id, at_us, secs AS window_secs, round(greatest(dc, 0) / secs, 9) AS received_per_sec,
   round(greatest(db, 0) / secs, 6) AS bytes_per_sec, round(greatest(db, 0) / secs * 8, 6) AS bytes_bits_per_sec FROM d""")
 def snapshot_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cumulative, ticks = _snapshots(spark, sf_dir)
-    rates = metrics.rates(cumulative, ["captured", "bytes"], size="bytes", tick_us=PERIOD, tick_bound=ticks)
+    rates = metrics.rates(cumulative, ["received", "bytes"], size="bytes", tick_us=PERIOD, tick_bound=ticks)
     return rates.select(
         "stream_id", "at_us", "window_secs",
-        F.round("captured_per_sec", 9).alias("captured_per_sec"),
+        F.round("received_per_sec", 9).alias("received_per_sec"),
         F.round("bytes_per_sec", 6).alias("bytes_per_sec"),
         F.round("bytes_bits_per_sec", 6).alias("bytes_bits_per_sec"),
     )
@@ -232,7 +243,7 @@ def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_QUEUE = """q AS (SELECT epoch_us(ts) AS us, 1 AS delta, event_id AS seq FROM events UNION ALL
   SELECT epoch_us(ts) + ((event_id * 7919) % 7200) * 1000000, -1, event_id FROM events),
-o AS (SELECT *, CAST(sum(delta) OVER (ORDER BY us, delta, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS inflight FROM q)"""
+o AS (SELECT *, CAST(sum(delta) OVER (ORDER BY us, delta DESC, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS inflight FROM q)"""
 
 
 def _queue_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,8 +269,8 @@ def occupancy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bounded_queue", """WITH q AS (
   SELECT epoch_us(ts) AS us, 1 AS delta, event_id AS seq FROM events UNION ALL
   SELECT epoch_us(ts) + 1000000, -1, event_id FROM events WHERE event_id % 4 = 0),
-n AS (SELECT *, CAST(sum(delta) OVER (ORDER BY us, delta, seq) AS BIGINT) AS s FROM q),
-e AS (SELECT *, greatest(max(s - 500) OVER (ORDER BY us, delta, seq), 0) AS overflow FROM n)
+n AS (SELECT *, CAST(sum(delta) OVER (ORDER BY us, delta DESC, seq) AS BIGINT) AS s FROM q),
+e AS (SELECT *, greatest(max(s - 500) OVER (ORDER BY us, delta DESC, seq), 0) AS overflow FROM n)
 SELECT us, seq, delta, s - overflow AS length, overflow FROM e""")
 def bounded_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events are offered to a queue of 500, one in four is taken a second later; the newest is dropped."""
@@ -282,14 +293,14 @@ def loss_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("run_rates", f"""WITH {sql_observations(SQL_USER)},
-r AS (SELECT session_id, (max(us) - min(us)) / 1000000 AS wall_secs, count(*) AS captured,
+r AS (SELECT session_id, (max(us) - min(us)) / 1000000 AS wall_secs, count(*) AS received,
   CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS bytes FROM obs GROUP BY session_id)
-SELECT session_id, wall_secs, captured, bytes, round(captured / greatest(wall_secs, 1e-9), 9) AS captured_per_sec,
+SELECT session_id, wall_secs, received, bytes, round(received / greatest(wall_secs, 1e-9), 9) AS received_per_sec,
   round(bytes / greatest(wall_secs, 1e-9), 6) AS bytes_per_sec FROM r""")
 def run_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counters = {"captured": F.lit(1), "bytes": F.round(F.col("value") * 100)}
+    counters = {"received": F.lit(1), "bytes": F.round(F.col("value") * 100)}
     rates = metrics.run_rates(user_events(spark, sf_dir), counters)
-    return rates.withColumn("captured_per_sec", F.round("captured_per_sec", 9)).withColumn(
+    return rates.withColumn("received_per_sec", F.round("received_per_sec", 9)).withColumn(
         "bytes_per_sec", F.round("bytes_per_sec", 6)
     )
 
@@ -329,7 +340,7 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _counters() -> dict:
     return {
-        "captured": F.lit(True),
+        "received": F.lit(True),
         "dropped_queue": F.col("value") > 150,
         "audio_overrun": (F.col("stream_id") == "purchase") & (F.col("value") > 200),
         "disk_write_lag": F.col("value") > 250,
@@ -337,7 +348,7 @@ def _counters() -> dict:
 
 
 @query("counter_board", f"""WITH {sql_observations(SQL_USER)}
-SELECT session_id, count(*) AS captured, count(*) FILTER (value > 150) AS dropped_queue,
+SELECT session_id, count(*) AS received, count(*) FILTER (value > 150) AS dropped_queue,
   count(*) FILTER (stream_id = 'purchase' AND value > 200) AS audio_overrun,
   count(*) FILTER (value > 250) AS disk_write_lag FROM obs GROUP BY session_id""")
 def counter_board(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,13 +360,13 @@ def counter_board(spark: SparkSession, sf_dir: str) -> DataFrame:
 TARGET = 5 * 1e6 / PERIOD
 
 SQL_BOARD = f"""{sql_fill(PERIOD, 2, SQL_USER)},
-c AS (SELECT session_id, count(*) AS captured, count(*) FILTER (value > 150) AS dropped_queue,
+c AS (SELECT session_id, count(*) AS received, count(*) FILTER (value > 150) AS dropped_queue,
   count(*) FILTER (stream_id = 'purchase' AND value > 200) AS audio_overrun, count(*) FILTER (value > 250) AS disk_write_lag,
   greatest((max(us) - min(us)) / 1000000, 1e-9) AS secs FROM obs GROUP BY session_id),
 g AS (SELECT session_id, count(*) FILTER (status <> 'skipped') AS emitted, count(*) FILTER (status = 'filled') AS filled,
   CAST(sum(lost) AS BIGINT) AS skipped, count(*) FILTER (status = 'skipped') AS encoder_overload FROM filled GROUP BY session_id),
-board AS (SELECT *, dropped_queue AS capture_overrun, dropped_queue + skipped AS lost, {TARGET!r} AS target,
-  captured / secs AS captured_per_sec, emitted / secs AS emitted_per_sec,
+board AS (SELECT *, dropped_queue AS intake_overrun, dropped_queue + skipped AS lost, {TARGET!r} AS target,
+  received / secs AS received_per_sec, emitted / secs AS emitted_per_sec,
   CAST(session_id AS BIGINT) % 2 = 0 AS hardware FROM c JOIN g USING (session_id))"""
 
 
@@ -373,9 +384,9 @@ def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("status") == "skipped").alias("encoder_overload"),
     )
     board = seen.join(grid, "session_id").withColumns({
-        "capture_overrun": F.col("dropped_queue"),
+        "intake_overrun": F.col("dropped_queue"),
         "target": F.lit(TARGET),
-        "captured_per_sec": F.col("captured") / F.col("secs"),
+        "received_per_sec": F.col("received") / F.col("secs"),
         "emitted_per_sec": F.col("emitted") / F.col("secs"),
         "hardware": F.col("session_id").cast("bigint") % 2 == 0,
     })
@@ -399,9 +410,9 @@ r AS (SELECT session_id, list_filter([
     CASE WHEN encoder_overload > 0 OR skipped > 0 THEN 'encoder_bottleneck' END,
     CASE WHEN (encoder_overload > 0 OR skipped > 0) AND NOT hardware THEN 'software_encoder' END,
     CASE WHEN (encoder_overload > 0 OR skipped > 0) AND hardware THEN 'lower_quality' END,
-    CASE WHEN capture_overrun > 0 THEN 'capture_queue_overflow' END,
+    CASE WHEN intake_overrun > 0 THEN 'intake_queue_overflow' END,
     CASE WHEN disk_write_lag > 0 THEN 'disk_lag' END,
-    CASE WHEN captured_per_sec < target * 0.95 AND lost = 0 THEN 'source_too_slow' END], lambda x : x IS NOT NULL) AS l FROM board),
+    CASE WHEN received_per_sec < target * 0.95 AND lost = 0 THEN 'source_too_slow' END], lambda x : x IS NOT NULL) AS l FROM board),
 d AS (SELECT session_id, CASE WHEN len(l) = 0 THEN ['source_limited_default'] ELSE l END AS l FROM r)
 SELECT session_id, CAST(unnest(range(len(l))) AS INTEGER) AS position, unnest(l) AS cause FROM d""")
 def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,29 +420,27 @@ def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("fault_rows", f"""WITH {SQL_BOARD},
-w AS (SELECT session_id, lost, capture_overrun, encoder_overload, audio_overrun, disk_write_lag FROM board)
-SELECT * FROM (UNPIVOT w ON lost, capture_overrun, encoder_overload, audio_overrun, disk_write_lag INTO NAME counter VALUE value)
+w AS (SELECT session_id, lost, intake_overrun, encoder_overload, audio_overrun, disk_write_lag FROM board)
+SELECT * FROM (UNPIVOT w ON lost, intake_overrun, encoder_overload, audio_overrun, disk_write_lag INTO NAME counter VALUE value)
 WHERE value > 0""")
 def fault_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counters = ["lost", "capture_overrun", "encoder_overload", "audio_overrun", "disk_write_lag"]
+    counters = ["lost", "intake_overrun", "encoder_overload", "audio_overrun", "disk_write_lag"]
     return verdicts.fault_rows(_board(spark, sf_dir), ["session_id"], counters)
 
 
 @query("dashboard", f"""WITH {SQL_BOARD},
 lat AS (SELECT {SQL_USER} AS session_id, event_type AS stage, greatest({LATENCY}, 1) AS v FROM events),
-s AS (SELECT session_id, max(v) FILTER (stage = 'click') AS click_max_us, max(v) FILTER (stage = 'view') AS view_max_us,
-  quantile_disc(v, 0.99) FILTER (stage = 'click') AS click_p99_us, quantile_disc(v, 0.99) FILTER (stage = 'view') AS view_p99_us
-  FROM lat WHERE v <= 60000000 GROUP BY session_id)
-SELECT session_id, captured, emitted, lost, filled, click_max_us, view_max_us, click_p99_us, view_p99_us
-FROM board LEFT JOIN s USING (session_id)""")
+s AS (SELECT session_id, {", ".join(f"max(v) FILTER (stage = '{x}') AS {x}_max_us, "
+  f"quantile_disc(v, 0.99) FILTER (stage = '{x}') AS {x}_p99_us" for x in STAGES)} FROM lat GROUP BY session_id)
+SELECT session_id, received, emitted, lost, filled, s.* EXCLUDE (session_id) FROM board LEFT JOIN s USING (session_id)""")
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters and stage latencies side by side."""
+    """Counters and the latencies of all stages side by side."""
     rows = table(spark, sf_dir, "events").select(
         F.expr(USER_SESSION).alias("session_id"), F.col("event_type").alias("stage"), F.expr(LATENCY).alias("latency_us")
     )
     summary = metrics.latency_summary(rows, "latency_us", ["session_id", "stage"])
-    stages = metrics.stage_columns(summary, "session_id", "stage", ["click", "view"], ["max_us", "p99_us"])
-    board = _board(spark, sf_dir).select("session_id", "captured", "emitted", "lost", "filled")
+    stages = metrics.stage_columns(summary, "session_id", "stage", STAGES, ["max_us", "p99_us"])
+    board = _board(spark, sf_dir).select("session_id", "received", "emitted", "lost", "filled")
     return board.join(stages, "session_id", "left")
 
 
@@ -510,13 +519,16 @@ def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("first_success", f"""WITH {SQL_RANKED},
 a AS (SELECT *, (request_id * 31 + rank * 17) % 5 = 0 AS ok FROM ranked),
-b AS (SELECT request_id, min(rank) FILTER (ok) AS best, arg_min(name, rank) FILTER (ok) AS name FROM a GROUP BY request_id)
-SELECT request_id, best AS rank, b.name, best IS NOT NULL AS opened, best > 1 AS fallback,
+b AS (SELECT request_id, min(rank) FILTER (ok) AS best, arg_min(name, rank) FILTER (ok) AS name,
+  arg_min(candidate_codec, rank) FILTER (ok) AS opened_codec FROM a GROUP BY request_id)
+SELECT request_id, best AS rank, b.name, best IS NOT NULL AS opened, opened_codec <> codec AS fallback,
   coalesce((SELECT string_agg(a.name || ' (errno ' || (a.rank % 7) || ')', ', ' ORDER BY a.rank) FROM a
-    WHERE a.request_id = b.request_id AND NOT ok AND (best IS NULL OR a.rank < best)), '') AS failures FROM b""")
+    WHERE a.request_id = b.request_id AND NOT ok AND (best IS NULL OR a.rank < best)), '') AS failures
+FROM b JOIN req USING (request_id)""")
 def first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth attempt opens."""
-    ranked = planning.rank_candidates(_requests(spark, sf_dir))
+    requests = _requests(spark, sf_dir)
+    ranked = planning.rank_candidates(requests).join(requests.select("request_id", "codec"), "request_id")
     attempts = ranked.withColumn("ok", (F.col("request_id") * 31 + F.col("rank") * 17) % 5 == 0).withColumn(
         "err", F.format_string("errno %d", F.col("rank") % 7)
     )

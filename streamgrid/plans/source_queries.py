@@ -176,7 +176,7 @@ SELECT stream_id, CAST(floor(slot / 144.0) AS BIGINT) AS segment, count(*) AS ro
 FROM filled GROUP BY 1, 2""")
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of one day of ten-minute slots (2 s at 72 slots per second in the gop formula)."""
-    gop = spark.range(1).select(scalars.gop_size(2.0, 72)).first()[0]
+    gop = max(1, round(2.0 * 72))
     filled = sinks.with_segment(regularise(events(spark, sf_dir), FINE, max_fill=2), gop)
     return filled.groupBy("stream_id", "segment").agg(F.count(F.lit(1)).alias("rows"), F.min("slot").alias("first_slot"))
 

@@ -35,7 +35,7 @@ def build_session(
         builder = builder.master(master)
     settings = {
         **RUNTIME_SETTINGS,
-        # Call-site capture costs a driver round trip per column expression.
+        # Recording call sites costs a driver round trip per column expression.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**settings, **(conf or {})}.items():

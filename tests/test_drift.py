@@ -96,6 +96,14 @@ def test_applied_correction_matches_a_loop_also_when_split(observe, seed, gap):
         assert rows(out, "seq", "action", "amount", "emitted", "counted") == expected
 
 
+@pytest.mark.parametrize("hot_rows", [10_000, 2])
+def test_corrections_keep_rows_of_equal_time_and_number(observe, hot_rows):
+    data = [("a", 0, 0, 10), ("a", 1, 10_000, 10), ("a", 1, 10_000, 10), ("a", 2, 20_000, 10)]
+    df = observe(data).withColumn("units", F.col("value").cast("bigint"))
+    out = drift.apply_corrections(df, 1000, 100, hot_rows=hot_rows)
+    assert rows(out, "seq", "counted") == [(0, 0), (1, 10), (1, 20), (2, 30)]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_transfer_map_matches_every_start(seed):
     rng = random.Random(seed)

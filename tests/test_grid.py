@@ -124,3 +124,24 @@ def test_common_origin(spark, observe):
     withdrawn = spark.createDataFrame([("s", "b")], "session_id string, stream_id string")
     assert t0([("a", 0, 7000, 0), ("b", 1, 9000, 0)], withdrawn=withdrawn) == 7000
     assert t0([("a", 0, 4000, 0), ("b", 1, 90_000, 0)], timeout_us=10_000) == 4000
+
+
+def test_null_streams_are_refused_whatever_the_size(observe):
+    from streamgrid.operators import ordered as o
+
+    df = observe([(None, 0, 0, 1), ("a", 1, 5, 2)])
+    for bound in (10, None):
+        with pytest.raises(Exception, match="must not be null"):
+            o.ordered(df, ["session_id", "stream_id"], ["us", "seq"], rows_bound=bound).scan(n=o.row_number()).result().collect()
+
+
+def test_conservation_counts_rejected_rows(observe, spark):
+    from streamgrid.operators import audit, origin
+    from streamgrid.plans.regularise import regularise
+
+    good = observe([("a", 0, 0, 1), ("a", 1, 10, 2)]).drop("t0")
+    raw = good.unionByName(good.withColumn("session_id", F.lit(None).cast("string")))
+    seen = origin.attach_origin(raw, origin.common_origin(good), "left")
+    out = audit.conservation(seen, regularise(good, 5, max_fill=2))
+    found = rows(out, "session_id", "observations", "rejected", "rows_conserved")
+    assert found == sorted([("s", 2, 0, True), (None, 2, 2, True)], key=repr)

@@ -10,30 +10,39 @@ from streamgrid.functions.lookups import constant_table
 from streamgrid.operators import audit, merge, metrics, planning, rules, verdict
 
 
-@pytest.mark.parametrize("hot_rows", [None, 10])
-def test_latency_summary_uses_nearest_rank(spark, hot_rows):
+def test_latency_summary_uses_nearest_rank(spark):
     df = spark.range(1, 1001).select(F.lit("a").alias("k"), F.col("id").alias("us"))
-    out = metrics.latency_summary(df, "us", ["k"], hot_rows=hot_rows)
+    out = metrics.latency_summary(df, "us", ["k"])
     assert rows(out, "count", "mean_us", "p50_us", "p99_us", "max_us") == [(1000, 500.5, 500, 990, 1000)]
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1])
-def test_latency_bounds(spark, hot_rows):
-    df = constant_table(spark, ["k", "us"], [("a", -5), ("a", 0), ("a", 60_000_000), ("a", 60_000_001)])
-    out = metrics.latency_summary(df, "us", ["k"], hot_rows=hot_rows)
-    assert rows(out, "count", "p50_us", "max_us") == [(3, 1, 60_000_000)]
+def test_latencies_above_a_bound_are_counted_apart(spark):
+    data = [("a", -5), ("a", 0), ("a", 60_000_000), ("a", 60_000_001), ("b", 70_000_000), (None, 7)]
+    df = spark.createDataFrame(data, "k string, us bigint")
+    out = metrics.latency_summary(df, "us", ["k"], 60_000_000)
+    found = rows(out, "k", "count", "p50_us", "max_us", "out_of_range")
+    assert found == sorted([("a", 3, 1, 60_000_000, 1), ("b", 0, None, None, 1), (None, 1, 7, 7, 0)], key=repr)
+    everything = rows(metrics.latency_summary(df, "us", ["k"]), "k", "count", "max_us", "out_of_range")
+    assert everything == sorted([("a", 4, 60_000_001, 0), ("b", 1, 70_000_000, 0), (None, 1, 7, 0)], key=repr)
+    bounded = metrics.latency_histogram(df, "us", ["k"], 60_000_000)
+    assert rows(bounded.filter("k = 'b'"), "bucket_low", "bucket_high", "rows") == [(60_000_001, None, 1)]
 
 
 def test_latency_summary_over_value_ranges(spark):
     rng = random.Random(9)
     data = [(rng.choice("aaab"), int(rng.paretovariate(0.6)) * 97 % 50_000_000 + 1) for _ in range(600)]
     df = spark.createDataFrame(data, "k string, us bigint")
-    for hot_rows in (None, 100):
-        for r in metrics.latency_summary(df, "us", ["k"], hot_rows=hot_rows).collect():
-            ranked = sorted(v for k, v in data if k == r["k"])
-            n = len(ranked)
-            assert (r["count"], r["max_us"]) == (n, ranked[-1])
-            assert (r["p50_us"], r["p99_us"]) == (ranked[-(-n // 2) - 1], ranked[-(-99 * n // 100) - 1])
+    for r in metrics.latency_summary(df, "us", ["k"]).collect():
+        ranked = sorted(v for k, v in data if k == r["k"])
+        n = len(ranked)
+        assert (r["count"], r["max_us"]) == (n, ranked[-1])
+        assert (r["p50_us"], r["p99_us"]) == (ranked[-(-n // 2) - 1], ranked[-(-99 * n // 100) - 1])
+
+
+def test_a_take_at_the_instant_of_its_offer_finds_it(spark):
+    data = [("s", 10, -1, 1), ("s", 10, 1, 1), ("s", 12, 1, 2), ("s", 12, -1, 2)]
+    df = spark.createDataFrame(data, "session_id string, us bigint, delta int, seq bigint")
+    assert rows(metrics.occupancy(df, 5), "us", "delta", "inflight") == [(10, -1, 0), (10, 1, 1), (12, -1, 0), (12, 1, 1)]
 
 
 def test_histogram_keeps_three_digits_and_merges(spark):
@@ -99,13 +108,13 @@ def test_verdicts(spark):
 
 
 def test_diagnosis_default_and_order(spark):
-    columns = ["session_id", "encoder_overload", "skipped", "hardware", "capture_overrun", "disk_write_lag",
-               "captured_per_sec", "target", "lost"]
+    columns = ["session_id", "encoder_overload", "skipped", "hardware", "intake_overrun", "disk_write_lag",
+               "received_per_sec", "target", "lost"]
     board = constant_table(spark, columns, [("a", 0, 0, True, 0, 0, 60.0, 60, 0), ("b", 1, 3, False, 2, 0, 10.0, 60, 3),
                                             ("c", 0, 0, True, 0, 0, 10.0, 60, 0)])
     causes = dict(rows(verdict.diagnosis(board), "session_id", "causes"))
     assert causes["a"] == ["source_limited_default"]
-    assert causes["b"] == ["encoder_bottleneck", "software_encoder", "capture_queue_overflow"]
+    assert causes["b"] == ["encoder_bottleneck", "software_encoder", "intake_queue_overflow"]
     assert causes["c"] == ["source_too_slow"]
 
 
@@ -164,10 +173,16 @@ def test_bitrate_plan(spark):
 
 
 def test_first_success_lists_failures_before_it(spark):
-    data = [(1, 1, "a", False, "x"), (1, 2, "b", True, None), (1, 3, "c", False, "z"), (2, 1, "a", False, "x")]
-    out = planning.first_success(constant_table(spark, ["request_id", "rank", "name", "ok", "err"], data))
+    data = [
+        (1, 1, "a", "h264", "h264", False, "x"), (1, 2, "b", "h264", "av1", True, None), (1, 3, "c", "h264", "h264", False, "z"),
+        (2, 1, "a", "h264", "h264", False, "x"),
+        (3, 1, "a", "h264", "h264", False, "x"), (3, 2, "b", "h264", "h264", True, None),
+    ]
+    columns = ["request_id", "rank", "name", "codec", "candidate_codec", "ok", "err"]
+    out = planning.first_success(constant_table(spark, columns, data))
+    # Another name for the codec asked for is no fallback.
     assert rows(out, "request_id", "name", "opened", "fallback", "failures") == [
-        (1, "b", True, True, ["a (x)"]), (2, None, False, None, ["a (x)"]),
+        (1, "b", True, True, ["a (x)"]), (2, None, False, None, ["a (x)"]), (3, "b", True, False, ["a (x)"]),
     ]
 
 

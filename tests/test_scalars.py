@@ -52,6 +52,13 @@ def test_frames(spark, size, channels, expected):
         (scalars.format_bitrate, 35_000_000, "35.0 Mb/s"),
         (scalars.format_bitrate, 128_000, "128 kb/s"),
         (scalars.format_bitrate, 12, "12 b/s"),
+        # In the middle between two texts the double decides: 1.15 lies below it, 2.45 above, 2.25 and 2.5 on it.
+        (scalars.format_bitrate, 1_150_000, "1.1 Mb/s"),
+        (scalars.format_bitrate, 2_450_000, "2.5 Mb/s"),
+        (scalars.format_bitrate, 2_250_000, "2.2 Mb/s"),
+        (scalars.format_bitrate, 999_950_000_000, "999950.0 Mb/s"),
+        (scalars.format_bitrate, 2_500, "2 kb/s"),
+        (scalars.format_bitrate, 3_500, "4 kb/s"),
         (scalars.format_bytes, 1536, "1.5 Kio"),
         (scalars.format_bytes, 12, "12 o"),
         (scalars.format_bytes, 5 * 1024**4, "5120.0 Gio"),
