@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streamgrid.sources.observations import micros, read_chunks, read_observations
+from streamgrid.streaming.replay import write_replay
 
 HOUR = 3_600_000_000
 MINUTE = 60_000_000
@@ -49,9 +50,24 @@ EVENTS_SCHEMA = T.StructType([
 ])
 
 
-def events_stream(spark: SparkSession, sf_dir: str, session: str = "'all'", pattern: str = "events*.parquet") -> DataFrame:
-    """The same rows as a stream of files."""
-    return read_observations(spark, f"{sf_dir}/{pattern}", _event_mapping(session), stream_schema=EVENTS_SCHEMA)
+END_STREAM = "end"
+
+
+def events_stream(
+    spark: SparkSession, sf_dir: str, session: str = "'all'", by_arrival: bool = False, end_mark: bool = False
+) -> DataFrame:
+    """The same rows as a stream of at least four files in time (or arrival) order, one for each micro-batch.
+
+    The end mark is a row of the stream ``END_STREAM`` thirty days after the last, which closes all that is open.
+    """
+    rows = spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    order = micros("ts") + F.expr(ARRIVAL_DELAY_US) if by_arrival else micros("ts")
+    late = F.timestamp_micros(F.col("_last") + F.lit(30 * DAY))
+    end = {"event_id": F.lit(0), "ts": late.cast("timestamp_ntz"), "event_type": F.lit(END_STREAM)} if end_mark else None
+    path = write_replay(rows, order, end)
+    return read_observations(
+        spark, path, _event_mapping(session), stream_schema=EVENTS_SCHEMA, files_per_trigger=1
+    )
 
 
 USER_SESSION = "CAST(user_id AS STRING)"

@@ -1,6 +1,6 @@
-"""Streaming forms over the events table, run to completion.
+"""Streaming forms over the events table, in several micro-batches, run to completion.
 
-Append mode emits what the watermark has passed, so the SQL counterparts cut off at the final watermark.
+Append mode emits what the watermark has passed; where that matters an end mark moves it past everything open.
 """
 
 from __future__ import annotations
@@ -18,24 +18,22 @@ from streamgrid.streaming import operators, sinks, windows
 ORIGIN = 1_704_067_200_000_000
 
 
-@query("stream_tick_counters", f"""WITH {sql_observations()}, m AS (SELECT max(us) - {HOUR} AS mark FROM obs),
+@query("stream_tick_counters", f"""WITH {sql_observations()},
 t AS (SELECT session_id, stream_id, us // {6 * HOUR} AS k, count(*) AS rows, count(*) FILTER (value > 150) AS dropped
   FROM obs GROUP BY ALL)
-SELECT session_id, stream_id, k * {6 * HOUR} AS from_us, (k + 1) * {6 * HOUR} AS to_us, rows, dropped FROM t, m
-WHERE (k + 1) * {6 * HOUR} <= mark // 1000 * 1000""")
+SELECT session_id, stream_id, k * {6 * HOUR} AS from_us, (k + 1) * {6 * HOUR} AS to_us, rows, dropped FROM t""")
 def stream_tick_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = windows.with_lookahead(events_stream(spark, sf_dir), "1 hour")
+    rows = windows.with_lookahead(events_stream(spark, sf_dir, end_mark=True), "1 hour")
     counters = {"rows": F.lit(1), "dropped": F.col("value") > 150}
     return sinks.drain(spark, windows.tick_counters(rows, "6 hours", counters), "ticks")
 
 
-@query("stream_sessions", f"""WITH {sql_observations()}, m AS (SELECT max(us) - {HOUR} AS mark FROM obs),
+@query("stream_sessions", f"""WITH {sql_observations()},
 g AS (SELECT *, coalesce(us - lag(us) OVER w >= {2 * HOUR}, FALSE) AS brk FROM obs WINDOW w AS (PARTITION BY stream_id ORDER BY us)),
 s AS (SELECT *, sum(brk::INT) OVER (PARTITION BY stream_id ORDER BY us) AS seg FROM g)
-SELECT session_id, stream_id, count(*) AS rows, min(us) AS from_us, max(us) AS to_us FROM s, m GROUP BY session_id, stream_id, seg
-HAVING max(us) + {2 * HOUR} <= max(mark) // 1000 * 1000""")
+SELECT session_id, stream_id, count(*) AS rows, min(us) AS from_us, max(us) AS to_us FROM s GROUP BY session_id, stream_id, seg""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = windows.with_lookahead(events_stream(spark, sf_dir), "1 hour")
+    rows = windows.with_lookahead(events_stream(spark, sf_dir, end_mark=True), "1 hour")
     return sinks.drain(spark, windows.gap_sessions(rows, "2 hours"), "sessions")
 
 
@@ -51,10 +49,8 @@ def stream_thin_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_grid_fill", f"""WITH {sql_observations()},
 n AS (SELECT *, (us - {ORIGIN} + {HOUR // 2}) // {HOUR} AS nominal FROM obs WHERE us >= {ORIGIN}),
 e AS (SELECT *, greatest(nominal, CAST(ceil((arrival_us - {ORIGIN} - {HOUR // 2}) / {HOUR}.0) AS BIGINT)) AS slot FROM n),
-m AS (SELECT (max(slot) * {HOUR} + {ORIGIN} - {HOUR + HOUR // 2}) // 1000 * 1000 AS mark FROM e),
 c AS (SELECT stream_id, slot, arg_max(us, (arrival_us, us, seq)) AS us, arg_max(value, (arrival_us, us, seq)) AS value,
-  count(*) - 1 AS superseded, count(*) FILTER (slot > nominal) AS late FROM e, m
-  GROUP BY stream_id, slot HAVING slot * {HOUR} + {ORIGIN} <= max(mark)),
+  count(*) - 1 AS superseded, count(*) FILTER (slot > nominal) AS late FROM e GROUP BY stream_id, slot),
 r AS (SELECT *, lead(slot) OVER (PARTITION BY stream_id ORDER BY slot) AS nxt FROM c)
 SELECT stream_id, slot, slot AS slot_to, 'fresh' AS status, us, value, superseded, late, 0::BIGINT AS lost FROM r
 UNION ALL SELECT stream_id, s, s, 'filled', us, value, 0, 0, 0 FROM (SELECT *, unnest(range(slot + 1, nxt)) AS s FROM r
@@ -62,7 +58,9 @@ UNION ALL SELECT stream_id, s, s, 'filled', us, value, 0, 0, 0 FROM (SELECT *, u
 UNION ALL SELECT stream_id, slot + 1, nxt - 1, 'skipped', NULL, NULL, 0, 0, nxt - slot - 1 FROM r WHERE nxt - slot - 1 > 1""")
 def stream_grid_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly grid with late rows re-slotted, gaps of one slot filled, longer ones skipped."""
-    slots = operators.stream_slots(events_stream(spark, sf_dir), HOUR, ORIGIN, HOUR // 2)
+    slots = operators.stream_slots(
+        events_stream(spark, sf_dir, by_arrival=True, end_mark=True), HOUR, ORIGIN, HOUR // 2
+    )
     filled = sinks.drain(spark, operators.stream_fill(slots, max_fill=1), "grid")
     return filled.drop("session_id", "seq")
 
@@ -77,12 +75,12 @@ def stream_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_barrier", f"""WITH {sql_observations('CAST(user_id AS VARCHAR)')},
 f AS (SELECT session_id, stream_id, min(us) AS f FROM obs GROUP BY ALL),
-e AS (SELECT session_id, min(f) AS e, count(*) AS n, max((SELECT max(us) FROM obs)) AS mark FROM f GROUP BY session_id)
+e AS (SELECT session_id, min(f) AS e, count(*) AS n FROM f GROUP BY session_id)
 SELECT session_id, max(f) AS t0, count(*) AS streams, max(n) < 5 OR count(*) < max(n) AS timed_out FROM f JOIN e USING (session_id)
-WHERE f <= e + {2 * DAY} GROUP BY session_id HAVING max(n) = 5 OR max(e) + {2 * DAY} < max(mark)""")
+WHERE f <= e + {2 * DAY} GROUP BY session_id""")
 def stream_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Origins of user sessions: all five streams, or those within two days of the earliest."""
-    rows = events_stream(spark, sf_dir, session="CAST(user_id AS STRING)")
+    rows = events_stream(spark, sf_dir, session="CAST(user_id AS STRING)", end_mark=True)
     return sinks.drain(spark, operators.start_barrier(rows, participants=5, timeout_us=2 * DAY), "barrier")
 
 
@@ -91,7 +89,7 @@ t AS (SELECT stream_id, us, seq, value, max(us) OVER (PARTITION BY stream_id ORD
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM obs)
 SELECT stream_id, us, seq, value FROM t WHERE latest IS NULL OR us > latest""")
 def stream_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    thinned = operators.stream_thin(events_stream(spark, sf_dir))
+    thinned = operators.stream_thin(events_stream(spark, sf_dir, by_arrival=True))
     return sinks.drain(spark, thinned, "strict").select("stream_id", "us", "seq", "value")
 
 

@@ -31,9 +31,17 @@ def to_schema(df: DataFrame, mapping: Mapping[str, Column], schema: T.StructType
 BYTES_PER_TRIGGER = 2 * 1024**3
 
 
-def _scan(spark: SparkSession, path: str, where: Column | None, stream_schema: T.StructType | None) -> DataFrame:
+def _scan(
+    spark: SparkSession,
+    path: str,
+    where: Column | None,
+    stream_schema: T.StructType | None,
+    files_per_trigger: int | None = None,
+) -> DataFrame:
     if stream_schema is None:
         df = spark.read.parquet(path)
+    elif files_per_trigger:
+        df = spark.readStream.schema(stream_schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     else:
         df = spark.readStream.schema(stream_schema).option("maxBytesPerTrigger", BYTES_PER_TRIGGER).parquet(path)
     return df if where is None else df.filter(where)
@@ -45,13 +53,15 @@ def read_observations(
     mapping: Mapping[str, Column],
     where: Column | None = None,
     stream_schema: T.StructType | None = None,
+    files_per_trigger: int | None = None,
 ) -> DataFrame:
     """Scan Parquet into the observation schema; a ``stream_schema`` makes it a streaming scan.
 
+    A micro-batch takes ``files_per_trigger`` files if given, else files up to ``BYTES_PER_TRIGGER``.
     ``where`` is applied to the raw columns, so it reaches the Parquet reader; a filter on the derived ``us``
     would not.
     """
-    return to_schema(_scan(spark, path, where, stream_schema), mapping, OBSERVATIONS)
+    return to_schema(_scan(spark, path, where, stream_schema, files_per_trigger), mapping, OBSERVATIONS)
 
 
 def read_chunks(
