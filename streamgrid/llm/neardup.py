@@ -233,8 +233,9 @@ def verified_links(docs: DataFrame, texts: DataFrame, links: DataFrame, least: f
         F.col("_tid").alias("tid"), *[F.col(made)[c].alias(c) for c in ("hashes", "weights")],
         (F.col(made)["tid"] == F.col("_tid")).alias("own"),
     )
-    # An id may stand for several rows; all with this text give the same set.
-    sets = cut(sets.filter("own").drop("own"), "neardup-sets").dropDuplicates(["tid"])
+    # An id may stand for several rows; all with this text give the same set. The sets are written after that, so that
+    # the joins below deal both sides out themselves and can split a leader of very many members.
+    sets = cut(sets.filter("own").drop("own").dropDuplicates(["tid"]), "neardup-sets")
     left = sets.select(F.col("tid").alias("leader"), F.col("hashes").alias("h1"), F.col("weights").alias("w1"))
     right = sets.select(F.col("tid").alias("member"), F.col("hashes").alias("h2"), F.col("weights").alias("w2"))
     both = links.join(right, "member").join(left, "leader")
