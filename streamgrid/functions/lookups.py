@@ -53,7 +53,7 @@ def constant_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -
             return str(value).lower()
         if isinstance(value, float):
             return f"{value!r}D"
-        return str(value) if isinstance(value, int) else "'" + str(value).replace("'", "\\'") + "'"
+        return str(value) if isinstance(value, int) else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
     body = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from streamgrid.functions.scalars import ceil_div, floor_div, slot_of
 from streamgrid.operators.joins import lookup_join
-from streamgrid.operators.ordered import lead, ordered, row_number, running_max
+from streamgrid.operators.ordered import lead, ordered, refuse_null, row_number, running_max
 from streamgrid.schema import STREAM_KEYS
 
 # Slots are unique per stream after coalescing, so a part holds at most this many rows.
@@ -144,6 +144,7 @@ def cap_rows(df: DataFrame, limit: int, hot_rows: int | None = None) -> DataFram
     """
     if limit <= GROUP_LIMIT:
         window = W.partitionBy(*STREAM_KEYS).orderBy("us", "seq")
+        df = df.withColumns(refuse_null(STREAM_KEYS))
         return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= limit).drop("_rank")
     rows = ordered(df, STREAM_KEYS, ["us", "seq"], hot_rows=hot_rows).scan(_rank=row_number()).result()
     return rows.filter(F.col("_rank") <= limit).drop("_rank")

@@ -166,7 +166,7 @@ class Ordered:
         return F.coalesce(shift(F.struct(col.alias("v"))).over(window), carry)["v"]
 
 
-def _refuse_null(keys: Sequence[str]) -> dict[str, Column]:
+def refuse_null(keys: Sequence[str]) -> dict[str, Column]:
     message = F.lit(f"stream keys {list(keys)} must not be null; see split_malformed")
     return {k: F.coalesce(F.col(k), F.raise_error(message)) for k in keys}
 
@@ -187,9 +187,9 @@ def ordered(
     """
     hot_rows = hot_rows or HOT_ROWS
     if rows_bound is not None and rows_bound <= hot_rows:
-        return Ordered(df.withColumns(_refuse_null(keys)), keys, order, split=False)
+        return Ordered(df.withColumns(refuse_null(keys)), keys, order, split=False)
     if part is not None:
-        return Ordered(df.withColumns({**_refuse_null(keys), PART: part.cast("bigint")}), keys, order, split=True)
+        return Ordered(df.withColumns({**refuse_null(keys), PART: part.cast("bigint")}), keys, order, split=True)
     if rows_bound is None:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         has_null = functools.reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
@@ -199,7 +199,7 @@ def ordered(
         if (peak or 0) <= hot_rows:
             return Ordered(df, keys, order, split=False)
     cuts = math.ceil(rows_bound / max(1, hot_rows // 2))
-    ranged = df.withColumns(_refuse_null(keys)).repartitionByRange(cuts, *keys, *order)
+    ranged = df.withColumns(refuse_null(keys)).repartitionByRange(cuts, *keys, *order)
     ranged = ranged.withColumn(PART, F.spark_partition_id().cast("bigint"))
     path = scratch_path(df.sparkSession, "ordered")
     ranged.write.parquet(path)

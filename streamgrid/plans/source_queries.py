@@ -156,6 +156,22 @@ def report_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("unit_conversions", """SELECT event_id AS seq, (event_id * 7919) / 1e6 AS seconds, (event_id * 7919) / 1e3 AS ms,
+  (event_id * 8.0::DOUBLE) / (1 + event_id % 3) AS bits_per_sec,
+  (event_id * 977 * 90000 + 500 * (1 + event_id % 3)) // (1000 * (1 + event_id % 3)) AS ticks FROM events""")
+def unit_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time bases of the rescaled ticks are columns."""
+    rows = table(spark, sf_dir, "events").select("event_id")
+    wide, parts = F.col("event_id") * 7919, F.lit(1) + F.col("event_id") % 3
+    return rows.select(
+        F.col("event_id").alias("seq"),
+        scalars.us_to_seconds(wide).alias("seconds"),
+        scalars.us_to_ms(wide).alias("ms"),
+        scalars.bytes_to_bits_per_sec("event_id", parts).alias("bits_per_sec"),
+        scalars.rescale_ts(F.col("event_id") * 977, F.lit(1), 1000 * parts, F.lit(1), F.lit(90000)).alias("ticks"),
+    )
+
+
 @query("extension_align", """WITH p AS (SELECT page_id,
     url || CASE page_id % 4 WHEN 0 THEN '.MKV' WHEN 1 THEN '.mp4' WHEN 2 THEN '' ELSE '/.hidden' END AS path FROM pages),
 n AS (SELECT page_id, path, regexp_extract(path, '([^/]*)$', 1) AS name FROM p),

@@ -58,22 +58,26 @@ def write_status(df: DataFrame, path: str, checkpoint: str, by: Sequence[str] =
 
 
 class RateListener(StreamingQueryListener):
-    """Keeps the latest input and processing rates and the rows dropped as too late."""
+    """Keeps the latest input and processing rates, and running totals of rows read and dropped as too late."""
 
     def __init__(self, keep: int = 1000):
         self.reports: deque[dict] = deque(maxlen=keep)
+        self.rows = self.dropped_late = 0
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
+        late = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        self.rows += p.numInputRows
+        self.dropped_late += late
         self.reports.append({
             "batch": p.batchId,
             "rows": p.numInputRows,
             "input_per_sec": p.inputRowsPerSecond,
             "processed_per_sec": p.processedRowsPerSecond,
-            "dropped_late": sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
+            "dropped_late": late,
         })
 
     def onQueryIdle(self, event) -> None:
