@@ -209,28 +209,9 @@ def _carried_counts(rows: DataFrame, keys: list[str], order: list[str], band: in
     return maps.groupBy(*keys).applyInPandas(fold, f"{key_types}, start bigint")
 
 
-def apply_corrections(
-    df: DataFrame,
-    rate: int,
-    max_gap: int,
-    tb_us: int = US_PER_SEC,
-    units: str = "units",
-    hot_rows: int = 1_000_000,
-) -> DataFrame:
-    """Trim, measure the drift and correct it block by block; the clock follows what was inserted or dropped.
-
-    Needs ``t0`` (the anchor). Blocks wholly before ``t0`` are kept with action ``trimmed``. Soft compensation
-    does not move the clock. Adds skipped, expected, counted, drift, action, amount and emitted units.
-
-    The clock is a true recurrence per stream. Streams of at most ``hot_rows`` blocks are replayed in one
-    group; a longer stream is cut into parts whose starting positions are computed in parallel.
-    """
+def _corrected_clock(rows: DataFrame, n: Column, band: int, hot_rows: int) -> DataFrame:
+    """Add ``counted``, null for blocks without live units."""
     keys, order = list(STREAM_KEYS), ["us", "seq"]
-    band = max(max_gap, max(1, rate // DEADBAND_DIVISOR) - 1)
-    start, n = F.col("us") - F.col("t0"), F.col(units).cast("bigint")
-    skipped = F.greatest(units_in(-start, rate, tb_us), F.lit(0).cast("bigint"))
-    rows = df.withColumn("skipped", F.least(skipped, n))
-    rows = rows.withColumn("expected", units_in(start + us_of_units(F.col("skipped"), rate, tb_us), rate, tb_us))
     cut = ordered(rows, keys, order, hot_rows=hot_rows)
     parted = cut.parted()
     remaining = n - F.col("skipped")
@@ -256,9 +237,42 @@ def apply_corrections(
         place = part.schema.get_field_index("counted")
         return part.set_column(place, "counted", pa.array(counted, pa.int64(), mask=~live))
 
-    out = parted.groupBy(*keys, PART).applyInArrow(replay, parted.schema).drop("start", "_remaining")
+    return parted.groupBy(*keys, PART).applyInArrow(replay, parted.schema).drop("start", "_remaining", PART)
+
+
+def apply_corrections(
+    df: DataFrame,
+    rate: int,
+    max_gap: int,
+    tb_us: int = US_PER_SEC,
+    units: str = "units",
+    hot_rows: int = 1_000_000,
+    enabled: bool = True,
+) -> DataFrame:
+    """Trim, measure the drift and correct it block by block; the clock follows what was inserted or dropped.
+
+    Needs ``t0`` (the anchor). Blocks wholly before ``t0`` are kept with action ``trimmed``. Soft compensation
+    does not move the clock. Adds skipped, expected, counted, drift, action, amount and emitted units.
+
+    With ``enabled`` off nothing is corrected, and the clock is the running sum of the units that come in.
+
+    The clock is a true recurrence per stream. Streams of at most ``hot_rows`` blocks are replayed in one
+    group; a longer stream is cut into parts whose starting positions are computed in parallel.
+    """
+    keys, order = list(STREAM_KEYS), ["us", "seq"]
+    band = max(max_gap, max(1, rate // DEADBAND_DIVISOR) - 1)
+    start, n = F.col("us") - F.col("t0"), F.col(units).cast("bigint")
+    skipped = F.greatest(units_in(-start, rate, tb_us), F.lit(0).cast("bigint"))
+    rows = df.withColumn("skipped", F.least(skipped, n))
+    rows = rows.withColumn("expected", units_in(start + us_of_units(F.col("skipped"), rate, tb_us), rate, tb_us))
+    if enabled:
+        out = _corrected_clock(rows, n, band, hot_rows)
+    else:
+        came = ordered(rows, keys, order, hot_rows=hot_rows)
+        came = came.scan(counted=running_sum(n - F.col("skipped"), inclusive=False)).result()
+        out = came.withColumn("counted", F.when(F.col("skipped") < n, F.col("counted")))
     out = out.withColumn("drift", F.col("expected") - F.col("counted"))
-    out = plan_correction(out, rate, max_gap)
+    out = plan_correction(out, rate, max_gap, enabled)
     remaining, trimmed = n - F.col("skipped"), F.col("counted").isNull()
     dropped = F.when(F.col("action") == "drop", F.least(F.col("amount"), remaining)).otherwise(F.lit(0))
     return (
@@ -270,7 +284,6 @@ def apply_corrections(
             .otherwise(F.col("amount")),
         )
         .withColumn("action", F.when(trimmed, "trimmed").otherwise(F.col("action")))
-        .drop(PART)
     )
 
 

@@ -24,6 +24,37 @@ def outside(column: str, low: float, high: float) -> Column:
 # Accepted sample rates and the name parts of hardware encoders.
 SAMPLE_RATES = (8_000, 16_000, 22_050, 32_000, 44_100, 48_000)
 HARDWARE_NAMES = ("vaapi", "qsv", "nvenc", "amf", "videotoolbox", "mf")
+# Rule, column, lowest and highest accepted value (None: no bound).
+BOUNDS = [
+    ("fps_bounds", "video_fps", 1, 480),
+    ("fps_minimum", "video_fps", 30, None),
+    ("keyframe_interval", "video_keyframe_secs", 0.1, 60.0),
+    ("b_frames", "video_b_frames", None, 16),
+    ("lookahead", "video_lookahead_ms", None, 1000),
+    ("convert_threads", "video_convert_threads", None, 64),
+    ("writer_buffer", "output_buffer_kb", 64, 262_144),
+    ("video_queue", "queue_video", 2, 240),
+    ("audio_queue", "queue_audio", 2, 4096),
+    ("packet_queue", "queue_packet", 8, 8192),
+]
+# The same for what counts only if there is audio.
+AUDIO_BOUNDS = [
+    ("channels", "audio_channels", 1, 2),
+    ("audio_bitrate", "audio_bitrate", 32_000, 512_000),
+    ("fragment", "audio_fragment_ms", 1, 100),
+    ("max_drift", "audio_max_drift_ms", 10, 5000),
+]
+# Bounds of a bit rate that is not left to the library (0), and slots beyond the queue.
+BITRATE_BOUNDS = (100_000, 500_000_000)
+SPARE_FRAMES = 2
+
+
+def _bounded(name: str, column: str, low: float | None, high: float | None, only_if: Column | None = None) -> Rule:
+    below = F.lit(False) if low is None else F.col(column) < low
+    above = F.lit(False) if high is None else F.col(column) > high
+    broken = below | above
+    limits = [f"at least {low}"] * (low is not None) + [f"at most {high}"] * (high is not None)
+    return Rule(name, broken if only_if is None else only_if & broken, f"{column} has to be {' and '.join(limits)}")
 
 
 def config_rules() -> list[Rule]:
@@ -32,38 +63,19 @@ def config_rules() -> list[Rule]:
     hardware_name = F.lit(False)
     for part in HARDWARE_NAMES:
         hardware_name = hardware_name | F.contains(F.col("video_encoder"), F.lit(part))
+    rates = ", ".join(map(str, SAMPLE_RATES))
     return [
-        Rule("fps_bounds", outside("video_fps", 1, 480), "video.fps out of bounds (1..480)"),
-        Rule("fps_minimum", F.col("video_fps") < 30, "video.fps below the minimum of 30"),
-        Rule(
-            "video_bitrate",
-            (F.col("video_bitrate") != 0) & outside("video_bitrate", 100_000, 500_000_000),
-            "video.bitrate out of bounds (100 kb/s..500 Mb/s, or 0)",
-        ),
-        Rule("keyframe_interval", outside("video_keyframe_secs", 0.1, 60.0), "video.keyframe_interval_secs (0.1..60)"),
-        Rule("b_frames", F.col("video_b_frames") > 16, "video.b_frames above 16"),
-        Rule("lookahead", F.col("video_lookahead_ms") > 1000, "video.lookahead_ms above 1000"),
-        Rule("convert_threads", F.col("video_convert_threads") > 64, "video.convert_threads above 64"),
-        Rule(
-            "hardware_off",
-            (F.col("video_hardware") == "off") & hardware_name,
-            "video.encoder is a hardware encoder although video.hardware is off",
-        ),
-        Rule("sample_rate", audio & ~F.col("audio_sample_rate").isin(*SAMPLE_RATES), "audio.sample_rate unsupported"),
-        Rule("channels", audio & outside("audio_channels", 1, 2), "audio.channels (1..2)"),
-        Rule("audio_bitrate", audio & outside("audio_bitrate", 32_000, 512_000), "audio.bitrate (32..512 kb/s)"),
-        Rule("fragment", audio & outside("audio_fragment_ms", 1, 100), "audio.fragment_ms (1..100)"),
-        Rule("max_drift", audio & outside("audio_max_drift_ms", 10, 5000), "audio.max_drift_ms (10..5000)"),
-        Rule("path_empty", F.col("output_path") == "", "output.path is empty"),
-        Rule("folder_missing", ~F.col("output_folder_exists"), "output folder does not exist"),
-        Rule("writer_buffer", outside("output_buffer_kb", 64, 262_144), "output.writer_buffer_kb (64..262144)"),
-        Rule("video_queue", outside("queue_video", 2, 240), "pipeline.video_queue (2..240)"),
-        Rule("audio_queue", outside("queue_audio", 2, 4096), "pipeline.audio_queue (2..4096)"),
-        Rule("packet_queue", outside("queue_packet", 8, 8192), "pipeline.packet_queue (8..8192)"),
+        *[_bounded(*bound) for bound in BOUNDS],
+        *[_bounded(*bound, audio) for bound in AUDIO_BOUNDS],
+        _bounded("video_bitrate", "video_bitrate", *BITRATE_BOUNDS, F.col("video_bitrate") != 0),
+        Rule("sample_rate", audio & ~F.col("audio_sample_rate").isin(*SAMPLE_RATES), f"audio_sample_rate is none of {rates}"),
+        Rule("hardware_off", (F.col("video_hardware") == "off") & hardware_name, "video_encoder contradicts video_hardware"),
+        Rule("path_empty", F.col("output_path") == "", "output_path names no file"),
+        Rule("folder_missing", ~F.col("output_folder_exists"), "output_path lies in no folder that exists"),
         Rule(
             "frame_pool",
-            F.col("frame_pool") < F.col("queue_video") + 2,
-            "pipeline.frame_pool below video_queue + 2",
+            F.col("frame_pool") < F.col("queue_video") + SPARE_FRAMES,
+            f"frame_pool has to exceed queue_video by {SPARE_FRAMES}",
         ),
     ]
 

@@ -135,6 +135,21 @@ def applied_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stream_id", "seq", "skipped", "counted", "action", "amount", "emitted")
 
 
+@query("uncorrected_clock", f"""WITH {sql_observations()}, t AS (SELECT min(us) + {DAY} AS t0 FROM obs),
+s AS (SELECT stream_id, seq, us, us - t0 AS start, 1 + seq % 3 AS n FROM obs, t),
+k AS (SELECT *, least(greatest({_sql_units('greatest(-start, 0)')}, 0), n) AS skipped FROM s)
+SELECT stream_id, seq, skipped, CASE WHEN skipped < n THEN CAST(coalesce(sum(n - skipped) OVER (PARTITION BY stream_id
+  ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) END AS counted,
+  CASE WHEN skipped < n THEN 'none' ELSE 'trimmed' END AS action, n - skipped AS emitted FROM k""")
+def uncorrected_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corrections switched off."""
+    rows = events(spark, sf_dir).withColumn("units", units_of())
+    first = rows.groupBy("session_id").agg((F.min("us") + DAY).alias("t0"))
+    rows = lookup_join(rows, first, ["session_id"], spread_by=["seq"])
+    out = drift.apply_corrections(rows, RATE, MAX_GAP, tb_us=TB_US, enabled=False)
+    return out.select("stream_id", "seq", "skipped", "counted", "action", "emitted")
+
+
 @query("gap_segments", f"""WITH {sql_observations()},
 g AS (SELECT *, coalesce(abs(us - (lag(us) OVER w + {HOUR // 2})) > {HOUR}, FALSE) AS discontinuity FROM obs
   WINDOW w AS (PARTITION BY stream_id ORDER BY us, seq)),
