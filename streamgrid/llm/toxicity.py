@@ -97,15 +97,21 @@ def mine_lexicon(texts: DataFrame, limit: int = VOTERS) -> tuple[bytes, ...]:
     """The ``limit`` entries that tell labelled toxic documents from clean ones best, from (text, label)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A task holds the entries of its share of the bounded sample.
         seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            keys = list(seen[0].keys() | seen[1].keys())
+            columns = [pa.array(keys, pa.binary()), *(pa.array([s[k] for k in keys], pa.int64()) for s in seen)]
+            yield from pa.table(columns, names=["key", "clean", "toxic"]).to_batches(max_chunksize=50_000)
+            seen[0].clear()
+            seen[1].clear()
+
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"], strict=True):
                 seen[label.as_py() > 0].update({k for w in set(words_of(text.as_py())) for k in keys_of(w)})
-        keys = list(seen[0].keys() | seen[1].keys())
-        columns = [pa.array(keys, pa.binary()), *(pa.array([s[k] for k in keys], pa.int64()) for s in seen)]
-        for part in pa.table(columns, names=["key", "clean", "toxic"]).to_batches(max_chunksize=50_000):
-            yield part
+                if len(seen[0]) + len(seen[1]) > MEMO_WORDS:
+                    yield from sums()
+        yield from sums()
 
     known = texts.filter(F.col("label").isNotNull())
     counted = known.mapInArrow(count, "key binary, clean bigint, toxic bigint").groupBy("key")
@@ -194,16 +200,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     lexicon = mine_lexicon(texts)
     count = _counts_udf(lexicon)
     table = texts.select(count(F.col("text")).alias("x"), "label").toArrow()
-    x = np.array(table["x"].to_pylist(), float).reshape(-1, len(lexicon) + len(PATTERNS) + 1)
+    x = table["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(lexicon) + len(PATTERNS) + 1)
     gold = np.array([-1 if v is None else v for v in table["label"].to_pylist()], int)
     return fit_arrays(lexicon, x, gold)
 
 
 def _counts_udf(lexicon: tuple[bytes, ...]):  # noqa: ANN202
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf("array<float>")
     def count(texts: pa.Array) -> pa.Array:
         own = voters(lexicon)
-        return pa.array([own.counts(t.as_py() or "") for t in texts], pa.list_(pa.float64()))
+        counts = [own.counts(t.as_py() or "").astype(np.float32) for t in texts]
+        return pa.array(counts, pa.list_(pa.float32()))
 
     return count
 
