@@ -33,7 +33,7 @@ PLAIN_SPLIT = r""" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?[^\w\s]+|\s+(?!\S)|\s
 NOT_PLAIN = r"[^\t-\r\x20-^`-~\u00c0-\u024f\u0400-\u045f]"
 
 #: Entries a worker keeps of pieces already encoded and of pairs already judged; beyond it they are computed again.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 200_000
 #: Longer pieces are not remembered.
 MEMO_CHARS = 64
 
