@@ -32,7 +32,7 @@ BANDS = 24
 ROWS = 6
 LEADERS = 2
 #: Documents whose darts are thrown together.
-TOGETHER = 256
+TOGETHER = 64
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _U = np.uint64
