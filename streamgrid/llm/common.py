@@ -9,11 +9,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamgrid.session import ensure_checkpoint_dir
+from streamgrid.session import apply_settings, ensure_checkpoint_dir
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Bytes of texts that go to a Python worker at once; a task holds a few times that, whatever the texts' lengths.
+BATCH_BYTES = "8m"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """The library's settings, and Arrow batches bounded by the bytes of long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return apply_settings(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamgrid.llm import bpe, licenses, mixing, neardup, neighbours, pii, quality_model, quality_rules, secret_scan, toxicity
-from streamgrid.llm.common import table
+from streamgrid.llm.common import prepare, table
 from streamgrid.llm.training import held_out
-from streamgrid.session import apply_settings
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -22,7 +21,7 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: fn(apply_settings(spark), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: fn(prepare(spark), sf_dir)
         if sql is not None:
             SQL[name] = sql
         return fn
