@@ -10,34 +10,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamgrid.llm import bpe, mixing, neardup, pii, quality_model
-from streamgrid.llm.common import DOCUMENTS, cut, table
+from streamgrid.llm.common import DOCUMENTS, cut, prepare, table
 from streamgrid.llm.queries import VOCABULARY
-from streamgrid.session import apply_settings
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good ones; it learns from their labels and from the other documents."""
+    prepare(spark)
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
     return quality_model.score(docs, model).filter("predicted = 1").select(*DOCUMENTS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, the one with the smallest id."""
+    prepare(spark)
     return neardup.keep_one(docs).select(*DOCUMENTS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind."""
+    prepare(spark)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*DOCUMENTS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mixture of sources takes, as often as it takes them, in shuffled shards."""
+    prepare(spark)
     return mixing.mix(docs).select(*DOCUMENTS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its number of tokens and the digests of its token ids and of the text decoded from them."""
+    prepare(spark)
     return bpe.digest(docs, VOCABULARY).select(*DOCUMENTS, "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -54,7 +58,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    apply_settings(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
