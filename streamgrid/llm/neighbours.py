@@ -30,6 +30,8 @@ RERANKED_LEAST = 100
 GROUPS = 32
 ROWS_PER_BLOCK = 16_384
 QUERIES_PER_BLOCK = 8_192
+#: Queries whose products with all pivots are computed together.
+QUERIES_AT_ONCE = 256
 
 
 def usable(vector: Column) -> Column:
@@ -64,22 +66,37 @@ def _search(pivots: np.ndarray, k: int, posted: int, visited: int):  # noqa: ANN
         ranks = np.arange(first.shape[1])
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
         asked, names = _matrix(queries["vector"], width).astype(np.float64), queries["query_id"].to_numpy()
-        for name, query in zip(names, asked, strict=True):
-            nearest = np.argsort(-(pivots @ query), kind="stable")
-            position = np.empty(len(pivots), np.int64)
-            position[nearest] = np.arange(len(pivots))
-            files = nearest[:visited]
-            files = files[files % GROUPS == group]
-            seen = [row[begins[p] : begins[p + 1]] for p in files]
-            near = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
-            near = near[ids[near] != name]
-            kept = max(RERANKED_LEAST, math.ceil(RERANKED * len(near)))
-            if kept < len(near):
-                footrule = np.abs(position[first[near]] - ranks).sum(1)
-                near = near[np.argpartition(footrule, kept - 1)[:kept]]
-            scores = (vectors[near] * query).sum(1)
-            best = np.lexsort((ids[near], -scores))[:k]
-            found.append((name, ids[near][best], scores[best]))
+        # Scaled to components of at most 1, rounding to single precision moves an inner product by less than ``slack``.
+        rough = (vectors / np.abs(vectors).max()).astype(np.float32)
+        slack = 1e-5 * width
+        place_of = np.empty(len(pivots), np.int64)
+        seen = min(visited, len(pivots))
+        for begin in range(0, len(names), QUERIES_AT_ONCE):
+            products = asked[begin : begin + QUERIES_AT_ONCE] @ pivots.T
+            for name, query, product in zip(names[begin:], asked[begin:], products, strict=False):
+                files = np.argpartition(-product, seen - 1)[:seen]
+                files = files[np.argsort(-product[files], kind="stable")]
+                # Pivots that are not visited lie behind those that are.
+                place_of[:] = seen
+                place_of[files] = np.arange(seen)
+                parts = [row[begins[p] : begins[p + 1]] for p in files[files % GROUPS == group]]
+                near = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+                if len(parts) > 1:
+                    marked = np.zeros(len(ids), bool)
+                    marked[near] = True
+                    near = np.flatnonzero(marked)
+                near = near[ids[near] != name]
+                kept = max(RERANKED_LEAST, math.ceil(RERANKED * len(near)))
+                if kept < len(near):
+                    footrule = np.abs(place_of[first[near]] - ranks).sum(1)
+                    near = near[np.argpartition(footrule, kept - 1)[:kept]]
+                if len(near) > k:
+                    guess = rough[near] @ (query / np.abs(query).max()).astype(np.float32)
+                    least = np.partition(guess, len(guess) - k)[len(guess) - k]
+                    near = near[guess >= least - 2 * slack]
+                scores = (vectors[near] * query).sum(1)
+                best = np.lexsort((ids[near], -scores))[:k]
+                found.append((name, ids[near][best], scores[best]))
         sizes = [len(i) for _, i, _ in found]
         columns = [
             np.repeat(np.array([n for n, _, _ in found]), sizes),
