@@ -8,8 +8,12 @@ weighted Jaccard similarity.
 
 Documents with the same words are one text, known by a 64-bit hash (among 20 billion texts about ten pairs collide).
 Texts that agree in a whole band of coordinates are candidates. Each bucket of a band has up to ``LEADERS`` leaders,
-the smallest hash in each of as many parts; links run from leaders to members, never between all members, so that
-their number grows with the members. Every link is verified on the exact shingle sets, and connected links make a class.
+the smallest hash in each of as many parts; links run from leaders to members first, so that their number grows with
+the members. Every link is verified on the exact shingle sets, and connected links make a class. Where a bucket then
+still holds members of several classes that are not leaders, all of its members go on to an exact join: two sets that
+are alike enough share one of their rarest shingles, so many of each that the rest is too few (a prefix filter). Sizes
+are parted into narrow steps, since the closer the sizes, the fewer shingles are needed. What all members of a family
+have from its template is then never looked up while the template alone does not make them alike.
 """
 
 from __future__ import annotations
@@ -17,10 +21,11 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamgrid.llm.common import cut, free_name
@@ -31,6 +36,10 @@ SIMILARITY = 0.8
 BANDS = 24
 ROWS = 6
 LEADERS = 2
+#: Sizes of shingle sets that are looked up together differ by this factor at most.
+STEP = 1.03
+#: Counters by which the exact join tells rare shingles from common ones; shared ones only make more candidates.
+COUNTERS = 1 << 20
 #: Documents whose darts are thrown together.
 TOGETHER = 64
 
@@ -204,12 +213,19 @@ def _similarity():  # noqa: ANN202
     return similarity
 
 
-def candidate_links(texts: DataFrame, leaders: int = LEADERS) -> DataFrame:
-    """Distinct (leader, member) of the buckets of all bands, from (tid, bands)."""
-    rows = cut(texts.select("tid", F.explode("bands").alias("bucket")), "neardup-buckets")
+def bucket_rows(texts: DataFrame) -> DataFrame:
+    """(tid, bucket) of all bands, written, from (tid, bands)."""
+    return cut(texts.select("tid", F.explode("bands").alias("bucket")), "neardup-buckets")
+
+
+def _leaders(leaders: int) -> list[Column]:
     part = F.pmod(F.xxhash64("tid"), F.lit(leaders))
-    chosen = [F.min(F.when(part == i, F.col("tid"))).alias(f"l{i}") for i in range(leaders)]
-    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *chosen).filter("n > 1").drop("n")
+    return [F.min(F.when(part == i, F.col("tid"))).alias(f"l{i}") for i in range(leaders)]
+
+
+def candidate_links(rows: DataFrame, leaders: int = LEADERS) -> DataFrame:
+    """Distinct (leader, member) of the buckets of all bands, from (tid, bucket)."""
+    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *_leaders(leaders)).filter("n > 1").drop("n")
     # Written, so that the join below deals both sides out itself and can split a hot bucket.
     buckets = cut(buckets, "neardup-leaders")
     joined = rows.join(buckets, "bucket").select(
@@ -222,8 +238,8 @@ def candidate_links(texts: DataFrame, leaders: int = LEADERS) -> DataFrame:
     return pair.distinct()
 
 
-def verified_links(docs: DataFrame, texts: DataFrame, links: DataFrame, least: float, weighted: bool) -> DataFrame:
-    """The links of at least the similarity ``least``, on the exact shingle sets. ``texts``: (tid, first)."""
+def exact_sets(docs: DataFrame, texts: DataFrame, links: DataFrame, weighted: bool) -> DataFrame:
+    """(tid, hashes, weights), written, of the texts in ``links``. ``texts``: (tid, first)."""
     wanted = links.select(F.col("leader").alias("tid")).union(links.select("member")).distinct()
     named = cut(wanted.join(texts.select("tid", "first"), "tid"), "neardup-wanted")
     named = named.withColumnsRenamed({"tid": "_tid", "first": "_first"})
@@ -235,13 +251,121 @@ def verified_links(docs: DataFrame, texts: DataFrame, links: DataFrame, least: f
     )
     # An id may stand for several rows; all with this text give the same set. The sets are written after that, so that
     # the joins below deal both sides out themselves and can split a leader of very many members.
-    sets = cut(sets.filter("own").drop("own").dropDuplicates(["tid"]), "neardup-sets")
+    return cut(sets.filter("own").drop("own").dropDuplicates(["tid"]), "neardup-sets")
+
+
+def verified_links(sets: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """The links of at least the similarity ``least``, on the exact shingle sets."""
     left = sets.select(F.col("tid").alias("leader"), F.col("hashes").alias("h1"), F.col("weights").alias("w1"))
     right = sets.select(F.col("tid").alias("member"), F.col("hashes").alias("h2"), F.col("weights").alias("w2"))
     both = links.join(right, "member").join(left, "leader")
     return both.filter(_similarity()("h1", "w1", "h2", "w2") >= least).select("leader", "member")
 
 
+def unsettled(rows: DataFrame, known: DataFrame, leaders: int = LEADERS) -> DataFrame:
+    """(tid, root) of the members of buckets where two that are no leaders may be of different classes.
+
+    ``rows``: (tid, bucket); ``known``: the ``components`` of the links that are verified.
+    """
+    rooted = rows.join(known.withColumnRenamed("node", "tid"), "tid", "left")
+    rooted = cut(rooted.select("tid", "bucket", F.coalesce("root", "tid").alias("root")), "neardup-rooted")
+    seen = rooted.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), *_leaders(leaders)
+    )
+    led = sum(F.col(f"l{i}").isNotNull().cast("int") for i in range(leaders))
+    hard = cut(seen.filter((F.col("low") < F.col("high")) & (F.col("n") - led > 1)).select("bucket"), "neardup-hard")
+    return rooted.join(hard, "bucket", "left_semi").select("tid", "root").distinct()
+
+
+def _elements(hashes: bytes, weights: bytes) -> np.ndarray:
+    """The shingles of a set; one that counts several times is as many elements."""
+    found = np.frombuffer(hashes, _U)
+    if not weights:
+        return found
+    times = np.frombuffer(weights, np.int32)
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return mix(np.repeat(found, times) + nth.astype(_U) * _GOLD)
+
+
+def _counted(sets: DataFrame) -> np.ndarray:
+    """How often the elements of each counter occur."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for h, w in zip(batch["hashes"], batch["weights"], strict=True):
+                np.add.at(total, (_elements(h.as_py(), w.as_py()) % _U(COUNTERS)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+    found = sets.select("hashes", "weights").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    table = found.toArrow()
+    total = np.zeros(COUNTERS, np.int64)
+    total[table["slot"].to_numpy()] = table["n"].to_numpy()
+    return total
+
+
+@functools.lru_cache(maxsize=1)
+def _steps() -> np.ndarray:
+    """The smallest size of each step."""
+    bounds = [1]
+    while bounds[-1] < 1 << 32:
+        bounds.append(max(bounds[-1] + 1, math.floor(bounds[-1] * STEP)))
+    return np.array(bounds)
+
+
+def prefixes(size: int, least: float) -> Iterator[tuple[int, int, int]]:
+    """(own step, other step, elements to look up) of a set against the sets of each step that can be alike enough."""
+    step = lambda n: int(np.searchsorted(_steps(), n, "right")) - 1
+    # Bounds give way by more than the rounding of doubles: a longer prefix loses nothing.
+    smallest = max(1, math.ceil(least * size - 1e-6))
+    for other in range(step(smallest), step(math.floor(size / least + 1e-6)) + 1):
+        shared = math.ceil(least / (1 + least) * (size + max(smallest, int(_steps()[other]))) - 1e-6)
+        if shared <= size:
+            yield step(size), other, min(size, size - shared + 1)
+
+
+def rare_keys(sets: DataFrame, least: float) -> DataFrame:
+    """(key, side, tid, root): what each of ``sets`` (tid, root, hashes, weights) is looked up by.
+
+    Sets of at least the similarity ``least`` have a key in common, on sides 0 and 1, or both on side 2.
+    """
+    held = sets.sparkSession.sparkContext.broadcast(_counted(sets))
+    names = ["key", "side", "tid", "root"]
+
+    def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tid, root, h, w in zip(*(batch[c] for c in ("tid", "root", "hashes", "weights")), strict=True):
+                found = _elements(h.as_py(), w.as_py())
+                found = found[np.lexsort((found, held.value[(found % _U(COUNTERS)).astype(np.int64)]))]
+                keys, sides = [], []
+                for own, other, n in prefixes(len(found), least):
+                    low, high = min(own, other), max(own, other)
+                    keys.append(mix(found[:n] ^ mix(np.array([low * 4096 + high + 1], _U))))
+                    sides.append(np.full(n, 2 if own == other else int(own > other), np.int32))
+                key, side = np.concatenate(keys).view(np.int64), np.concatenate(sides)
+                same = [np.full(len(key), x.as_py(), np.int64) for x in (tid, root)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, side, *same)], names)
+
+    return sets.mapInArrow(look, "key bigint, side int, tid bigint, root bigint")
+
+
+def remaining_links(sets: DataFrame, hard: DataFrame, least: float) -> DataFrame:
+    """Distinct (leader, member) of different roots in ``hard`` (tid, root) that can have the similarity ``least``."""
+    sizes = hard.groupBy("root").agg(F.count(F.lit(1)).alias("many"))
+    mine = cut(sets.join(hard, "tid"), "neardup-unsettled")
+    rows = cut(rare_keys(mine, least), "neardup-keys")
+    roots = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    rows = cut(rows.join(roots.select("key"), "key", "left_semi").join(sizes, "root"), "neardup-shared")
+    # The largest class of a key is not joined with itself: its rows are only on one side.
+    main = rows.groupBy("key").agg(F.max_by("root", F.struct("many", "root")).alias("main"))
+    rows = cut(rows.join(main, "key").select("key", "side", "tid", "root", (F.col("root") == F.col("main")).alias("most")), "neardup-main")
+    a, b = rows.filter("not most").alias("a"), rows.alias("b")
+    facing = "(a.side = 2 or a.side <> b.side) and a.root <> b.root and (b.most or a.tid < b.tid)"
+    both = a.join(b, (F.col("a.key") == F.col("b.key")) & F.expr(facing))
+    return both.select(F.least("a.tid", "b.tid").alias("leader"), F.greatest("a.tid", "b.tid").alias("member")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, by alternating large and small stars.
 
@@ -282,8 +406,14 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, weighted: bool = F
     firsts = texts.select(F.col("tid").alias("_tid"), F.col("first").alias("_first"))
     own = (rows["tid"] == firsts["_tid"]) & rows["doc_id"].eqNullSafe(firsts["_first"])
     banded = rows.join(firsts, own).select("tid", "bands")
-    links = cut(candidate_links(banded), "neardup-links")
-    known = components(verified_links(docs, texts, links, least, weighted))
+    buckets = bucket_rows(banded)
+    links = cut(candidate_links(buckets), "neardup-links")
+    sets = exact_sets(docs, texts, links, weighted)
+    known = components(verified_links(sets, links, least))
+    hard = cut(unsettled(buckets, known), "neardup-open")
+    if not hard.isEmpty():
+        more = verified_links(sets, cut(remaining_links(sets, hard, least), "neardup-more"), least)
+        known = components(known.select(F.col("root").alias("leader"), F.col("node").alias("member")).union(more))
     rooted = texts.join(known.withColumnRenamed("node", "tid"), "tid", "left")
     rooted = cut(rooted.select("tid", "first", "n", F.coalesce("root", "tid").alias("root")), "neardup-rooted")
     sizes = cut(

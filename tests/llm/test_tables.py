@@ -95,6 +95,42 @@ def test_planted_copies_and_chains(spark):
     assert sorted(r["doc_id"] for r in neardup.keep_one(df).collect()) == [0, *range(90, 130)]
 
 
+def template_family(members, seed=3):
+    """Texts of one template, alike by 0.77, of which every second is alike by 0.82 to the one before."""
+    rng = random.Random(seed)
+    template = [f"t{rng.randrange(10**6)}" for _ in range(400)]
+    texts, tail = {}, []
+    for i in range(members):
+        fresh = [f"u{i}x{j}" for j in range(60)]
+        tail = fresh if i % 2 == 0 else tail[:16] + fresh[16:]
+        texts[i] = " ".join(template + tail)
+    return texts
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_pairs_inside_a_family_below_the_similarity(spark, weighted):
+    texts = template_family(300)
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    assert all(0.75 < jaccard(sets[0], sets[i]) < 0.79 for i in range(2, 300))
+    assert all(0.8 < jaccard(sets[i], sets[i + 1]) < 0.84 for i in range(0, 300, 2))
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
+    found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df, weighted=weighted).collect()}
+    assert found == {i: i - i % 2 for i in texts}
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.93])
+def test_sets_that_are_alike_share_a_rare_element(least):
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = set(rng.choice(1000, n, replace=False).tolist())
+        b = {x for x in a if rng.random() < rng.uniform(least, 1)} | set(range(2000, 2000 + int(rng.integers(0, n // 8 + 2))))
+        if jaccard(a, b) < least:
+            continue
+        looked = [{(min(o, p), max(o, p), x) for o, p, m in neardup.prefixes(len(s), least) for x in sorted(s)[:m]} for s in (a, b)]
+        assert looked[0] & looked[1]
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "leader bigint, member bigint")
     roots = {r["node"]: r["root"] for r in neardup.components(links).collect()}
