@@ -63,22 +63,20 @@ def _search(pivots: np.ndarray, k: int, posted: int, visited: int):  # noqa: ANN
         order = np.argsort(first[row, place], kind="stable")
         row, pivot = row[order], first[row, place][order]
         begins = np.searchsorted(pivot, np.arange(len(pivots) + 1))
-        ranks = np.arange(first.shape[1])
+        columns_of_first = np.ascontiguousarray(first.T)
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
         asked, names = _matrix(queries["vector"], width).astype(np.float64), queries["query_id"].to_numpy()
         # Scaled to components of at most 1, rounding to single precision moves an inner product by less than ``slack``.
         rough = (vectors / np.abs(vectors).max()).astype(np.float32)
         slack = 1e-5 * width
-        place_of = np.empty(len(pivots), np.int64)
         seen = min(visited, len(pivots))
         for begin in range(0, len(names), QUERIES_AT_ONCE):
             products = asked[begin : begin + QUERIES_AT_ONCE] @ pivots.T
-            for name, query, product in zip(names[begin:], asked[begin:], products, strict=False):
-                files = np.argpartition(-product, seen - 1)[:seen]
-                files = files[np.argsort(-product[files], kind="stable")]
-                # Pivots that are not visited lie behind those that are.
-                place_of[:] = seen
-                place_of[files] = np.arange(seen)
+            orders = np.argsort(-products, axis=1, kind="stable")
+            # The place of every pivot in a query's order, also of those that are not visited.
+            places = np.empty(orders.shape, np.int32)
+            np.put_along_axis(places, orders, np.arange(len(pivots), dtype=np.int32)[None, :], axis=1)
+            for name, query, files, place_of in zip(names[begin:], asked[begin:], orders[:, :seen], places, strict=False):
                 parts = [row[begins[p] : begins[p + 1]] for p in files[files % GROUPS == group]]
                 near = np.concatenate(parts) if parts else np.zeros(0, np.int64)
                 if len(parts) > 1:
@@ -88,7 +86,9 @@ def _search(pivots: np.ndarray, k: int, posted: int, visited: int):  # noqa: ANN
                 near = near[ids[near] != name]
                 kept = max(RERANKED_LEAST, math.ceil(RERANKED * len(near)))
                 if kept < len(near):
-                    footrule = np.abs(place_of[first[near]] - ranks).sum(1)
+                    footrule = np.zeros(len(near), np.int32)
+                    for rank, column in enumerate(columns_of_first):
+                        footrule += np.abs(place_of[column[near]] - np.int32(rank))
                     near = near[np.argpartition(footrule, kept - 1)[:kept]]
                 if len(near) > k:
                     guess = rough[near] @ (query / np.abs(query).max()).astype(np.float32)

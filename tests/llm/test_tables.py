@@ -169,6 +169,21 @@ def test_recall_and_order(spark):
     assert hits >= 0.9 * 20 * len(found)
 
 
+def test_recall_of_random_vectors(spark):
+    vectors = np.random.default_rng(0).normal(size=(10_000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    found = collections.defaultdict(set)
+    for r in neighbours.nearest(df.repartition(4), df.filter("vec_id < 120")).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(120):
+        products = vectors @ vectors[q]
+        products[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-products)[:20].tolist()))
+    assert hits >= 0.95 * 20 * 120
+
+
 def test_few_equal_and_broken_vectors(spark):
     inf, nan = float("inf"), float("nan")
     data = [(i, [1.0, 2.0]) for i in range(50)] + [(50, [0.0, 0.0]), (51, None), (52, [nan, 1.0]), (53, [inf, 1.0]), (54, [None, 1.0])]
