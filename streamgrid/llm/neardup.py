@@ -396,9 +396,14 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, weighted: bool = F
     of each other; texts without words are copies only if they are equal. Repeated rows are rows of one class. A null
     doc_id counts in sizes, and names a class only if no row has an id.
     """
+    return _classed(df, least, weighted).select("doc_id", "class_id", "class_size", "text_copies")
+
+
+def _classed(df: DataFrame, least: float, weighted: bool) -> DataFrame:
+    """``near_duplicates`` with the text's id ``tid``, a hash of the text as it is (``raw``), and the class's ``root``."""
     docs = df.select("doc_id", "text")
     made = docs.withColumn("_s", _sketch(weighted)(F.col("text")))
-    rows = cut(made.select("doc_id", F.col("_s")["tid"].alias("tid"), F.col("_s")["bands"].alias("bands")), "neardup")
+    rows = cut(made.select("doc_id", F.xxhash64("text").alias("raw"), F.col("_s")["tid"].alias("tid"), F.col("_s")["bands"].alias("bands")), "neardup")
     texts = cut(
         rows.groupBy("tid").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "neardup-texts"
     )
@@ -419,16 +424,21 @@ def near_duplicates(df: DataFrame, least: float = SIMILARITY, weighted: bool = F
     sizes = cut(
         rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size")), "neardup-classes"
     )
-    named = cut(rooted.join(sizes, "root").select("tid", "class_id", "class_size", F.col("n").alias("text_copies")), "named")
-    return rows.select("doc_id", "tid").join(named, "tid").drop("tid")
+    named = cut(rooted.join(sizes, "root").select("tid", "root", "class_id", "class_size", F.col("n").alias("text_copies")), "named")
+    return rows.select("doc_id", "raw", "tid").join(named, "tid")
 
 
 def keep_one(df: DataFrame, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """The rows of ``df`` without near copies: of each class the document with the smallest doc_id stays.
 
-    Repeated rows with the same doc_id are one document. Rows without an id cannot be named and all stay.
+    Where that id stands for several texts of the class, the one with the smallest text id stays. Repeated rows with the
+    same doc_id and text are one document. Rows without an id cannot be named and all stay.
     """
-    found = near_duplicates(df, least, weighted)
-    kept = cut(found.filter("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct(), "neardup-kept")
-    named = df.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(df.filter("doc_id is null"))
+    found = _classed(df, least, weighted).filter("doc_id = class_id")
+    first = found.groupBy("root", "doc_id").agg(F.min(F.struct("tid", "raw"))["raw"].alias("_raw"))
+    kept = cut(first.select(F.col("doc_id").alias("_kept"), "_raw").distinct(), "neardup-kept")
+    same = (F.col("doc_id") == F.col("_kept")) & (F.xxhash64("text") == F.col("_raw"))
+    named = df.filter("doc_id is not null").join(kept, same, "left_semi")
+    held = free_name(df.columns, "_raw")
+    one = named.withColumn(held, F.xxhash64("text")).dropDuplicates(["doc_id", held]).drop(held)
+    return one.unionByName(df.filter("doc_id is null"))

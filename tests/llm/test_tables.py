@@ -148,6 +148,20 @@ def test_odd_rows_near_duplicates(odd, nothing):
     assert neardup.near_duplicates(nothing).count() == 0 and neardup.keep_one(nothing).count() == 0
 
 
+def test_an_id_of_several_texts_loses_none(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(100)) for _ in range(4)]
+    near = texts[0].rsplit(" ", 1)[0] + " other"
+    rows = [(1, texts[0]), (1, near), (1, texts[1]), (1, texts[1]), (2, texts[2]), (2, near), (3, texts[3].upper()), (3, texts[3])]
+    kept = [
+        sorted((r["doc_id"], r["text"]) for r in neardup.keep_one(spark.createDataFrame(part, "doc_id bigint, text string").repartition(n)).collect())
+        for part, n in ((rows, 3), (rows[::-1], 1))
+    ]
+    assert kept[0] == kept[1]
+    assert [i for i, _ in kept[0]] == [1, 1, 2, 3]
+    assert {neardup.text_id(t) for _, t in kept[0]} - {neardup.text_id(t) for t in (texts[0], near)} == {neardup.text_id(t) for t in texts[1:]}
+
+
 # --- neighbours ---
 
 
