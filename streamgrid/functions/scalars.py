@@ -83,12 +83,13 @@ def ticks_to_seconds(ts: Column | str, num: Column | int, den: Column | int) ->
 
 
 def clamped_latency_us(arrival_ns: Column | str, event_ns: Column | str) -> Column:
-    """Latency in microseconds from nanosecond clocks; events dated in the future give 0."""
-    return int_div(F.greatest(F.lit(0).cast("bigint"), _big(arrival_ns) - _big(event_ns)), 1000)
+    """Latency in microseconds from nanosecond clocks; events dated in the future give 0, a missing time gives null."""
+    return int_div(saturate_non_negative(_big(arrival_ns) - _big(event_ns)), 1000)
 
 
 def saturate_non_negative(value: Column | str) -> Column:
-    return F.greatest(_col(value), F.lit(0))
+    """Negative values become 0, null stays null."""
+    return F.when(_col(value).isNotNull(), F.greatest(_col(value), F.lit(0)))
 
 
 def frames_of(samples: Column | str, channels: Column | str | int) -> Column:
@@ -110,9 +111,9 @@ def bytes_to_bits_per_sec(size: Column | str, seconds: Column | str) -> Column:
 
 
 def format_duration(seconds: Column | str) -> Column:
-    """``h:mm:ss``; negative durations read 0:00:00."""
-    total = F.greatest(_col(seconds), F.lit(0)).cast("bigint")
-    return F.format_string("%d:%02d:%02d", int_div(total, 3600), int_div(total, 60) % 60, total % 60)
+    """``h:mm:ss``; negative durations read 0:00:00, a missing one is null."""
+    total = saturate_non_negative(seconds).cast("bigint")
+    return F.when(total.isNotNull(), F.format_string("%d:%02d:%02d", int_div(total, 3600), int_div(total, 60) % 60, total % 60))
 
 
 def _fixed(value: Column, digits: int, unit: str) -> Column:

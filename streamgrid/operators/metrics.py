@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from streamgrid.functions.scalars import US_PER_SEC, floor_div
+from streamgrid.operators.joins import lookup_join
 from streamgrid.operators.ordered import lag, ordered, running_max, running_sum
 from streamgrid.schema import STREAM_KEYS
 
@@ -28,14 +29,16 @@ def count_board(df: DataFrame, counters: Mapping[str, Column], by: Sequence[str]
 
 
 def _floored(df: DataFrame, latency: str) -> DataFrame:
-    floored = F.greatest(F.col(latency).cast("bigint"), F.lit(LATENCY_FLOOR_US).cast("bigint"))
-    return df.withColumn("_v", floored)
+    """``_v``: latencies of a microsecond at least; a missing one stays missing."""
+    value = F.col(latency).cast("bigint")
+    floored = F.greatest(value, F.lit(LATENCY_FLOOR_US).cast("bigint"))
+    return df.withColumn("_v", F.when(value.isNotNull(), floored))
 
 
 def latency_summary(df: DataFrame, latency: str, by: Sequence[str], bound_us: int | None = None) -> DataFrame:
-    """count, mean, p50, p99 (nearest rank, exact), max and out_of_range per group; null groups are groups.
+    """count, mean, p50, p99 (nearest rank, exact), max, out_of_range and missing per group; null groups are groups.
 
-    Latencies above ``bound_us`` are counted in ``out_of_range`` only. A group's values are counted by value range
+    Latencies above ``bound_us`` are counted in ``out_of_range`` only, null ones in ``missing`` only. A group's values are counted by value range
     and value, combined before the shuffle. The running count over the ranges tells which range holds a rank, and
     only there are values ranked, so no task holds more than the values of one range, whatever a group's share.
     """
@@ -43,11 +46,12 @@ def latency_summary(df: DataFrame, latency: str, by: Sequence[str], bound_us: in
     above = F.lit(False) if bound_us is None else F.col("_v") > bound_us
     rows = _floored(df, latency).withColumn("_part", F.when(~above, floor_div("_v", PART_VALUES)))
     counts = rows.groupBy(*by, "_part", F.when(F.col("_part").isNotNull(), F.col("_v")).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n")
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_v").isNull()).alias("_nulls")
     )
     inside = F.col("_part").isNotNull()
     parts = counts.groupBy(*by, "_part").agg(
-        F.sum("_n").alias("_rows"), F.sum(F.col("_v") * F.col("_n")).alias("_sum"), F.max("_v").alias("_max")
+        F.sum("_n").alias("_rows"), F.sum("_nulls").alias("_nulls"),
+        F.sum(F.col("_v") * F.col("_n")).alias("_sum"), F.max("_v").alias("_max"),
     )
     group = W.partitionBy(*by)
     earlier = group.orderBy(F.col("_part").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
@@ -79,13 +83,14 @@ def latency_summary(df: DataFrame, latency: str, by: Sequence[str], bound_us: in
         F.coalesce(F.sum(F.when(inside, F.col("_rows"))), zero).alias("count"),
         (F.sum("_sum") / F.sum(F.when(inside, F.col("_rows")))).alias("mean_us"),
         F.max("_max").alias("max_us"),
-        F.coalesce(F.sum(F.when(~inside, F.col("_rows"))), zero).alias("out_of_range"),
+        F.coalesce(F.sum(F.when(~inside, F.col("_rows") - F.col("_nulls"))), zero).alias("out_of_range"),
+        F.coalesce(F.sum("_nulls"), zero).alias("missing"),
     )
     quantiles = ranked.groupBy(*by).agg(quantile(0.5).alias("p50_us"), quantile(0.99).alias("p99_us"))
     named = quantiles.withColumnsRenamed({k: f"_q_{k}" for k in by})
     both = functools.reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_q_{k}")), by, F.lit(True))
     joined = totals.join(named, both, "left") if by else totals.crossJoin(named)
-    return joined.select(*by, "count", "mean_us", "p50_us", "p99_us", "max_us", "out_of_range")
+    return joined.select(*by, "count", "mean_us", "p50_us", "p99_us", "max_us", "out_of_range", "missing")
 
 
 def histogram_bucket(value: Column) -> tuple[Column, Column]:
@@ -101,7 +106,8 @@ def latency_histogram(
 ) -> DataFrame:
     """Mergeable histogram: rows per (group, bucket). Histograms of shards add up bucket by bucket.
 
-    Latencies above ``bound_us`` share the bucket from ``bound_us + 1`` on, whose end is null.
+    Latencies above ``bound_us`` share the bucket from ``bound_us + 1`` on, whose end is null. Missing latencies are
+    in no bucket; ``latency_summary`` counts them.
     """
     low, high = histogram_bucket(F.col("_v"))
     if bound_us is not None:
@@ -110,6 +116,7 @@ def latency_histogram(
         high = F.when(~above, high)
     return (
         _floored(df, latency)
+        .filter(F.col("_v").isNotNull())
         .withColumns({"bucket_low": low, "bucket_high": high})
         .groupBy(*by, "bucket_low", "bucket_high")
         .agg(F.count(F.lit(1)).alias("rows"))

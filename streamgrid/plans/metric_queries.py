@@ -129,10 +129,11 @@ def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- counters and latency ------------------------------------------------------------------------------------------
 
-SQL_LATENCY = f"""lat AS (SELECT event_type AS stream_id, greatest({LATENCY}, 1) AS v FROM events),
+SQL_LATENCY = f"""lat AS (SELECT event_type AS stream_id,
+    CASE WHEN {LATENCY} IS NOT NULL THEN greatest({LATENCY}, 1) END AS v FROM events),
 ok AS (SELECT * FROM lat)"""
 SQL_BUCKET = """hist AS (SELECT stream_id, (v >> k) << k AS bucket_low, ((v >> k) << k) + (1::BIGINT << k) - 1 AS bucket_high,
-  count(*) AS rows FROM (SELECT *, greatest(length(bin(v)) - 11, 0)::INT AS k FROM ok) GROUP BY ALL)"""
+  count(*) AS rows FROM (SELECT *, greatest(length(bin(v)) - 11, 0)::INT AS k FROM ok WHERE v IS NOT NULL) GROUP BY ALL)"""
 
 
 def _latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +142,9 @@ def _latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("latency_summary", f"""WITH {SQL_LATENCY}
-SELECT stream_id, count(*) AS count, round(CAST(sum(v) AS DOUBLE) / count(*), 3) AS mean_us, quantile_disc(v, 0.5) AS p50_us,
-  quantile_disc(v, 0.99) AS p99_us, max(v) AS max_us, CAST(0 AS BIGINT) AS out_of_range FROM ok GROUP BY stream_id""")
+SELECT stream_id, count(v) AS count, round(CAST(sum(v) AS DOUBLE) / count(v), 3) AS mean_us, quantile_disc(v, 0.5) AS p50_us,
+  quantile_disc(v, 0.99) AS p99_us, max(v) AS max_us, CAST(0 AS BIGINT) AS out_of_range,
+  count(*) FILTER (v IS NULL) AS missing FROM ok GROUP BY stream_id""")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = metrics.latency_summary(_latencies(spark, sf_dir), "latency_us", ["stream_id"])
     return summary.withColumn("mean_us", F.round("mean_us", 3))

@@ -200,3 +200,14 @@ def test_overrides(spark):
     strong = constant_table(spark, ["id", "a"], [(1, "s"), (2, None)])
     out = rules.layered_overrides(base, "id", [weak, strong], {"a": "d"})
     assert rows(out, "id", "a") == [(1, "s"), (2, "w"), (3, "d")]
+
+
+def test_missing_latencies_are_not_fast_ones(spark):
+    df = spark.createDataFrame([("a", None), ("a", 500), ("a", 700), ("b", None)], "k string, us bigint")
+    found = rows(metrics.latency_summary(df, "us", ["k"]), "k", "count", "mean_us", "p50_us", "max_us", "out_of_range", "missing")
+    assert found == [("a", 2, 600.0, 500, 700, 0, 1), ("b", 0, None, None, None, 0, 1)]
+    bounded = rows(metrics.latency_summary(df, "us", ["k"], 600), "k", "count", "out_of_range", "missing")
+    assert bounded == [("a", 1, 1, 1), ("b", 0, 0, 1)]
+    for bound in (None, 600):
+        histogram = rows(metrics.latency_histogram(df, "us", ["k"], bound), "k", "bucket_low", "rows")
+        assert histogram == [("a", 500, 1), ("a", 700 if bound is None else 601, 1)]

@@ -88,3 +88,11 @@ def test_errors(spark):
     assert value(spark, scalars.classify_error(F.lit("write"), F.lit(5))) == "disk_write"
     assert value(spark, scalars.is_fatal(F.lit("mux"))) and not value(spark, scalars.is_fatal(F.lit("encode")))
     assert not value(spark, scalars.is_failure(F.lit("eof")))
+
+
+def test_missing_times_stay_missing(spark):
+    none = F.lit(None).cast("bigint")
+    assert value(spark, scalars.clamped_latency_us(none, 1)) is None
+    assert value(spark, scalars.clamped_latency_us(F.lit(1), none)) is None
+    assert value(spark, scalars.saturate_non_negative(none)) is None
+    assert value(spark, scalars.format_duration(none)) is None
