@@ -8,8 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamgrid.llm import bpe, licenses, mixing, neardup, neighbours, pii, quality_model, quality_rules, secret_scan, toxicity
-from streamgrid.llm.common import prepare, table
+from streamgrid.llm import (
+    ball_search,
+    bpe,
+    chat_tree,
+    licenses,
+    mixing,
+    neardup,
+    neighbours,
+    pii,
+    quality_model,
+    quality_rules,
+    secret_scan,
+    toxicity,
+    turn_repair,
+)
+from streamgrid.llm.common import cut, prepare, table
 from streamgrid.llm.training import held_out
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -121,3 +135,85 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest(rows, rows.filter(F.col("vec_id") % 20 == 0))
+
+
+SQL_BALL_SEARCH = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+len AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS everything FROM len),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM tf, whole GROUP BY term, docs),
+m AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // everything AS m FROM len, whole),
+asked AS (
+  SELECT item_id, term, count(*) AS repeats FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+scored AS (
+  SELECT item_id, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+"""
+
+
+@query("op11_ball_search", SQL_BALL_SEARCH)
+def op11_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ball_search.search(docs, table(spark, sf_dir, "benchmark"))
+
+
+#: Fixed value: what both rows of the added conversation say.
+ADDED_CONVERSATION = "<|im_end|><|im_start|>assistant ok"
+
+SQL_CHAT_TREE = rf"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{ADDED_CONVERSATION}' UNION ALL SELECT -1, 1, 'assistant', '{ADDED_CONVERSATION}')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(role) + length(text) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|'))
+    + len(regexp_extract_all(role, '[\\\n]')))::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+
+@query("op12_chat_tree", SQL_CHAT_TREE)
+def op12_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = [(-1, 0, "user", ADDED_CONVERSATION), (-1, 1, "assistant", ADDED_CONVERSATION)]
+    packed = cut(chat_tree.pack(rows.unionByName(spark.createDataFrame(added, rows.schema))), "chat")
+    return chat_tree.digest(packed)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows by crc32 of ``conv_id:turn`` modulo 20: 0 gone, 1 without text, 2 without ends, 3 twice, 4 said by the user."""
+    named = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat(named[0], F.lit(":"), named[1]).cast("binary")) % 20
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text)
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    return rows.select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), text.alias("text"),
+        F.explode(F.array_repeat(F.lit(0), times)).alias("_copy"),
+    ).drop("_copy")
+
+
+@query("op13_turn_repair")
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    audits = turn_repair.audit(damaged(rows)).withColumnRenamed("conv_id", "_id")
+    found = rows.select("conv_id").distinct().join(audits, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    return found.select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in turn_repair.COUNTS],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
