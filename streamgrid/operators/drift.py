@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import bisect
+import heapq
+from collections.abc import Iterable, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -87,65 +90,261 @@ def _advance(counted: int, expected: int, units: int, band: int) -> int:
     return max(expected + units, counted)
 
 
-def _replay(counted: int, expected: Iterable[int], units: Iterable[int], band: int) -> list[int]:
+class Rule(NamedTuple):
+    """How a block moves the counted clock; ``step`` is 0 while soft compensation does not move it."""
+
+    band: int
+    deadband: int = 0
+    step: int = 0
+
+    @classmethod
+    def of(cls, rate: int, max_gap: int, closed_loop: bool = False) -> Rule:
+        deadband = max(1, rate // DEADBAND_DIVISOR)
+        return cls(max(max_gap, deadband - 1), deadband, rate // STEP_DIVISOR if closed_loop else 0)
+
+    def advance(self, counted: int, expected: int, units: int) -> int:
+        behind = expected - counted
+        if not self.step or not self.deadband <= abs(behind) <= self.band:
+            return _advance(counted, expected, units, self.band)
+        soft = min(abs(behind) // SMOOTHING, self.step)
+        return counted + units + (soft if behind > 0 else -soft)
+
+    def advance_all(self, counted: int, expected: Iterable[int], units: Iterable[int]) -> int:
+        for e, m in zip(expected, units, strict=True):
+            counted = self.advance(counted, e, m)
+        return counted
+
+    def regions(self, e: int, m: int) -> list[tuple[int | None, Op]]:
+        """Stretches of the counted position as (first position, what happens there), from below."""
+        if not self.step:
+            out = [(None, ("set", e + m, 0)), (e - self.band, ("shift", m, 0))]
+        else:
+            # Behind by ``full`` units or more, compensation is the largest step.
+            full = SMOOTHING * self.step
+            out = [(None, ("set", e + m, 0))]
+            if self.band >= max(full, self.deadband):
+                out.append((e - self.band, ("shift", m + self.step, 0)))
+            eased = min(self.band, full - 1)
+            if eased >= self.deadband:
+                out.append((e - eased, ("ease_up", e, m)))
+            out.append((e - self.deadband + 1, ("shift", m, 0)))
+            if eased >= self.deadband:
+                out.append((e + self.deadband, ("ease_down", e, m)))
+            if self.band >= max(full, self.deadband):
+                out.append((e + max(full, self.deadband), ("shift", m - self.step, 0)))
+        above = e + self.band + 1
+        if e + m >= above:
+            out.append((above, ("set", e + m, 0)))
+        out.append((max(above, e + m), ("shift", 0, 0)))
+        return out
+
+
+def _replay(counted: int, expected: Iterable[int], units: Iterable[int], rule: Rule) -> list[int]:
     before = []
     for e, m in zip(expected, units, strict=True):
         before.append(counted)
-        counted = _advance(counted, e, m, band)
+        counted = rule.advance(counted, e, m)
     return before
 
 
+#: What happens to a position: set to a value, shifted, or moved an eighth of its way up or down to the expected one.
+Op = tuple[str, int, int]
 Piece = tuple[int, int, bool, int]
 
-# Blocks that touch single values between two removals of values that have become equal.
-_MERGE_EVERY = 16
+#: Images of at most so many values are held value by value once they were eased.
+_FEW = 16
 
 
-def _transfer(low: int, high: int, expected: Iterable[int], units: Iterable[int], band: int) -> list[Piece]:
+def _apply(op: Op, x: int) -> int:
+    kind, a, m = op
+    if kind == "shift":
+        return x + a
+    if kind == "ease_up":
+        return x + (a - x) // SMOOTHING + m
+    if kind == "ease_down":
+        return x - (x - a) // SMOOTHING + m
+    return a
+
+
+def _first_reaching(op: Op, y: int) -> int:
+    """The smallest position that ``op``, which never falls and rises by one at most, takes to ``y`` or above."""
+    kind, a, m = op
+    if kind == "shift":
+        return y - a
+    if kind == "ease_up":
+        return -((a - SMOOTHING * (y - m)) // (SMOOTHING - 1))
+    return (SMOOTHING * (y - m - 1) - a) // (SMOOTHING - 1) + 1
+
+
+class _Wide(NamedTuple):
+    """Start positions ``low`` to ``high`` that have gone through the same steps, and where the two ends are now."""
+
+    low: int
+    high: int
+    ops: tuple  # linked from the last one: (op, ops before), () at the start
+    at: int
+    to: int
+    eased: bool = False
+
+    def then(self, op: Op) -> _Wide:
+        at, to, ops = _apply(op, self.at), _apply(op, self.to), self.ops
+        if op[0] == "shift" and ops and ops[0][0] == "shift":
+            op, ops = ("shift", ops[0][1] + op[1], 0), ops[1]
+        return _Wide(self.low, self.high, (op, ops), at, to, self.eased or op[0] != "shift")
+
+    def start_of(self, y: int) -> int:
+        """The first start position that is at ``y`` or above now."""
+        ops = self.ops
+        while ops:
+            y, ops = _first_reaching(ops[0], y), ops[1]
+        return y
+
+
+class Transfer:
     """The map from the counted position before some blocks, in [low, high], to the position after them.
 
-    While all positions lie within the band a block shifts them alike, which costs one addition. Otherwise the
-    distinct positions are advanced together; insertions and drops make many of them equal.
+    It is held as stretches of start positions, so its size follows the cuts and not the width of [low, high]. Where a
+    block sets positions they become one value; where it shifts or eases them a stretch only notes the step, and its
+    ends tell what it covers, as no step skips a value upwards. A cut is carried back to start positions through the
+    inverses of the steps. Easing shrinks a stretch by an eighth, so it has few such steps until it is held value by
+    value; values that become equal are one from then on.
+
+    Most stretches lie where a block shifts everything alike. They are kept relative to one common offset, sorted by
+    both ends (two heaps), and a block only touches those that reach beyond.
     """
-    values, index, offset = np.arange(low, high + 1), np.arange(high - low + 1), 0
-    least, most, touched = low, high, 0
+
+    def __init__(self, low: int, high: int, rule: Rule):
+        self.rule, self.offset, self.reach = rule, 0, rule.deadband - 1 if rule.step else rule.band
+        self.below: list[tuple[int, int]] = []
+        self.above: list[tuple[int, int]] = []
+        self.wide: dict[int, tuple[_Wide, int]] = {}  # and the offset when it was put there
+        self.value: dict[int, int] = {}  # of points, relative to the offset
+        self.point_at: dict[int, int] = {}
+        self.same: list[int] = []  # of ids: the point that took its value
+        self.starts: list[tuple[int, int, int]] = []
+        self._keep(_Wide(low, high, (), low, high))
+
+    def _id(self) -> int:
+        self.same.append(len(self.same))
+        return len(self.same) - 1
+
+    def _root(self, point: int) -> int:
+        while self.same[point] != point:
+            self.same[point] = self.same[self.same[point]]
+            point = self.same[point]
+        return point
+
+    def _rest(self, number: int, at: int, to: int) -> None:
+        heapq.heappush(self.below, (at - self.offset, number))
+        heapq.heappush(self.above, (self.offset - to, number))
+
+    def _place(self, point: int, value: int) -> None:
+        rest = value - self.offset
+        held = self.point_at.setdefault(rest, point)
+        if held != point:
+            self.same[point] = held
+            return
+        self.value[point] = rest
+        self._rest(point, value, value)
+
+    def _point(self, low: int, high: int, value: int) -> None:
+        point = self._id()
+        self.starts.append((low, high, point))
+        self._place(point, value)
+
+    def _keep(self, piece: _Wide) -> None:
+        if piece.at == piece.to:
+            self._point(piece.low, piece.high, piece.at)
+        elif piece.to - piece.at <= _FEW and piece.eased:
+            low = piece.low
+            for value in range(piece.at, piece.to + 1):
+                high = piece.high if value == piece.to else piece.start_of(value + 1) - 1
+                self._point(low, high, value)
+                low = high + 1
+        else:
+            number = self._id()
+            self.wide[number] = (piece, self.offset)
+            self._rest(number, piece.at, piece.to)
+
+    def _take(self, heap: list[tuple[int, int]], found: list) -> None:
+        """Take the first of a heap out, as a point with its value or a stretch; it may be gone already."""
+        rest, number = heapq.heappop(heap)
+        if number in self.wide:
+            piece, before = self.wide.pop(number)
+            found.append(piece.then(("shift", self.offset - before, 0)) if self.offset != before else piece)
+        elif number in self.value and abs(rest) == abs(self.value[number]):
+            rest = self.value.pop(number)
+            del self.point_at[rest]
+            found.append((number, rest + self.offset))
+
+    def block(self, e: int, m: int) -> None:
+        found: list = []
+        while self.below and self.below[0][0] + self.offset < e - self.reach:
+            self._take(self.below, found)
+        while self.above and self.offset - self.above[0][0] > e + self.reach:
+            self._take(self.above, found)
+        self.offset += m
+        regions = None
+        for one in found:
+            if isinstance(one, _Wide):
+                regions = regions or self.rule.regions(e, m)
+                self._cut(one, regions)
+            else:
+                self._place(one[0], self.rule.advance(one[1], e, m))
+
+    def _cut(self, piece: _Wide, regions: list[tuple[int | None, Op]]) -> None:
+        low, at = piece.low, piece.at
+        for i, (_, op) in enumerate(regions):
+            end = regions[i + 1][0] if i + 1 < len(regions) else None
+            if end is not None and at >= end:
+                continue
+            last = end is None or piece.to < end
+            high = piece.high if last else piece.start_of(end) - 1
+            to = piece.to if last else end - 1
+            if op[0] == "set":
+                self._point(low, high, op[1])
+            else:
+                self._keep(_Wide(low, high, piece.ops, at, to, piece.eased).then(op))
+            if last:
+                return
+            low, at = high + 1, end
+
+    def pieces(self) -> list[tuple[int, int, list[Op]]]:
+        """Stretches of start positions and the steps they take, neighbours that take the same ones joined."""
+        out: list[tuple[int, int, list[Op]]] = []
+        for low, high, point in self.starts:
+            out.append((low, high, [("set", self.value[self._root(point)] + self.offset, 0)]))
+        for piece, before in self.wide.values():
+            steps, ops = [], piece.then(("shift", self.offset - before, 0)).ops
+            while ops:
+                steps.append(ops[0])
+                ops = ops[1]
+            out.append((piece.low, piece.high, steps[::-1]))
+        joined: list[tuple[int, int, list[Op]]] = []
+        for low, high, steps in sorted(out):
+            if joined and joined[-1][2] == steps:
+                joined[-1] = (joined[-1][0], high, steps)
+            else:
+                joined.append((low, high, steps))
+        return joined
+
+
+def _transfer_pieces(
+    low: int, high: int, expected: Iterable[int], units: Iterable[int], rule: Rule
+) -> list[tuple[int, int, list[Op]]]:
+    transfer = Transfer(low, high, rule)
     for e, m in zip(expected, units, strict=True):
-        if least >= e - band and most <= e + band:
-            offset, least, most = offset + m, least + m, most + m
-            continue
-        if len(values) == 1:
-            least = most = _advance(least, e, m, band)
-            offset = least - int(values[0])
-            continue
-        now = values + offset
-        ahead = np.maximum(e + m, now)
-        values, offset = np.where(now < e - band, e + m, np.where(now <= e + band, now + m, ahead)), 0
-        touched += 1
-        if touched % _MERGE_EVERY == 0:
-            values, inverse = np.unique(values, return_inverse=True)
-            index = inverse[index]
-        least, most = int(values.min()), int(values.max())
-    return _pieces(low, values[index] + offset)
-
-
-def _pieces(low: int, after: np.ndarray) -> list[Piece]:
-    """Stretches (low, high, constant?, value or shift) of a map given point by point."""
-    step = np.diff(after)
-    ends = [*np.flatnonzero(step[1:] != step[:-1]) + 1, len(step)] if len(step) else []
-    out: list[Piece] = []
-    at = 0
-    for end in ends:
-        kind = int(step[end - 1])
-        if kind not in (0, 1):
-            out.extend((low + i, low + i, True, int(after[i])) for i in range(at, end))
-            at = end
-        elif at <= end - 1:
-            value = int(after[at]) - (low + at if kind else 0)
-            out.append((low + at, low + int(end), kind == 0, value))
-            at = int(end) + 1
-    if at < len(after):
-        out.extend((low + i, low + i, True, int(after[i])) for i in range(at, len(after)))
-    return out
+        transfer.block(e, m)
+    return transfer.pieces()
+
+
+def _transfer(low: int, high: int, expected: Iterable[int], units: Iterable[int], band: int) -> list[Piece]:
+    """The same without easing: stretches (low, high, constant?, value or shift)."""
+    pieces = _transfer_pieces(low, high, expected, units, Rule(band))
+    return [
+        (a, b, True, steps[0][1]) if steps and steps[0][0] == "set" else (a, b, False, sum(s[1] for s in steps))
+        for a, b, steps in pieces
+    ]
 
 
 def _evaluate(pieces: Iterable[dict], counted: int) -> int:
@@ -155,17 +354,28 @@ def _evaluate(pieces: Iterable[dict], counted: int) -> int:
     raise ValueError("counted position outside its bounds")
 
 
-_PIECES = "array<struct<low bigint, high bigint, constant boolean, v bigint>>"
+def _follow(pieces: Sequence[dict], counted: int) -> int:
+    """Where a part takes a position; its pieces are in order."""
+    place = bisect.bisect_right(pieces, counted, key=lambda p: p["low"]) - 1
+    if place < 0 or counted > pieces[place]["high"]:
+        raise ValueError("counted position outside its bounds")
+    for s in pieces[place]["steps"]:
+        counted = _apply((s["kind"], int(s["a"]), int(s["m"])), counted)
+    return int(counted)
+
 
+_PIECES = "array<struct<low bigint, high bigint, steps array<struct<kind string, a bigint, m bigint>>>>"
 
-def _carried_counts(rows: DataFrame, keys: list[str], order: list[str], band: int) -> DataFrame:
+
+def _carried_counts(rows: DataFrame, keys: list[str], order: list[str], rule: Rule) -> DataFrame:
     """Counted units at the start of every part, without replaying earlier parts.
 
-    A block maps the counted position piecewise to a constant or to a shift, and such maps compose, so each
-    part is reduced to one small map in parallel. The position entering a part lies between bounds known from
-    the blocks before it, an interval about two correction bands wide, which keeps the maps small. The maps of
-    a stream - one per part - are then folded in order.
+    A block sets, shifts or eases the counted position by stretches, and such maps compose, so each part is reduced
+    to one map of few stretches in parallel (``Transfer``). The position entering a part lies between bounds known
+    from the blocks before it, an interval about two correction bands wide. The maps of a stream - one per part -
+    are then folded in order.
     """
+    band = rule.band
     low = F.col("expected") - band + F.col("units")
     high = F.col("expected") + band + F.col("units")
     rank = F.struct(*order, low.alias("low"))
@@ -185,9 +395,12 @@ def _carried_counts(rows: DataFrame, keys: list[str], order: list[str], band: in
     def reduce_part(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         head = pdf.iloc[0]
-        pieces = _transfer(int(head["low"]), int(head["high"]), pdf["expected"].tolist(), pdf["units"].tolist(), band)
+        pieces = _transfer_pieces(
+            int(head["low"]), int(head["high"]), pdf["expected"].tolist(), pdf["units"].tolist(), rule
+        )
         out = pdf.iloc[:1][[*keys, PART]].copy()
-        out["pieces"] = [[dict(zip(("low", "high", "constant", "v"), p, strict=True)) for p in pieces]]
+        named = [(low, high, [dict(zip(("kind", "a", "m"), s, strict=True)) for s in steps]) for low, high, steps in pieces]
+        out["pieces"] = [[dict(zip(("low", "high", "steps"), p, strict=True)) for p in named]]
         return out
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -195,7 +408,7 @@ def _carried_counts(rows: DataFrame, keys: list[str], order: list[str], band: in
         counted, starts = 0, []
         for pieces in pdf["pieces"]:
             starts.append(counted)
-            counted = _evaluate(pieces, counted)
+            counted = _follow(pieces, counted)
         return pdf[[*keys, PART]].assign(start=np.array(starts, dtype="int64"))
 
     key_types = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in [*keys, PART])
@@ -209,7 +422,7 @@ def _carried_counts(rows: DataFrame, keys: list[str], order: list[str], band: in
     return maps.groupBy(*keys).applyInPandas(fold, f"{key_types}, start bigint")
 
 
-def _corrected_clock(rows: DataFrame, n: Column, band: int, hot_rows: int) -> DataFrame:
+def _corrected_clock(rows: DataFrame, n: Column, rule: Rule, hot_rows: int) -> DataFrame:
     """Add ``counted``, null for blocks without live units."""
     keys, order = list(STREAM_KEYS), ["us", "seq"]
     cut = ordered(rows, keys, order, hot_rows=hot_rows)
@@ -220,7 +433,7 @@ def _corrected_clock(rows: DataFrame, n: Column, band: int, hot_rows: int) -> Da
             *keys, PART, *order, "expected", remaining.alias("units")
         )
         # A part of trimmed blocks only has no starting position, and needs none.
-        parted = parted.join(_carried_counts(live, keys, order, band), [*keys, PART], "left")
+        parted = parted.join(_carried_counts(live, keys, order, rule), [*keys, PART], "left")
     else:
         parted = parted.withColumn("start", F.lit(0).cast("bigint"))
     parted = parted.withColumn("_remaining", remaining).withColumn("counted", F.lit(None).cast("bigint"))
@@ -233,7 +446,7 @@ def _corrected_clock(rows: DataFrame, n: Column, band: int, hot_rows: int) -> Da
         counted = np.zeros(len(left), dtype="int64")
         if live.any():
             start = part["start"].to_pylist()[int(np.argmax(live))]
-            counted[live] = _replay(start, part["expected"].to_numpy()[live].tolist(), left[live].tolist(), band)
+            counted[live] = _replay(start, part["expected"].to_numpy()[live].tolist(), left[live].tolist(), rule)
         place = part.schema.get_field_index("counted")
         return part.set_column(place, "counted", pa.array(counted, pa.int64(), mask=~live))
 
@@ -248,11 +461,13 @@ def apply_corrections(
     units: str = "units",
     hot_rows: int = 1_000_000,
     enabled: bool = True,
+    closed_loop: bool = False,
 ) -> DataFrame:
     """Trim, measure the drift and correct it block by block; the clock follows what was inserted or dropped.
 
     Needs ``t0`` (the anchor). Blocks wholly before ``t0`` are kept with action ``trimmed``. Soft compensation
-    does not move the clock. Adds skipped, expected, counted, drift, action, amount and emitted units.
+    does not move the clock unless ``closed_loop`` is on: then it moves by the compensated units, so that what was
+    corrected is not measured again. Adds skipped, expected, counted, drift, action, amount and emitted units.
 
     With ``enabled`` off nothing is corrected, and the clock is the running sum of the units that come in.
 
@@ -260,13 +475,12 @@ def apply_corrections(
     group; a longer stream is cut into parts whose starting positions are computed in parallel.
     """
     keys, order = list(STREAM_KEYS), ["us", "seq"]
-    band = max(max_gap, max(1, rate // DEADBAND_DIVISOR) - 1)
     start, n = F.col("us") - F.col("t0"), F.col(units).cast("bigint")
     skipped = F.greatest(units_in(-start, rate, tb_us), F.lit(0).cast("bigint"))
     rows = df.withColumn("skipped", F.least(skipped, n))
     rows = rows.withColumn("expected", units_in(start + us_of_units(F.col("skipped"), rate, tb_us), rate, tb_us))
     if enabled:
-        out = _corrected_clock(rows, n, band, hot_rows)
+        out = _corrected_clock(rows, n, Rule.of(rate, max_gap, closed_loop), hot_rows)
     else:
         came = ordered(rows, keys, order, hot_rows=hot_rows)
         came = came.scan(counted=running_sum(n - F.col("skipped"), inclusive=False)).result()

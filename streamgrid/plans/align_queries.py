@@ -99,40 +99,60 @@ def clock_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.clock_check(_drifted(spark, sf_dir), RATE, DAY, DAY, tb_us=TB_US)
 
 
-def sql_clock(t0: str) -> str:
-    """CTEs b (blocks with skipped and expected units) and step (the clock, block by block)."""
-    return f"""{sql_observations()},
-origin AS (SELECT {t0} AS t0 FROM obs),
-a AS (SELECT stream_id, us, seq, us - t0 AS start, 1 + seq % 3 AS n,
-  least(greatest({_sql_units('t0 - us')}, 0), 1 + seq % 3) AS skipped FROM obs, origin),
+def sql_clock(t0: str, closed_loop: bool = False, session: str = "'all'") -> str:
+    """CTEs b (blocks with skipped and expected units) and step (the clock, block by block); ``t0`` of a session's rows."""
+    soft = f"greatest(least(drift // 8, {RATE // 100}), -{RATE // 100})" if closed_loop else "0"
+    return f"""{sql_observations(session)},
+firsts AS (SELECT session_id, stream_id, min(us) AS us FROM obs GROUP BY ALL),
+origin AS (SELECT session_id, {t0} AS t0 FROM firsts GROUP BY session_id),
+a AS (SELECT session_id, stream_id, us, seq, us - t0 AS start, 1 + seq % 3 AS n,
+  least(greatest({_sql_units('t0 - us')}, 0), 1 + seq % 3) AS skipped FROM obs JOIN origin USING (session_id)),
 b AS (SELECT *, {_sql_units(f"start + {_sql_us('skipped')}")} AS expected FROM a),
-live AS (SELECT *, n - skipped AS m, row_number() OVER (PARTITION BY stream_id ORDER BY us, seq) AS rn
+live AS (SELECT *, n - skipped AS m, row_number() OVER (PARTITION BY session_id, stream_id ORDER BY us, seq) AS rn
   FROM b WHERE skipped < n),
 step AS (
-  SELECT stream_id, rn, seq, expected, m, CAST(0 AS BIGINT) AS counted, expected AS drift FROM live WHERE rn = 1
+  SELECT session_id, stream_id, rn, seq, expected, m, CAST(0 AS BIGINT) AS counted, expected AS drift FROM live WHERE rn = 1
   UNION ALL
-  SELECT l.stream_id, l.rn, l.seq, l.expected, l.m, c.next, l.expected - c.next
+  SELECT l.session_id, l.stream_id, l.rn, l.seq, l.expected, l.m, c.next, l.expected - c.next
   FROM (SELECT *, CASE WHEN abs(drift) < {RATE // 1000} THEN counted + m WHEN drift > {MAX_GAP} THEN counted + drift + m
-          WHEN -drift > {MAX_GAP} THEN counted + m - least(-drift, m) ELSE counted + m END AS next FROM step) c
-  JOIN live l ON l.stream_id = c.stream_id AND l.rn = c.rn + 1)"""
+          WHEN -drift > {MAX_GAP} THEN counted + m - least(-drift, m) ELSE counted + m + {soft} END AS next FROM step) c
+  JOIN live l ON l.session_id = c.session_id AND l.stream_id = c.stream_id AND l.rn = c.rn + 1)"""
 
 
-@query("applied_correction", f"""WITH RECURSIVE {sql_clock(f'min(us) + {DAY}')},
+def sql_correction(t0: str, closed_loop: bool = False, session: str = "'all'") -> str:
+    """All blocks with what is done to them."""
+    return f"""WITH RECURSIVE {sql_clock(t0, closed_loop, session)},
 act AS (SELECT *, greatest(least(drift // 8, {RATE // 100}), -{RATE // 100}) AS soft FROM step)
-SELECT b.stream_id, b.seq, b.skipped, counted,
+SELECT b.session_id, b.stream_id, b.seq, b.skipped, counted,
   CASE WHEN counted IS NULL THEN 'trimmed' WHEN abs(drift) < {RATE // 1000} THEN 'none' WHEN drift > {MAX_GAP} THEN 'insert'
     WHEN -drift > {MAX_GAP} THEN 'drop' WHEN soft = 0 THEN 'none' ELSE 'compensate' END AS action,
   CASE WHEN counted IS NULL OR abs(drift) < {RATE // 1000} THEN 0 WHEN drift > {MAX_GAP} THEN drift
     WHEN -drift > {MAX_GAP} THEN least(-drift, m) ELSE soft END AS amount,
   CASE WHEN counted IS NULL THEN 0 WHEN -drift > {MAX_GAP} THEN m - least(-drift, m) ELSE m END AS emitted
-FROM b LEFT JOIN act USING (stream_id, seq)""")
-def applied_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Origin one day after the first event, so early blocks are trimmed."""
+FROM b LEFT JOIN act USING (session_id, stream_id, seq)"""
+
+
+CORRECTED = ["stream_id", "seq", "skipped", "counted", "action", "amount", "emitted"]
+SQL_CORRECTED = f"SELECT {', '.join(CORRECTED)} FROM ({{}})"
+
+
+def blocks_after_a_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as counted blocks; origin one day after the first event, so early blocks are trimmed."""
     rows = events(spark, sf_dir).withColumn("units", units_of())
     first = rows.groupBy("session_id").agg((F.min("us") + DAY).alias("t0"))
-    rows = lookup_join(rows, first, ["session_id"], spread_by=["seq"])
-    out = drift.apply_corrections(rows, RATE, MAX_GAP, tb_us=TB_US)
-    return out.select("stream_id", "seq", "skipped", "counted", "action", "amount", "emitted")
+    return lookup_join(rows, first, ["session_id"], spread_by=["seq"])
+
+
+@query("applied_correction", SQL_CORRECTED.format(sql_correction(f"min(us) + {DAY}")))
+def applied_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.apply_corrections(blocks_after_a_day(spark, sf_dir), RATE, MAX_GAP, tb_us=TB_US).select(*CORRECTED)
+
+
+@query("applied_correction_closed_loop", SQL_CORRECTED.format(sql_correction(f"min(us) + {DAY}", closed_loop=True)))
+def applied_correction_closed_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compensated units move the clock."""
+    rows = blocks_after_a_day(spark, sf_dir)
+    return drift.apply_corrections(rows, RATE, MAX_GAP, tb_us=TB_US, closed_loop=True).select(*CORRECTED)
 
 
 @query("uncorrected_clock", f"""WITH {sql_observations()}, t AS (SELECT min(us) + {DAY} AS t0 FROM obs),

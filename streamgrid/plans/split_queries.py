@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from streamgrid.operators import align, drift, grid, merge, metrics
 from streamgrid.operators.joins import lookup_join
 from streamgrid.plans import metric_queries
-from streamgrid.plans.align_queries import MAX_GAP, RATE, TB_US
+from streamgrid.plans.align_queries import CORRECTED, MAX_GAP, RATE, TB_US, blocks_after_a_day
 from streamgrid.plans.inputs import DAY, HOUR, events, sql_observations, units_of, user_events
 from streamgrid.plans.regularise import anchored
 from streamgrid.plans.registry import SQL, query
@@ -43,11 +43,14 @@ def gap_segments_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("applied_correction_split", SQL["applied_correction"])
 def applied_correction_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).withColumn("units", units_of())
-    first = rows.groupBy("session_id").agg((F.min("us") + DAY).alias("t0"))
-    rows = lookup_join(rows, first, ["session_id"], spread_by=["seq"])
-    out = drift.apply_corrections(rows, RATE, MAX_GAP, tb_us=TB_US, hot_rows=HOT)
-    return out.select("stream_id", "seq", "skipped", "counted", "action", "amount", "emitted")
+    rows = blocks_after_a_day(spark, sf_dir)
+    return drift.apply_corrections(rows, RATE, MAX_GAP, tb_us=TB_US, hot_rows=HOT).select(*CORRECTED)
+
+
+@query("applied_correction_closed_loop_split", SQL["applied_correction_closed_loop"])
+def applied_correction_closed_loop_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = blocks_after_a_day(spark, sf_dir)
+    return drift.apply_corrections(rows, RATE, MAX_GAP, tb_us=TB_US, hot_rows=HOT, closed_loop=True).select(*CORRECTED)
 
 
 @query("failure_streaks_split", SQL["failure_streaks"])

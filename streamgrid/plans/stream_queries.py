@@ -65,7 +65,7 @@ def stream_grid_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.drop("session_id", "seq")
 
 
-@query("stream_clock", f"""WITH RECURSIVE {sql_clock(f'max({ORIGIN + DAY})')}
+@query("stream_clock", f"""WITH RECURSIVE {sql_clock(str(ORIGIN + DAY))}
 SELECT stream_id, seq, expected, m AS units, counted, drift FROM step""")
 def stream_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events_stream(spark, sf_dir).withColumn("units", units_of())

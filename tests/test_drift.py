@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from conftest import rows
@@ -54,7 +55,7 @@ def tdiv(a, b):
     return a // b if a >= 0 else -(-a // b)
 
 
-def replay(data, rate, gap, t0):
+def replay(data, rate, gap, t0, closed_loop=False):
     """One stream, block by block."""
     out, counted = [], 0
     for _, seq, us, n in sorted(data, key=lambda r: (r[2], r[1])):
@@ -75,6 +76,7 @@ def replay(data, rate, gap, t0):
         else:
             amount = max(-(rate // 100), min(rate // 100, tdiv(d, 8)))
             action = "compensate" if amount else "none"
+            counted += amount if closed_loop else 0
         counted += left
         out.append((seq, action, amount, left, before))
     return sorted(out, key=repr)
@@ -82,7 +84,8 @@ def replay(data, rate, gap, t0):
 
 @pytest.mark.parametrize("seed", range(4))
 @pytest.mark.parametrize("gap", [0, 40, 400])
-def test_applied_correction_matches_a_loop_also_when_split(observe, seed, gap):
+@pytest.mark.parametrize("closed_loop", [False, True])
+def test_applied_correction_matches_a_loop_also_when_split(observe, seed, gap, closed_loop):
     """Streams that run behind, ahead, and jump; cut into parts of a few blocks."""
     rng = random.Random(seed)
     rate, t0, us, data = 1000, 50_000, 0, []
@@ -90,9 +93,9 @@ def test_applied_correction_matches_a_loop_also_when_split(observe, seed, gap):
         us += rng.choice([5_000, 20_000, 20_000, 60_000, 400_000 if rng.random() < 0.1 else 10_000])
         data.append(("a", i, us, rng.choice([3, 20, 25, 90])))
     df = observe(data, t0=t0).withColumn("units", F.col("value").cast("bigint"))
-    expected = replay(data, rate, gap, t0)
+    expected = replay(data, rate, gap, t0, closed_loop)
     for hot_rows in (10_000, 25):
-        out = drift.apply_corrections(df, rate, gap, hot_rows=hot_rows)
+        out = drift.apply_corrections(df, rate, gap, hot_rows=hot_rows, closed_loop=closed_loop)
         assert rows(out, "seq", "action", "amount", "emitted", "counted") == expected
 
 
@@ -124,6 +127,43 @@ def test_transfer_map_matches_every_start(seed):
         assert drift._evaluate(named, start) == counted
 
 
+def _blocks(rng, count, steps, sizes):
+    e, expected, units = 0, [], []
+    for _ in range(count):
+        e += rng.choice(steps)
+        expected.append(e)
+        units.append(rng.choice(sizes))
+    return expected, units
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_eased_transfer_map_matches_every_start(seed):
+    rng = random.Random(seed)
+    rule = drift.Rule.of(rng.choice([900, 4000, 20_000, 48_000]), rng.choice([0, 3, 20, 60, 400, 2000]), closed_loop=True)
+    expected, units = _blocks(rng, rng.randrange(1, 60), [0, 1, 5, 30, 200, 5, 6, 7], [1, 4, 35, 6])
+    low = rng.randrange(-20, 20)
+    high = low + rng.choice([0, 1, 50, 300, 900])
+    pieces = drift._transfer_pieces(low, high, expected, units, rule)
+    assert [p[0] for p in pieces] == [low, *[p[1] + 1 for p in pieces[:-1]]] and pieces[-1][1] == high
+    named = [{"low": a, "high": b, "steps": [dict(zip(("kind", "a", "m"), s, strict=True)) for s in o]} for a, b, o in pieces]
+    for start in range(low, high + 1):
+        assert drift._follow(named, start) == rule.advance_all(start, expected, units)
+
+
+@pytest.mark.parametrize("closed_loop", [False, True])
+def test_transfer_over_a_wide_band_holds_few_pieces(closed_loop):
+    rng, gap = random.Random(7), 400_000_000
+    rule = drift.Rule.of(48_000 * 20_000, gap, closed_loop)
+    expected, units = _blocks(rng, 5_000, [10_000, 9_990, 10_030], [10_000])
+    began = time.perf_counter()
+    pieces = drift._transfer_pieces(0, 2 * gap, expected, units, rule)
+    assert time.perf_counter() - began < 5
+    assert len(pieces) < 3 * len(expected)
+    named = [{"low": a, "high": b, "steps": [dict(zip(("kind", "a", "m"), s, strict=True)) for s in o]} for a, b, o in pieces]
+    for start in [rng.randrange(2 * gap) for _ in range(20)]:
+        assert drift._follow(named, start) == rule.advance_all(start, expected, units)
+
+
 def _leads(spark, data):
     return spark.createDataFrame(
         [("s", us, i, lead, us) for i, (us, lead) in enumerate(data)],
