@@ -103,7 +103,8 @@ def sql_clock(t0: str, closed_loop: bool = False, session: str = "'all'") -> str
     """CTEs b (blocks with skipped and expected units) and step (the clock, block by block); ``t0`` of a session's rows."""
     soft = f"greatest(least(drift // 8, {RATE // 100}), -{RATE // 100})" if closed_loop else "0"
     return f"""{sql_observations(session)},
-firsts AS (SELECT session_id, stream_id, min(us) AS us FROM obs GROUP BY ALL),
+firsts AS (SELECT session_id, stream_id, min(us) AS us, min(min(us)) OVER (PARTITION BY session_id) AS earliest
+  FROM obs GROUP BY session_id, stream_id),
 origin AS (SELECT session_id, {t0} AS t0 FROM firsts GROUP BY session_id),
 a AS (SELECT session_id, stream_id, us, seq, us - t0 AS start, 1 + seq % 3 AS n,
   least(greatest({_sql_units('t0 - us')}, 0), 1 + seq % 3) AS skipped FROM obs JOIN origin USING (session_id)),

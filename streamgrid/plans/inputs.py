@@ -54,20 +54,23 @@ END_STREAM = "end"
 
 
 def events_stream(
-    spark: SparkSession, sf_dir: str, session: str = "'all'", by_arrival: bool = False, end_mark: bool = False
-) -> DataFrame:
-    """The same rows as a stream of at least four files in time (or arrival) order, one for each micro-batch.
+    spark: SparkSession, sf_dir: str, session: str = "'all'", by_arrival: bool = False, end_mark: bool = False,
+    end_after_us: int = 30 * DAY,
+) -> DataFrame:
+    """The same rows as a stream of at least four micro-batches in time (or arrival) order.
 
-    The end mark is a row of the stream ``END_STREAM`` thirty days after the last, which closes all that is open.
+    The end mark is a row of the stream ``END_STREAM`` thirty days after the last, which closes all that is open. It
+    has no user, hence no session where sessions are users.
     """
     rows = spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
     order = micros("ts") + F.expr(ARRIVAL_DELAY_US) if by_arrival else micros("ts")
-    late = F.timestamp_micros(F.col("_last") + F.lit(30 * DAY))
+    late = F.timestamp_micros(F.col("_last") + F.lit(end_after_us))
     end = {"event_id": F.lit(0), "ts": late.cast("timestamp_ntz"), "event_type": F.lit(END_STREAM)} if end_mark else None
-    path = write_replay(rows, order, end)
+    replay = write_replay(rows, order, end)
     return read_observations(
-        spark, path, _event_mapping(session), stream_schema=EVENTS_SCHEMA, files_per_trigger=1
-    )
+        spark, replay.path, _event_mapping(session), stream_schema=EVENTS_SCHEMA,
+        files_per_trigger=replay.files_per_trigger,
+    )
 
 
 USER_SESSION = "CAST(user_id AS STRING)"
@@ -105,17 +108,19 @@ def sql_observations(session: str = "'all'") -> str:
   FROM events)"""
 
 
-def sql_origin(session: str = "'all'") -> str:
-    """CTEs obs and kept (rows at or after the common origin t0)."""
+def sql_origin(session: str = "'all'", timeout: int | None = None) -> str:
+    """CTEs obs, origin and kept (rows at or after the common origin t0, of the streams that start in time)."""
+    in_time = "" if timeout is None else f" FILTER (f <= earliest + {timeout})"
     return f"""{sql_observations(session)},
-firsts AS (SELECT session_id, stream_id, min(us) AS f FROM obs GROUP BY ALL),
-origin AS (SELECT session_id, max(f) AS t0, count(*) AS streams FROM firsts GROUP BY session_id),
+firsts AS (SELECT session_id, stream_id, min(us) AS f, min(min(us)) OVER (PARTITION BY session_id) AS earliest
+  FROM obs GROUP BY session_id, stream_id),
+origin AS (SELECT session_id, max(f){in_time} AS t0, count(*) AS streams FROM firsts GROUP BY session_id),
 kept AS (SELECT obs.*, t0 FROM obs JOIN origin USING (session_id) WHERE us >= t0)"""
 
 
-def sql_slots(period: int, session: str = "'all'") -> str:
+def sql_slots(period: int, session: str = "'all'", timeout: int | None = None) -> str:
     """CTE coalesced: the last row of every slot."""
-    return f"""{sql_origin(session)},
+    return f"""{sql_origin(session, timeout)},
 slotted AS (SELECT *, {sql_div_round('us - t0', period)} AS slot FROM kept),
 coalesced AS (
   SELECT session_id, stream_id, slot, arg_max(us, (us, seq)) AS us, arg_max(seq, (us, seq)) AS seq,
@@ -123,10 +128,10 @@ coalesced AS (
   FROM slotted GROUP BY session_id, stream_id, slot)"""
 
 
-def sql_fill(period: int, max_fill: int | None = None, session: str = "'all'") -> str:
+def sql_fill(period: int, max_fill: int | None = None, session: str = "'all'", timeout: int | None = None) -> str:
     """CTE filled: fresh, filled and skipped rows."""
     fits = "TRUE" if max_fill is None else f"nxt - slot - 1 <= {max_fill}"
-    return f"""{sql_slots(period, session)},
+    return f"""{sql_slots(period, session, timeout)},
 runs AS (SELECT *, lead(slot) OVER (PARTITION BY session_id, stream_id ORDER BY slot) AS nxt FROM coalesced),
 filled AS (
   SELECT session_id, stream_id, slot, slot AS slot_to, 'fresh' AS status, us, seq, value, superseded, 0 AS lost

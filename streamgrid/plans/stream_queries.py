@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamgrid.plans.align_queries import MAX_GAP, RATE, TB_US, sql_clock
-from streamgrid.plans.inputs import DAY, HOUR, events_stream, sql_observations, units_of
+from streamgrid.plans.align_queries import MAX_GAP, RATE, TB_US, sql_clock, sql_correction
+from streamgrid.plans.inputs import DAY, HOUR, USER_SESSION, events_stream, sql_fill, sql_observations, sql_origin, units_of
 from streamgrid.plans.registry import query
 from streamgrid.sources.sinks import scratch_path
 from streamgrid.streaming import operators, sinks, windows
@@ -102,3 +102,44 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.groupBy("session_id").agg(
         F.sum("rows").alias("rows"), F.min("from_us").alias("from_us"), F.max("to_us").alias("to_us")
     )
+
+
+# --- live origin per session: user sessions, five streams each, a timeout of two days ------------------------------
+
+SQL_USER = "CAST(user_id AS VARCHAR)"
+TIMEOUT = 2 * DAY
+# Longer than any pause of a user, and shorter than the time that the end mark lies behind the data.
+IDLE = 29 * DAY
+GRID_PERIOD, GRID_FILL = 6 * HOUR, 8
+
+
+def _released(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events_stream(spark, sf_dir, session=USER_SESSION, end_mark=True, end_after_us=70 * DAY).drop("ts", "arrival_us")
+    return operators.release_at_origin(rows.withColumn("units", units_of()), 5, TIMEOUT, idle_us=IDLE)
+
+
+@query("stream_grid_by_user", f"""WITH {sql_fill(GRID_PERIOD, GRID_FILL, SQL_USER, TIMEOUT)}
+SELECT session_id, stream_id, slot, slot_to, status, us, seq, value, superseded, lost FROM filled""")
+def stream_grid_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's grid starts at the origin that the barrier found for the user; rows wait for it."""
+    grid = operators.stream_grid(_released(spark, sf_dir), GRID_PERIOD, GRID_FILL, TIMEOUT, IDLE)
+    return sinks.drain(spark, grid, "user-grid").drop("late")
+
+
+@query("stream_early_rows", f"""WITH {sql_origin(SQL_USER, TIMEOUT)}
+SELECT session_id, stream_id, min(t0) AS t0, count(*) AS rows, count(*) FILTER (us < t0) AS early
+FROM obs JOIN origin USING (session_id) GROUP BY ALL""")
+def stream_early_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Released rows, and how many of them lie before the origin."""
+    rows = sinks.drain(spark, _released(spark, sf_dir).select("session_id", "stream_id", "us", "t0"), "released")
+    return rows.groupBy("session_id", "stream_id").agg(
+        F.min("t0").alias("t0"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("us") < F.col("t0")).alias("early")
+    )
+
+
+@query("stream_correction", sql_correction(f"max(us) FILTER (us <= earliest + {TIMEOUT})", session=SQL_USER))
+def stream_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift correction from every user's own origin: trimmed, inserted, dropped and compensated blocks."""
+    blocks = operators.stream_correction(_released(spark, sf_dir), RATE, MAX_GAP, tb_us=TB_US, idle_us=IDLE)
+    corrected = ["session_id", "stream_id", "seq", "skipped", "counted", "action", "amount", "emitted"]
+    return sinks.drain(spark, blocks, "correction").select(*corrected)

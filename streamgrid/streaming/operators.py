@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from streamgrid.functions.scalars import US_PER_SEC, ceil_div, slot_of
-from streamgrid.operators.drift import DEADBAND_DIVISOR, units_in, us_of_units
+from streamgrid.operators.drift import Rule, plan_correction, units_in, us_of_units
 from streamgrid.schema import STREAM_KEYS
 from streamgrid.streaming.processors import (
     BARRIER_OUTPUT,
@@ -19,6 +20,8 @@ from streamgrid.streaming.processors import (
     BarrierProcessor,
     ClockProcessor,
     FillProcessor,
+    GridProcessor,
+    ReleaseProcessor,
     ThinProcessor,
 )
 
@@ -53,10 +56,17 @@ def stream_slots(df: DataFrame, period_us: int, origin_us: int, lookahead_us: in
     )
 
 
-def stream_fill(slots: DataFrame, max_fill: int) -> DataFrame:
+def _time_mode(idle_us: int | None) -> str:
+    return "None" if idle_us is None else "EventTime"
+
+
+def stream_fill(slots: DataFrame, max_fill: int, idle_us: int | None = None) -> DataFrame:
     """Bounded gap fill behind ``stream_slots``; the output is a prefix of the batch output."""
     return slots.groupBy(*STREAM_KEYS).transformWithStateInPandas(
-        statefulProcessor=FillProcessor(max_fill), outputStructType=FILL_OUTPUT, outputMode="Append", timeMode="None"
+        statefulProcessor=FillProcessor(max_fill, idle_us),
+        outputStructType=FILL_OUTPUT,
+        outputMode="Append",
+        timeMode=_time_mode(idle_us),
     )
 
 
@@ -69,20 +79,24 @@ def stream_clock(
     rows = df.withColumn("skipped", skipped).filter(F.col("skipped") < n)
     expected = units_in(start + us_of_units(F.col("skipped"), rate, tb_us), rate, tb_us)
     rows = rows.select(*STREAM_KEYS, "us", "seq", expected.alias("expected"), (n - F.col("skipped")).alias("units"))
-    band = max(max_gap, max(1, rate // DEADBAND_DIVISOR) - 1)
     clock = rows.groupBy(*STREAM_KEYS).transformWithStateInPandas(
-        statefulProcessor=ClockProcessor(band), outputStructType=CLOCK_OUTPUT, outputMode="Append", timeMode="None"
+        statefulProcessor=ClockProcessor(Rule.of(rate, max_gap)), outputStructType=CLOCK_OUTPUT, outputMode="Append", timeMode="None"
     )
     return clock.withColumn("drift", F.col("expected") - F.col("counted"))
 
 
 def _first_per_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        firsts = frame.groupby(["session_id", "stream_id"], as_index=False)["us"].min()
-        yield firsts.rename(columns={"us": "first_us"}).astype({"first_us": "Int64"})
+        firsts = frame.groupby(["session_id", "stream_id"], as_index=False).agg(first_us=("us", "min"), last_us=("us", "max"))
+        yield firsts.astype({"first_us": "Int64", "last_us": "Int64"})
 
 
-def start_barrier(df: DataFrame, participants: int, timeout_us: int, lookahead: str = "0 seconds") -> DataFrame:
+FIRSTS = "session_id string, stream_id string, first_us bigint, last_us bigint"
+
+
+def start_barrier(
+    df: DataFrame, participants: int, timeout_us: int, lookahead: str = "0 seconds", idle_us: int | None = None
+) -> DataFrame:
     """(session_id, t0) once a session's streams have all reported, or after the timeout in event time.
 
     A row whose ``us`` is null reports that its stream withdraws. Only the earliest time per stream matters, so
@@ -90,19 +104,128 @@ def start_barrier(df: DataFrame, participants: int, timeout_us: int, lookahead:
     """
     timed = df.select(*STREAM_KEYS, "us", F.timestamp_micros("us").alias("ts")).withWatermark("ts", lookahead)
     firsts = timed.select(*STREAM_KEYS, "us").mapInPandas(
-        _first_per_batch, "session_id string, stream_id string, first_us bigint"
+        _first_per_batch, FIRSTS
     )
     return firsts.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=BarrierProcessor(participants, timeout_us),
+        statefulProcessor=BarrierProcessor(participants, timeout_us, idle_us=idle_us),
         outputStructType=BARRIER_OUTPUT,
         outputMode="Append",
         timeMode="EventTime",
     )
 
 
-def stream_thin(df: DataFrame) -> DataFrame:
-    """Variable rate with strictly increasing times."""
+def stream_thin(df: DataFrame, idle_us: int | None = None) -> DataFrame:
+    """Variable rate with strictly increasing times. To end idle streams, ``df`` needs a watermark."""
     rows = df.select(*STREAM_KEYS, "us", "arrival_us", "seq", "value")
     return rows.groupBy(*STREAM_KEYS).transformWithStateInPandas(
-        statefulProcessor=ThinProcessor(), outputStructType=THIN_OUTPUT, outputMode="Append", timeMode="None"
+        statefulProcessor=ThinProcessor(idle_us),
+        outputStructType=THIN_OUTPUT,
+        outputMode="Append",
+        timeMode=_time_mode(idle_us),
+    )
+
+
+#: Rows of a session wait under so many keys, so that a hot session is not one.
+SALTS = 8
+
+
+def release_at_origin(
+    df: DataFrame, participants: int, timeout_us: int, lookahead: str = "0 seconds", idle_us: int | None = None,
+    salts: int = SALTS,
+) -> DataFrame:
+    """The rows of ``df`` with the common origin ``t0`` of their session, once it is known (see ``start_barrier``).
+
+    Until then rows wait in state. A stream that starts later gets the origin that was resolved without it, and rows
+    before the origin come with it as well, so that they can be counted. ``ready_ts`` is the event time of the output:
+    the time of the row plus the timeout. Rows without a time only tell that their stream withdraws, rows without
+    a session (end marks) only move the watermark.
+
+    With ``idle_us`` (longer than any pause of a session) state ends for sessions that are silent that long.
+    """
+    rows = df.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", lookahead)
+    firsts = rows.select(*STREAM_KEYS, "us").mapInPandas(_first_per_batch, FIRSTS)
+    origins = firsts.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=BarrierProcessor(participants, timeout_us, salts, idle_us),
+        outputStructType="session_id string, salt int, t0 bigint, ts timestamp",
+        outputMode="Append",
+        timeMode="EventTime",
+        eventTimeColumnName="ts",
+    )
+    fields = [T.StructField(f.name, f.dataType) for f in df.schema if f.name != "ts"]
+    salt = F.pmod(F.xxhash64("stream_id", "us", "seq"), F.lit(salts)).cast("int")
+    waiting = rows.filter(F.col("us").isNotNull()).select(
+        "ts", *[f.name for f in fields], salt.alias("salt"), F.lit(0).cast("bigint").alias("t0"), F.lit(False).alias("is_origin")
+    )
+    # Whole numbers are not null in the rows that announce an origin, so that they stay whole numbers in pandas.
+    whole = (T.LongType, T.IntegerType, T.ShortType)
+    blank = [
+        F.lit(0 if isinstance(f.dataType, whole) else None).cast(f.dataType).alias(f.name) for f in fields if f.name != "session_id"
+    ]
+    told = origins.select("ts", "session_id", *blank, "salt", "t0", F.lit(True).alias("is_origin"))
+    released = T.StructType([*fields, T.StructField("t0", T.LongType()), T.StructField("ready_ts", T.TimestampType())])
+    return waiting.unionByName(told).groupBy("session_id", "salt").transformWithStateInPandas(
+        statefulProcessor=ReleaseProcessor(fields, timeout_us),
+        outputStructType=released,
+        outputMode="Append",
+        timeMode="EventTime",
+        eventTimeColumnName="ready_ts",
+    )
+
+
+def stream_grid(
+    released: DataFrame, period_us: int, max_fill: int | None, timeout_us: int, idle_us: int | None = None
+) -> DataFrame:
+    """Grid of rows that carry their session's origin (``release_at_origin``), as ``regularise`` makes it.
+
+    Rows are reduced per slot and window of release before the shuffle, so a hot stream sends a row or two per slot.
+    """
+    slot = slot_of("us", F.col("t0"), period_us)
+    slots = (
+        released.filter(F.col("us") >= F.col("t0"))
+        .withColumn("slot", slot)
+        .groupBy(*STREAM_KEYS, "slot", F.window("ready_ts", f"{period_us} microseconds"))
+        .agg(F.max(F.struct("us", "seq", "value")).alias("_last"), F.count(F.lit(1)).alias("rows"), F.max("t0").alias("t0"))
+        .select(*STREAM_KEYS, "slot", "_last.us", "_last.seq", "_last.value", "rows", "t0")
+    )
+    return slots.groupBy(*STREAM_KEYS).transformWithStateInPandas(
+        statefulProcessor=GridProcessor(max_fill, period_us, timeout_us, idle_us),
+        outputStructType=FILL_OUTPUT,
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
+CORRECTION_OUTPUT = (
+    "session_id string, stream_id string, us bigint, seq bigint, skipped bigint, expected bigint, units bigint, counted bigint"
+)
+
+
+def stream_correction(
+    released: DataFrame, rate: int, max_gap: int, tb_us: int = US_PER_SEC, units: str = "units",
+    closed_loop: bool = False, idle_us: int | None = None,
+) -> DataFrame:
+    """Drift correction of rows that carry their session's origin, block by block as ``apply_corrections`` does it.
+
+    Blocks before the origin come out as ``trimmed``, so that they are counted. State is the counted position of a
+    stream; a stream's blocks of a micro-batch are put in order, and micro-batches follow each other in time.
+    """
+    start, n = F.col("us") - F.col("t0"), F.col(units).cast("bigint")
+    skipped = F.greatest(units_in(-start, rate, tb_us), F.lit(0).cast("bigint"))
+    rows = released.withColumn("skipped", F.least(skipped, n))
+    expected = units_in(start + us_of_units(F.col("skipped"), rate, tb_us), rate, tb_us)
+    rows = rows.select(*STREAM_KEYS, "us", "seq", "skipped", expected.alias("expected"), (n - F.col("skipped")).alias("units"))
+    rule = Rule.of(rate, max_gap, closed_loop)
+    clock = rows.groupBy(*STREAM_KEYS).transformWithStateInPandas(
+        statefulProcessor=ClockProcessor(rule, idle_us, CORRECTION_OUTPUT),
+        outputStructType=CORRECTION_OUTPUT,
+        outputMode="Append",
+        timeMode=_time_mode(idle_us),
     )
+    planned = plan_correction(clock.withColumn("drift", F.col("expected") - F.col("counted")), rate, max_gap)
+    trimmed, drops, zero = F.col("counted").isNull(), F.col("action") == "drop", F.lit(0).cast("bigint")
+    amount = F.when(drops, F.least("amount", "units")).otherwise(F.col("amount"))
+    return planned.withColumns({
+        "amount": F.when(trimmed, zero).otherwise(amount),
+        "emitted": F.when(trimmed, zero).otherwise(F.col("units") - F.when(drops, amount).otherwise(zero)),
+        "action": F.when(trimmed, "trimmed").otherwise(F.col("action")),
+    })

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from streamgrid.operators.drift import _advance
+from streamgrid.operators.drift import Rule
 
 FILL_OUTPUT = (
     "session_id string, stream_id string, slot bigint, slot_to bigint, status string, us bigint, seq bigint, "
@@ -31,13 +31,15 @@ def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
 class FillProcessor(StatefulProcessor):
     """Repeats the previous slot in gaps; keeps one row of state per stream.
 
-    The input has one row per (stream, slot), so even a hot stream sends at most one row per period.
+    The input has one row per (stream, slot), so even a hot stream sends at most one row per period. With ``idle_us``
+    the state of a stream ends when it has been silent for that long.
     """
 
-    def __init__(self, max_fill: int):
-        self.max_fill = max_fill
+    def __init__(self, max_fill: int, idle_us: int | None = None):
+        self.max_fill, self.idle_us = max_fill, idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ending = Ending(handle, self.idle_us)
         schema = T.StructType([
             T.StructField("slot", T.LongType()),
             T.StructField("us", T.LongType()),
@@ -48,6 +50,7 @@ class FillProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         slots = _ordered(rows, ["slot"])
+        self.ending.saw(int(slots["us"].max()))
         last = self.previous.get() if self.previous.exists() else None
         out = []
         for r in slots.itertuples(index=False):
@@ -66,6 +69,11 @@ class FillProcessor(StatefulProcessor):
         if out:
             yield self._frame(out)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.ending.is_over(timerValues):
+            self.previous.clear()
+        yield from ()
+
     @staticmethod
     def _frame(rows: list[tuple]) -> pd.DataFrame:
         columns = [c.split()[0] for c in FILL_OUTPUT.split(", ")]
@@ -76,25 +84,71 @@ class FillProcessor(StatefulProcessor):
         pass
 
 
+class Ending:
+    """A timer per key that ends its state once the watermark is ``idle_us`` behind its latest row.
+
+    The timer is set once and, when it fires early, set again for the rest, so a busy key costs no timer per batch.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, idle_us: int | None):
+        self.handle, self.idle_us = handle, idle_us
+        if idle_us is not None:
+            self.latest = handle.getValueState("latest", T.StructType([T.StructField("us", T.LongType())]))
+
+    def saw(self, us: int) -> None:
+        if self.idle_us is None:
+            return
+        known = self.latest.get()[0] if self.latest.exists() else None
+        if known is None:
+            self.handle.registerTimer(self._expiry(us))
+        if known is None or us > known:
+            self.latest.update((us,))
+
+    def is_over(self, timerValues) -> bool:
+        """Whether the key is idle; clears what this class holds, or sets the next timer."""
+        if self.idle_us is None or not self.latest.exists():
+            return False
+        due = self._expiry(self.latest.get()[0])
+        if due > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(due)
+            return False
+        self.latest.clear()
+        return True
+
+    def _expiry(self, us: int) -> int:
+        return (us + self.idle_us) // 1000 + 1
+
+
 class ClockProcessor(StatefulProcessor):
-    """The counted clock of a stream under insertion and dropping; state is the counted position."""
+    """The counted clock of a stream under insertion and dropping; state is the counted position.
+
+    Without ``idle_us`` state stays for good; with it, it ends when a stream has been silent for that long.
+    """
 
-    def __init__(self, band: int):
-        self.band = band
+    def __init__(self, rule: Rule, idle_us: int | None = None, output: str = CLOCK_OUTPUT):
+        self.rule, self.idle_us = rule, idle_us
+        self.columns = [c.split()[0] for c in output.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.clock = handle.getValueState("counted", T.StructType([T.StructField("counted", T.LongType())]))
+        self.ending = Ending(handle, self.idle_us)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         blocks = _ordered(rows, ["us", "seq"])
         counted = self.clock.get()[0] if self.clock.exists() else 0
         before = []
         for expected, units in zip(blocks["expected"].tolist(), blocks["units"].tolist(), strict=True):
-            before.append(counted)
-            counted = _advance(counted, expected, units, self.band)
+            # A block that was trimmed has no units and leaves the clock alone.
+            before.append(counted if units > 0 else None)
+            counted = self.rule.advance(counted, expected, units) if units > 0 else counted
         self.clock.update((counted,))
-        columns = ["session_id", "stream_id", "us", "seq", "expected", "units"]
-        yield blocks[columns].assign(counted=before)
+        self.ending.saw(int(blocks["us"].max()))
+        yield blocks.assign(counted=pd.array(before, dtype="Int64"))[self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.ending.is_over(timerValues):
+            self.clock.clear()
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -103,13 +157,19 @@ class ClockProcessor(StatefulProcessor):
 class BarrierProcessor(StatefulProcessor):
     """Resolves the common origin of a session once all participants reported, or after a timeout.
 
-    Input rows are first times per stream (null for a stream that withdraws). The timeout is event time after
+    Input rows are first and last times per stream (null for a stream that withdraws). The timeout is event time after
     the earliest report, and streams that start later than that do not decide, as in the batch form.
+
+    Output is one row per session; with ``salts``, the origin for every salt instead, again in every micro-batch that
+    brings rows of the session, dated no earlier than the watermark allows. So who waits for an origin meets it in the
+    micro-batch of the rows and holds no origins. With ``idle_us`` a session's state ends when it has been silent.
     """
 
-    def __init__(self, participants: int, timeout_us: int):
+    def __init__(self, participants: int, timeout_us: int, salts: int = 0, idle_us: int | None = None):
         self.participants = participants
         self.timeout_us = timeout_us
+        self.salts = salts
+        self.idle_us = idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -122,18 +182,25 @@ class BarrierProcessor(StatefulProcessor):
             T.StructField("resolved", T.BooleanType()),
             T.StructField("reports", T.LongType()),
             T.StructField("earliest", T.LongType()),
+            T.StructField("t0", T.LongType()),
         ])
         self.summary = handle.getValueState("summary", summary)
+        self.ending = Ending(handle, None if self.idle_us is None else self.idle_us + self.timeout_us)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).groupby("stream_id")["first_us"].min()
-        resolved, reports, earliest = self.summary.get() if self.summary.exists() else (False, 0, None)
+        frame = pd.concat(list(rows))
+        batch, last = frame.groupby("stream_id")["first_us"].min(), frame["last_us"].max()
+        if not pd.isna(last):
+            self.ending.saw(int(last))
+        resolved, reports, earliest, t0 = self.summary.get() if self.summary.exists() else (False, 0, None, None)
         if resolved:
+            if self.salts and not pd.isna(last):
+                yield self._announce(key, t0, int(last), timerValues)
             return
         incoming = {stream: None if pd.isna(first) else int(first) for stream, first in batch.items()}
         # Streams of one micro-batch that are complete by themselves need no state per stream.
         if reports == 0 and len(incoming) >= self.participants and any(v is not None for v in incoming.values()):
-            yield self._resolve(key, incoming.values(), timed_out=False)
+            yield self._resolve(key, incoming.values(), False, int(last), timerValues)
             return
         for stream, first in incoming.items():
             new = reports == 0 or not self.firsts.containsKey((stream,))
@@ -144,50 +211,193 @@ class BarrierProcessor(StatefulProcessor):
         earliest = min((v for v in (earliest, *incoming.values()) if v is not None), default=None)
         reports = sum(1 for _ in self.firsts.keys())
         if earliest is not None and reports >= self.participants:
-            yield self._resolve(key, [v[0] for v in self.firsts.values()], timed_out=False)
+            # What decides may be only that a stream withdraws; then the timeout dates the origin.
+            known = earliest + self.timeout_us if pd.isna(last) else int(last)
+            yield self._resolve(key, [v[0] for v in self.firsts.values()], False, known, timerValues)
             return
         if earliest != before:
             if before is not None:
                 self.handle.deleteTimer(self._expiry(before))
             self.handle.registerTimer(self._expiry(earliest))
-        self.summary.update((False, reports, earliest))
+        self.summary.update((False, reports, earliest, None))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.summary.get()[0]:
-            yield self._resolve(key, [v[0] for v in self.firsts.values()], timed_out=True)
+        if self.summary.exists():
+            resolved, _, earliest, _ = self.summary.get()
+            if not resolved and earliest is not None and self._expiry(earliest) <= timerValues.getCurrentWatermarkInMs():
+                firsts = [v[0] for v in self.firsts.values()]
+                yield self._resolve(key, firsts, True, earliest + self.timeout_us, timerValues)
+        if self.ending.is_over(timerValues):
+            self.firsts.clear()
+            self.summary.clear()
 
     def _expiry(self, earliest: int) -> int:
         return (earliest + self.timeout_us) // 1000 + 1
 
-    def _resolve(self, key, firsts: Iterable[int | None], timed_out: bool) -> pd.DataFrame:
+    def _resolve(self, key, firsts: Iterable[int | None], timed_out: bool, at_us: int, timerValues) -> pd.DataFrame:
         known = [v for v in firsts if v is not None]
         in_time = [v for v in known if v <= min(known) + self.timeout_us]
         self.firsts.clear()
-        self.summary.update((True, len(known), min(known)))
+        self.summary.update((True, len(known), min(known), max(in_time)))
+        if self.salts:
+            return self._announce(key, max(in_time), at_us, timerValues)
         columns = ["session_id", "t0", "streams", "timed_out"]
         without_some = timed_out or len(in_time) < len(known)
         return pd.DataFrame([(*key, max(in_time), len(in_time), without_some)], columns=columns)
 
+    def _announce(self, key, t0: int, at_us: int, timerValues) -> pd.DataFrame:
+        # What is dated before the watermark would be refused.
+        ts = pd.Timestamp(max(at_us, timerValues.getCurrentWatermarkInMs() * 1000) * 1000)
+        return pd.DataFrame([(*key, salt, t0, ts) for salt in range(self.salts)], columns=["session_id", "salt", "t0", "ts"])
+
+    def close(self) -> None:
+        pass
+
+
+class ReleaseProcessor(StatefulProcessor):
+    """Holds the rows of a (session, salt) until the origin of the session is announced, then lets them go with it.
+
+    The announcement comes again with every micro-batch that has rows, so nothing is kept once rows have left.
+    Released rows are dated ``timeout`` later: so long a row may have waited.
+    """
+
+    def __init__(self, fields: list[T.StructField], timeout_us: int):
+        self.fields, self.timeout_us = fields, timeout_us
+        self.names = [f.name for f in fields]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.waiting = handle.getListState("waiting", T.StructType(self.fields))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # A filter on the session before this would be pushed below the watermark, which end marks are there to move.
+        if key[0] is None:
+            return
+        frames = [f for f in rows if len(f)]
+        origins = [f.loc[f["is_origin"], "t0"] for f in frames]
+        origins = [o for o in origins if len(o)]
+        if not origins:
+            for frame in frames:
+                self.waiting.appendList(list(zip(*[frame[c].tolist() for c in self.names], strict=True)))
+            return
+        t0 = int(origins[0].iloc[0])
+        if self.waiting.exists():
+            held = pd.DataFrame(list(self.waiting.get()), columns=self.names)
+            self.waiting.clear()
+            yield self._released(held, t0)
+        for frame in frames:
+            yield self._released(frame.loc[~frame["is_origin"], self.names], t0)
+
+    def _released(self, frame: pd.DataFrame, t0: int) -> pd.DataFrame:
+        ready = pd.to_datetime(frame["us"].astype("int64") + self.timeout_us + 1000, unit="us")
+        return frame.assign(t0=t0, ready_ts=ready)
+
+    def close(self) -> None:
+        pass
+
+
+class GridProcessor(StatefulProcessor):
+    """Bounded gap fill on slots that may come in two portions, as a slot may lie in two windows of release.
+
+    The newest slot of a stream waits for its other portion: until a later slot comes, or the watermark passes it.
+    """
+
+    def __init__(self, max_fill: int | None, period_us: int, timeout_us: int, idle_us: int | None = None):
+        self.max_fill, self.period_us, self.timeout_us, self.idle_us = max_fill, period_us, timeout_us, idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        fields = [(n, T.LongType()) for n in ("slot", "us", "seq")] + [("value", T.DoubleType())]
+        previous = T.StructType([T.StructField(n, t) for n, t in fields])
+        pending = T.StructType([T.StructField(n, t) for n, t in [*fields, ("rows", T.LongType()), ("t0", T.LongType())]])
+        self.previous = handle.getValueState("previous", previous)
+        self.pending = handle.getValueState("pending", pending)
+        self.ending = Ending(handle, None if self.idle_us is None else self.idle_us + self.timeout_us)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = _ordered(rows, ["slot", "us", "seq"])
+        self.ending.saw(int(frame["us"].max()))
+        pending = self.pending.get() if self.pending.exists() else None
+        out: list[tuple] = []
+        for r in frame.itertuples(index=False):
+            value = None if pd.isna(r.value) else float(r.value)
+            now = (int(r.slot), int(r.us), int(r.seq), value, int(r.rows), int(r.t0))
+            if pending is not None and pending[0] == now[0]:
+                newest = max(pending, now, key=lambda p: p[1:3])
+                pending = (*newest[:4], pending[4] + now[4], now[5])
+                continue
+            if pending is not None:
+                yield from self._emit(key, pending, out)
+            pending = now
+        self.pending.update(pending)
+        self.handle.registerTimer(self._due(pending))
+        if out:
+            yield FillProcessor._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.pending.exists():
+            pending, out = self.pending.get(), []
+            if self._due(pending) <= timerValues.getCurrentWatermarkInMs():
+                yield from self._emit(key, pending, out)
+                yield FillProcessor._frame(out)
+                self.pending.clear()
+        if not self.pending.exists() and self.ending.is_over(timerValues):
+            self.previous.clear()
+
+    def _due(self, pending: tuple) -> int:
+        """When every window of release that touches the slot has passed."""
+        slot, t0 = pending[0], pending[5]
+        return (t0 + (slot + 3) * self.period_us + self.timeout_us) // 1000 + 2
+
+    def _emit(self, key, slot: tuple, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        last = self.previous.get() if self.previous.exists() else None
+        gap = 0 if last is None else slot[0] - last[0] - 1
+        if self.max_fill is not None and gap > self.max_fill:
+            out.append((*key, last[0] + 1, slot[0] - 1, "skipped", None, None, None, 0, 0, gap))
+        else:
+            for s in range(slot[0] - gap, slot[0]):
+                out.append((*key, s, s, "filled", last[1], last[2], last[3], 0, 0, 0))
+                if len(out) >= MAX_FILL_ROWS:
+                    yield FillProcessor._frame(out)
+                    out.clear()
+        out.append((*key, slot[0], slot[0], "fresh", slot[1], slot[2], slot[3], slot[4] - 1, 0, 0))
+        self.previous.update(slot[:4])
+
     def close(self) -> None:
         pass
 
 
 class ThinProcessor(StatefulProcessor):
-    """Keeps a row only if it is strictly later than every row kept before."""
+    """Keeps a row only if it is strictly later than every row kept before; a row without a time is never kept.
+
+    With ``idle_us`` the state of a stream ends when it has been silent for that long.
+    """
+
+    def __init__(self, idle_us: int | None = None):
+        self.idle_us = idle_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", T.StructType([T.StructField("us", T.LongType())]))
+        self.kept = handle.getValueState("kept", T.StructType([T.StructField("us", T.LongType())]))
+        self.ending = Ending(handle, self.idle_us)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = _ordered(rows, ["arrival_us", "seq"])
-        floor = self.latest.get()[0] if self.latest.exists() else None
+        frame = frame[frame["us"].notna()]
+        if frame.empty:
+            return
+        floor = self.kept.get()[0] if self.kept.exists() else None
         before = frame["us"].cummax().shift()
         if floor is not None:
             before = before.fillna(floor).clip(lower=floor)
         kept = frame[before.isna() | (frame["us"] > before)]
         top = int(frame["us"].max())
-        self.latest.update((top if floor is None else max(top, floor),))
-        yield kept[["session_id", "stream_id", "us", "seq", "value"]]
+        self.kept.update((top if floor is None else max(top, floor),))
+        self.ending.saw(top)
+        yield kept[["session_id", "stream_id", "us", "seq", "value"]].astype({"us": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.ending.is_over(timerValues):
+            self.kept.clear()
+        yield from ()
 
     def close(self) -> None:
         pass

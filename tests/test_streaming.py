@@ -9,8 +9,9 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from streamgrid.operators import drift, grid
+from streamgrid.operators.origin import attach_origin, common_origin, trim_pre_origin
 from streamgrid.schema import OBSERVATIONS
-from streamgrid.streaming import operators, sinks, windows
+from streamgrid.streaming import operators, replay, sinks, windows
 
 P = 1_000_000
 LOOKAHEAD = 2_000_000
@@ -135,3 +136,121 @@ def test_status_table_and_listener(spark, feed):
     assert status.select("batch").distinct().count() == 4
     sinks.status_writer(path + "/data", ["stream_id"])(status.filter("batch = 0").withColumn("us", F.col("from_us")), 0)
     assert all(r["rows"] >= 0 for r in listener.reports)
+
+
+SECOND = 1_000_000
+
+
+def _sessions(seed, n=400):
+    """Four sessions of up to three streams; streams start late, and one session lacks a stream."""
+    rng, us, data = random.Random(seed), 0, []
+    starts = {(s, t): rng.randrange(0, 40) * SECOND for s in "pqrs" for t in "abc"}
+    del starts["s", "c"]
+    for i in range(n):
+        us += rng.choice([100_000, 300_000, 700_000, 2_600_000])
+        open_ = [k for k, start in starts.items() if us >= start]
+        if open_:
+            data.append((*rng.choice(open_), i, us, float(i % 50)))
+    return data
+
+
+SESSION_ROWS = "session_id string, stream_id string, seq bigint, us bigint, value double"
+
+
+@pytest.fixture
+def session_feed(spark, tmp_path):
+    """(batch frame, stream frame, replay) of session rows in time order, with an end mark."""
+
+    def make(data, end_after=500 * SECOND):
+        df = spark.createDataFrame(data, SESSION_ROWS)
+        written = replay.write_replay(df, F.col("us"), {"us": F.col("_last") + end_after}, parts=5)
+        stream = (
+            spark.readStream.schema(df.schema).option("maxFilesPerTrigger", written.files_per_trigger).parquet(written.path)
+        )
+        return df, stream, written
+
+    return make
+
+
+def _finished(df, spark, name):
+    """What a stream wrote, and the state rows of its last micro-batch."""
+    path = sinks.scratch_path(spark, name)
+    query = sinks.write_available(df, path + "/data", path + "/checkpoint")
+    assert len(query.recentProgress) >= 5
+    state = sum(s.numRowsTotal for s in query.recentProgress[-1].stateOperators)
+    return spark.read.schema(df.schema).parquet(path + "/data"), state
+
+
+@pytest.mark.parametrize("timeout", [15 * SECOND, 100 * SECOND])
+def test_rows_wait_for_the_origin_of_their_session(spark, session_feed, timeout):
+    batch, stream, _ = session_feed(_sessions(7))
+    released = operators.release_at_origin(stream, 3, timeout, idle_us=200 * SECOND, salts=3)
+    got, state = _finished(released, spark, "released")
+    want = attach_origin(batch, common_origin(batch, timeout_us=timeout))
+    assert rows(got, *SESSION_ROWS.replace(",", "").split()[::2], "t0") == rows(want, *SESSION_ROWS.replace(",", "").split()[::2], "t0")
+    assert state == 0
+
+
+@pytest.mark.parametrize("max_fill", [None, 2])
+def test_live_grid_equals_the_batch_grid(spark, session_feed, max_fill):
+    batch, stream, _ = session_feed(_sessions(8))
+    released = operators.release_at_origin(stream, 3, 15 * SECOND, idle_us=200 * SECOND)
+    got, state = _finished(operators.stream_grid(released, P, max_fill, 15 * SECOND, 200 * SECOND), spark, "live")
+    kept = trim_pre_origin(attach_origin(batch, common_origin(batch, timeout_us=15 * SECOND)))
+    want = grid.fill_gaps(grid.coalesce_slots(grid.assign_slots(kept, P)), max_fill)
+    columns = ["session_id", "stream_id", "slot", "slot_to", "status", "us", "seq", "value", "superseded", "lost"]
+    assert rows(got, *columns) == rows(want, *columns)
+    assert state == 0
+
+
+@pytest.mark.parametrize("closed_loop", [False, True])
+def test_live_correction_equals_the_batch_correction(spark, session_feed, closed_loop):
+    batch, stream, _ = session_feed(_sessions(9))
+    units = (F.col("value") % 13).cast("bigint")
+    released = operators.release_at_origin(stream.withColumn("units", units), 3, 15 * SECOND, idle_us=200 * SECOND)
+    got, state = _finished(
+        operators.stream_correction(released, 10, 40, closed_loop=closed_loop, idle_us=200 * SECOND), spark, "corrected"
+    )
+    blocks = attach_origin(batch, common_origin(batch, timeout_us=15 * SECOND)).withColumn("units", units)
+    want = drift.apply_corrections(blocks, 10, 40, closed_loop=closed_loop)
+    columns = ["session_id", "stream_id", "seq", "skipped", "counted", "action", "amount", "emitted"]
+    assert rows(got, *columns) == rows(want, *columns)
+    assert len({r[5] for r in rows(got, *columns)}) >= 3
+    assert state == 0
+
+
+def test_thinning_and_barrier_end_with_their_streams(spark, session_feed):
+    data = [(s, t, i, us, v) for s, t, i, us, v in _sessions(10)]
+    _, stream, _ = session_feed([*data, ("p", "a", 9999, None, 0.0)])
+    timed = stream.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", "0 seconds")
+    thin = operators.stream_thin(timed.withColumn("arrival_us", F.col("us")), idle_us=200 * SECOND)
+    got, state = _finished(thin.filter("session_id IS NOT NULL"), spark, "thin-end")
+    # The end mark itself is a stream without keys; its state is all that is left.
+    assert got.filter("seq = 9999").count() == 0 and state <= 2
+    barrier = operators.start_barrier(stream, 3, 15 * SECOND, idle_us=200 * SECOND)
+    got, state = _finished(barrier, spark, "barrier-end")
+    assert got.count() == 4 and state == 0
+
+
+def test_replay_orders_any_spread_of_times(spark):
+    rng = random.Random(3)
+    times = [0] * 300 + [rng.randrange(100) for _ in range(100)] + [10**12 + i for i in range(200)] + [None] * 7
+    rng.shuffle(times)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "id bigint, us bigint").repartition(3)
+    written = replay.write_replay(df, F.col("us"), {"us": F.col("_last") + 5}, parts=4)
+    seen = []
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(written.path)
+    query = (
+        stream.writeStream.foreachBatch(lambda batch, _: seen.append([r["us"] for r in batch.collect()]))
+        .option("checkpointLocation", sinks.scratch_path(spark, "seen")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert sorted(t for part in seen for t in part) == sorted([t for t in times if t is not None] + [10**12 + 204])
+    filled = [part for part in seen if part]
+    assert all(max(a) <= min(b) for a, b in zip(filled, filled[1:], strict=False))
+    assert filled[-1] == [10**12 + 204] and max(map(len, filled)) < 300
+    schema = "id bigint, us bigint"
+    assert replay.untimed_rows(spark, written, schema).count() == 7
+    empty = replay.write_replay(df.limit(0), F.col("us"), {"us": F.col("_last") + 5})
+    assert spark.read.schema(df.schema).parquet(empty.path).count() == 0
+    assert replay.untimed_rows(spark, empty, schema).count() == 0
