@@ -194,7 +194,7 @@ def fill_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.fill_blocks(gaps, "missing").select("stream_id", "seq", "block", "units")
 
 
-def _ends(samples: str = "samples") -> list:
+def block_ends(samples: str = "samples") -> list:
     return [
         F.size(samples).cast("bigint").alias("samples_left"),
         F.get(samples, F.lit(0)).cast("double").alias("first_sample"),
@@ -214,7 +214,7 @@ def leading_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = chunks.groupBy("session_id", "stream_id").agg((F.min("us") + 40_500).alias("t0"))
     rows = lookup_join(chunks, first, ["session_id", "stream_id"], spread_by=["seq"])
     kept = blocks.leading_trim(rows, 32_000)
-    return kept.select(F.col("stream_id").cast("int").alias("label"), F.col("seq").alias("vec_id"), "skipped", *_ends())
+    return kept.select(F.col("stream_id").cast("int").alias("label"), F.col("seq").alias("vec_id"), "skipped", *block_ends())
 
 
 @query("head_drop", """WITH d AS (SELECT label, vec_id, embedding, least(vec_id % 40, 32) AS dropped FROM embeddings),
@@ -224,7 +224,7 @@ SELECT label, vec_id, dropped, len(left_over) AS samples_left, left_over[1]::DOU
 def head_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = vector_chunks(spark, sf_dir).withColumn("excess", F.col("seq") % 40)
     cut = blocks.head_drop(chunks, "excess")
-    return cut.select(F.col("stream_id").cast("int").alias("label"), F.col("seq").alias("vec_id"), "dropped", *_ends())
+    return cut.select(F.col("stream_id").cast("int").alias("label"), F.col("seq").alias("vec_id"), "dropped", *block_ends())
 
 
 @query("reblock", """WITH c AS (SELECT label, vec_id, embedding[(vec_id % 7) * 2 + 1:] AS e FROM embeddings),
@@ -238,7 +238,7 @@ def reblock(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = vector_chunks(spark, sf_dir).withColumn("excess", F.col("seq") % 7)
     out = blocks.reblock(blocks.head_drop(chunks, "excess"), 48)
     label = F.col("stream_id").cast("int").alias("label")
-    return out.select(label, "block", "pts", "frames", "is_partial", *_ends())
+    return out.select(label, "block", "pts", "frames", "is_partial", *block_ends())
 
 
 @query("deinterleave", """WITH f AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding) AS v FROM embeddings)
@@ -247,4 +247,4 @@ SELECT vec_id, i % 2 AS channel, count(*) AS samples_left, arg_min(v, i)::DOUBLE
 def deinterleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     planes = F.posexplode(blocks.deinterleave(F.col("samples"), 2)).alias("channel", "plane")
     rows = vector_chunks(spark, sf_dir).select(F.col("seq").alias("vec_id"), planes)
-    return rows.select("vec_id", F.col("channel").cast("bigint").alias("channel"), *_ends("plane"))
+    return rows.select("vec_id", F.col("channel").cast("bigint").alias("channel"), *block_ends("plane"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from streamgrid.schema import STREAM_KEYS
 from streamgrid.sources.observations import micros, read_chunks, read_observations
 from streamgrid.streaming.replay import write_replay
 
@@ -73,6 +74,39 @@ def events_stream(
     )
 
 
+def _read_replay(spark: SparkSession, rows: DataFrame, order: str) -> DataFrame:
+    replay = write_replay(rows, F.col(order))
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", replay.files_per_trigger)
+    return reader.parquet(replay.path)
+
+
+STREAM_NAMES = ("click", "error", "purchase", "signup", "view")
+
+
+def packets_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of users as packets of five streams, each a day later than the one before, closed by end marks."""
+    rows = events(spark, sf_dir, session=USER_SESSION)
+    index = F.array_position(F.array(*[F.lit(n) for n in STREAM_NAMES]), F.col("stream_id")).cast("int") - 1
+    packets = rows.select(
+        "session_id", index.alias("stream_index"), "seq", F.col("us").alias("pts"), F.col("us").alias("dts"), F.lit("data").alias("kind")
+    )
+    ends = packets.groupBy("session_id", "stream_index").agg(F.max("dts").alias("dts")).withColumns(
+        {"seq": F.lit(None).cast("bigint"), "pts": F.lit(None).cast("bigint"), "kind": F.lit("eof")}
+    )
+    late = F.col("dts") + F.col("stream_index").cast("bigint") * DAY + (F.col("kind") == "eof").cast("bigint")
+    return _read_replay(spark, packets.unionByName(ends).withColumn("_at", late), "_at").drop("_at")
+
+
+def chunks_stream(chunks: DataFrame) -> DataFrame:
+    """Chunks as a stream in time order; a row without samples closes every stream."""
+    columns = [*STREAM_KEYS, "us", "seq", "channels", "samples"]
+    ends = chunks.groupBy(*STREAM_KEYS).agg((F.max("us") + 1).alias("us")).withColumns({
+        "seq": F.lit(None).cast("bigint"), "channels": F.lit(None).cast("int"), "samples": F.lit(None).cast("array<float>"),
+    })
+    rows = chunks.select(*columns).unionByName(ends.select(*columns))
+    return _read_replay(chunks.sparkSession, rows, "us")
+
+
 USER_SESSION = "CAST(user_id AS STRING)"
 
 

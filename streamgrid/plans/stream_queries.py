@@ -8,9 +8,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamgrid.plans.align_queries import MAX_GAP, RATE, TB_US, sql_clock, sql_correction
-from streamgrid.plans.inputs import DAY, HOUR, USER_SESSION, events_stream, sql_fill, sql_observations, sql_origin, units_of
-from streamgrid.plans.registry import query
+from streamgrid.operators import blocks
+from streamgrid.plans.align_queries import MAX_GAP, RATE, TB_US, block_ends, sql_clock, sql_correction
+from streamgrid.plans.inputs import (
+    DAY,
+    HOUR,
+    STREAM_NAMES,
+    USER_SESSION,
+    chunks_stream,
+    events_stream,
+    packets_stream,
+    sql_fill,
+    sql_observations,
+    sql_origin,
+    units_of,
+    vector_chunks,
+)
+from streamgrid.plans.registry import SQL, query
 from streamgrid.sources.sinks import scratch_path
 from streamgrid.streaming import operators, sinks, windows
 
@@ -143,3 +157,52 @@ def stream_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = operators.stream_correction(_released(spark, sf_dir), RATE, MAX_GAP, tb_us=TB_US, idle_us=IDLE)
     corrected = ["session_id", "stream_id", "seq", "skipped", "counted", "action", "amount", "emitted"]
     return sinks.drain(spark, blocks, "correction").select(*corrected)
+
+
+# --- live merge, blocks and status rows ----------------------------------------------------------------------------
+
+SQL_INDEX = "CASE event_type " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(STREAM_NAMES)) + " END"
+
+
+@query("stream_merge", f"""WITH p AS (SELECT {SQL_USER} AS session_id, {SQL_INDEX} AS stream_index, event_id AS seq,
+  epoch_us(ts) AS pts, epoch_us(ts) AS dts FROM events)
+SELECT session_id, 'data' AS kind, stream_index::INT AS stream_index, seq, pts, dts,
+  row_number() OVER (PARTITION BY session_id ORDER BY dts, stream_index, seq) AS position FROM p
+UNION ALL SELECT session_id, 'complete', NULL, NULL, NULL, NULL, count(*) FROM p GROUP BY session_id""")
+def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streams of every user in time order, although each runs a day behind the one before."""
+    return sinks.drain(spark, operators.stream_merge(packets_stream(spark, sf_dir), len(STREAM_NAMES)), "merge")
+
+
+@query("stream_reblock", SQL["reblock"])
+def stream_reblock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of 26 to 32 frames to blocks of 48 frames, carried over micro-batches."""
+    chunks = vector_chunks(spark, sf_dir).withColumn("excess", F.col("seq") % 7)
+    out = sinks.drain(spark, operators.stream_reblock(chunks_stream(blocks.head_drop(chunks, "excess")), 48), "blocks")
+    return out.select(F.col("stream_id").cast("int").alias("label"), "block", "pts", "frames", "is_partial", *block_ends())
+
+
+SQL_LATENCY = "greatest(((event_id * 7919) % 70000) * 1000, 1)"
+
+
+@query("stream_dashboard", f"""WITH r AS (SELECT {SQL_USER} AS session_id, (epoch_us(ts) // {GRID_PERIOD} + 1) * {GRID_PERIOD} AS at_us,
+  value, {SQL_LATENCY} AS v FROM events),
+b AS (SELECT *, greatest(length(bin(v)) - 11, 0)::INT AS k, CAST(round(value * 100) AS BIGINT) AS size FROM r),
+h AS (SELECT *, ((v >> k) << k) + (1::BIGINT << k) - 1 AS high FROM b),
+t AS (SELECT DISTINCT session_id, at_us FROM h),
+c AS (SELECT t.session_id, t.at_us, count(*) AS received, count(*) FILTER (value > 150) AS dropped, sum(size)::BIGINT AS bytes,
+  quantile_disc(high, 0.5) AS p50_us, quantile_disc(high, 0.99) AS p99_us
+  FROM t JOIN h ON h.session_id = t.session_id AND h.at_us <= t.at_us GROUP BY ALL),
+l AS (SELECT *, (at_us - lag(at_us) OVER w) / 1000000 AS secs, received - lag(received) OVER w AS dr, bytes - lag(bytes) OVER w AS db
+  FROM c WINDOW w AS (PARTITION BY session_id ORDER BY at_us))
+SELECT session_id, at_us, received, dropped, bytes, secs AS window_secs, round(dr / secs, 12) AS received_per_sec,
+  round(db / secs * 8, 9) AS bytes_bits_per_sec, p50_us, p99_us FROM l""")
+def stream_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters, rates and latency quantiles of every user, at each tick of six hours."""
+    rows = windows.with_lookahead(events_stream(spark, sf_dir, session=USER_SESSION, end_mark=True, end_after_us=70 * DAY), "1 hour")
+    rows = rows.withColumn("latency_us", F.expr("((seq * 7919) % 70000) * 1000"))
+    counters = {"dropped": F.col("value") > 150, "bytes": F.round(F.col("value") * 100)}
+    status = sinks.drain(spark, operators.stream_dashboard(rows, GRID_PERIOD, "latency_us", counters, IDLE), "dashboard")
+    return status.withColumns({
+        "received_per_sec": F.round("received_per_sec", 12), "bytes_bits_per_sec": F.round("bytes_bits_per_sec", 9),
+    })

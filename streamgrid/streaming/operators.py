@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from streamgrid.functions.scalars import US_PER_SEC, ceil_div, slot_of
 from streamgrid.operators.drift import Rule, plan_correction, units_in, us_of_units
+from streamgrid.operators.metrics import LATENCY_FLOOR_US, histogram_bucket
 from streamgrid.schema import STREAM_KEYS
 from streamgrid.streaming.processors import (
     BARRIER_OUTPUT,
+    BLOCK_OUTPUT,
     CLOCK_OUTPUT,
+    DASHBOARD_OUTPUT,
     FILL_OUTPUT,
+    MERGE_OUTPUT,
     THIN_OUTPUT,
     BarrierProcessor,
+    BlockProcessor,
     ClockProcessor,
+    DashboardProcessor,
     FillProcessor,
     GridProcessor,
+    MergeProcessor,
     ReleaseProcessor,
     ThinProcessor,
 )
@@ -229,3 +236,47 @@ def stream_correction(
         "emitted": F.when(trimmed, zero).otherwise(F.col("units") - F.when(drops, amount).otherwise(zero)),
         "action": F.when(trimmed, "trimmed").otherwise(F.col("action")),
     })
+
+
+def stream_merge(packets: DataFrame, participants: int) -> DataFrame:
+    """Packets (session_id, stream_index, seq, pts, dts, kind) of live streams, merged by (dts, stream_index, seq).
+
+    A stream brings its packets in that order and closes with one of kind ``eof``. ``position`` numbers the rows of a
+    session; a row of kind ``complete`` follows the last one.
+    """
+    rows = packets.select("session_id", "stream_index", "seq", "pts", "dts", "kind")
+    return rows.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=MergeProcessor(participants), outputStructType=MERGE_OUTPUT, outputMode="Append", timeMode="None"
+    )
+
+
+def stream_reblock(chunks: DataFrame, size: int) -> DataFrame:
+    """Blocks of ``size`` frames of live streams, as ``reblock`` cuts them; a row without samples ends its stream."""
+    rows = chunks.select(*STREAM_KEYS, "us", "seq", "channels", "samples")
+    return rows.groupBy(*STREAM_KEYS).transformWithStateInPandas(
+        statefulProcessor=BlockProcessor(size), outputStructType=BLOCK_OUTPUT, outputMode="Append", timeMode="None"
+    )
+
+
+def stream_dashboard(
+    df: DataFrame, tick_us: int, latency: str, counters: Mapping[str, Column], idle_us: int | None = None
+) -> DataFrame:
+    """One status row per session and tick that saw a row, once the watermark has passed it.
+
+    ``counters`` gives ``dropped`` and ``bytes``; rows are ``received``. Rows are counted per tick and latency bucket
+    before the shuffle. Needs a watermark on ``ts``; missing latencies are received, but in no quantile.
+    """
+    value = F.col(latency).cast("bigint")
+    floored = F.when(value.isNotNull(), F.greatest(value, F.lit(LATENCY_FLOOR_US).cast("bigint")))
+    high = histogram_bucket(floored)[1]
+    ticks = (
+        df.groupBy("session_id", F.window("ts", f"{tick_us} microseconds"), high.alias("bucket_high"))
+        .agg(F.count(F.lit(1)).alias("received"), *[F.sum(c.cast("bigint")).alias(n) for n, c in counters.items()])
+        .select("session_id", F.unix_micros("window.end").alias("at_us"), "bucket_high", "received", *counters)
+    )
+    return ticks.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=DashboardProcessor(idle_us),
+        outputStructType=DASHBOARD_OUTPUT,
+        outputMode="Append",
+        timeMode=_time_mode(idle_us),
+    )

@@ -1,16 +1,19 @@
-"""State processors: gap fill on a slot stream, drift correction, start barrier, strict thinning.
+"""State processors: start barrier and release, gap fill, drift correction, thinning, merge, blocks, status rows.
 
 Rows of one key are ordered inside a micro-batch; across micro-batches they are taken as they come.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from streamgrid.functions.scalars import US_PER_SEC
 from streamgrid.operators.drift import Rule
 
 FILL_OUTPUT = (
@@ -401,3 +404,184 @@ class ThinProcessor(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+MERGE_OUTPUT = (
+    "session_id string, kind string, stream_index int, seq bigint, pts bigint, dts bigint, position bigint"
+)
+
+
+class MergeProcessor(StatefulProcessor):
+    """Merges the streams of a session by (dts, stream_index, seq) as far as no earlier row can come any more.
+
+    Every stream brings its rows in that order. The frontier is the smallest last row over the open streams; rows up
+    to it leave with their position, the others wait. An end mark takes a stream out, so its silence holds up nobody.
+    Once all ``participants`` have ended a ``complete`` row tells how many rows there were, and the state is gone.
+    """
+
+    def __init__(self, participants: int):
+        self.participants = participants
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        long, whole = T.LongType(), T.IntegerType()
+        fields = [("dts", long), ("stream_index", whole), ("seq", long), ("pts", long)]
+        self.waiting = handle.getListState("waiting", T.StructType([T.StructField(n, t) for n, t in fields]))
+        last = T.StructType([T.StructField("dts", long), T.StructField("open", T.BooleanType())])
+        self.streams = handle.getMapState("streams", T.StructType([T.StructField("stream_index", whole)]), last)
+        self.emitted = handle.getValueState("emitted", T.StructType([T.StructField("rows", long)]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:
+            return
+        frame = pd.concat(list(rows), ignore_index=True)
+        known = {k[0]: v for k, v in self.streams.iterator()}
+        ended = frame["kind"] == "eof"
+        for index, part in frame.groupby("stream_index"):
+            dts, open_ = known.get(int(index), (None, True))
+            top = part["dts"].max()
+            dts = dts if pd.isna(top) else int(top) if dts is None else max(dts, int(top))
+            known[int(index)] = (dts, open_ and not ended[part.index].any())
+            self.streams.updateValue((int(index),), known[int(index)])
+        data = frame.loc[~ended, ["dts", "stream_index", "seq", "pts"]]
+        packets = [*self.waiting.get()] if self.waiting.exists() else []
+        packets += [tuple(map(int, p)) for p in zip(*[data[c].tolist() for c in data], strict=True)]
+        packets.sort(key=lambda p: p[:3])
+        complete = len(known) >= self.participants
+        frontier = min(((v[0], k) for k, v in known.items() if v[1]), default=None)
+        over = complete and frontier is None
+        ready = 0 if not complete else len(packets) if over else bisect.bisect_right(packets, frontier, key=lambda p: tuple(p[:2]))
+        before = self.emitted.get()[0] if self.emitted.exists() else 0
+        out = [(key[0], "data", p[1], p[2], p[3], p[0], before + i + 1) for i, p in enumerate(packets[:ready])]
+        if over:
+            out.append((key[0], "complete", None, None, None, None, before + ready))
+            self.streams.clear()
+            self.waiting.clear()
+            self.emitted.clear()
+        else:
+            self.emitted.update((before + ready,))
+            self.waiting.clear()
+            if ready < len(packets):
+                self.waiting.put([tuple(p) for p in packets[ready:]])
+        if out:
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in MERGE_OUTPUT.split(", ")])
+            yield frame.astype({"stream_index": "Int32", "seq": "Int64", "pts": "Int64", "dts": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+BLOCK_OUTPUT = (
+    "session_id string, stream_id string, block bigint, pts bigint, channels int, samples array<float>, frames bigint, "
+    "is_partial boolean"
+)
+
+
+class BlockProcessor(StatefulProcessor):
+    """Cuts the arrays of a stream into blocks of ``size`` frames; state is the part of a block that is not full yet.
+
+    An end mark (a row without samples) brings out what is left as a partial block and ends the state.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        fields = [("block", T.LongType()), ("channels", T.IntegerType()), ("samples", T.ArrayType(T.FloatType()))]
+        self.carried = handle.getValueState("carried", T.StructType([T.StructField(n, t) for n, t in fields]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        chunks = _ordered(rows, ["us", "seq"])
+        block, channels, samples = self.carried.get() if self.carried.exists() else (0, 0, [])
+        arrays = [s for s in chunks["samples"] if s is not None]
+        channels = max([channels, *chunks["channels"].dropna().astype(int)], default=0)
+        data = np.concatenate([np.asarray(samples, np.float32), *[np.asarray(a, np.float32) for a in arrays]])
+        width = max(1, self.size * channels)
+        full = len(data) // width
+        out = [(*key, block + i, data[i * width : (i + 1) * width]) for i in range(full)]
+        rest = data[full * width :]
+        if len(arrays) < len(chunks):
+            if len(rest):
+                out.append((*key, block + full, rest))
+            self.carried.clear()
+        else:
+            self.carried.update((block + full, channels, [float(x) for x in rest]))
+        if out:
+            frame = pd.DataFrame(out, columns=["session_id", "stream_id", "block", "samples"])
+            frames = frame["samples"].map(len) // max(1, channels)
+            yield frame.assign(
+                pts=frame["block"] * self.size, channels=channels, frames=frames, is_partial=frames < self.size
+            )[[c.split()[0] for c in BLOCK_OUTPUT.split(", ")]]
+
+    def close(self) -> None:
+        pass
+
+
+DASHBOARD_OUTPUT = (
+    "session_id string, at_us bigint, received bigint, dropped bigint, bytes bigint, window_secs double, "
+    "received_per_sec double, bytes_bits_per_sec double, p50_us bigint, p99_us bigint"
+)
+
+
+class DashboardProcessor(StatefulProcessor):
+    """Status rows of a session: counters and latency quantiles so far, and rates since the row before.
+
+    The input has the counts of a tick per latency bucket, a tick complete in one micro-batch. State is the last
+    snapshot and one histogram (as many buckets as the latencies spread over, three digits).
+    """
+
+    COUNTERS = ("received", "dropped", "bytes")
+
+    def __init__(self, idle_us: int | None = None):
+        self.idle_us = idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        long = T.LongType()
+        last = T.StructType([T.StructField(n, long) for n in ("at_us", *self.COUNTERS)])
+        self.last = handle.getValueState("last", last)
+        pairs = T.StructType([T.StructField(n, T.ArrayType(long)) for n in ("highs", "rows")])
+        self.histogram = handle.getValueState("histogram", pairs)
+        self.ending = Ending(handle, self.idle_us)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True)
+        last = self.last.get() if self.last.exists() else None
+        counts = dict(zip(*self.histogram.get(), strict=True)) if self.histogram.exists() else {}
+        out = []
+        for at_us, tick in frame.groupby("at_us", sort=True):
+            for high, n in zip(tick["bucket_high"], tick["received"], strict=True):
+                if not pd.isna(high):
+                    counts[int(high)] = counts.get(int(high), 0) + int(n)
+            before = last[1:] if last is not None else (0, 0, 0)
+            now = (int(at_us), *[b + int(tick[c].sum()) for b, c in zip(before, self.COUNTERS, strict=True)])
+            out.append((key[0], *now, *self._rates(last, now), *self._quantiles(counts, 0.5, 0.99)))
+            last = now
+        self.last.update(last)
+        highs = sorted(counts)
+        self.histogram.update((highs, [counts[h] for h in highs]))
+        self.ending.saw(last[0])
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in DASHBOARD_OUTPUT.split(", ")])
+        yield frame.astype({"p50_us": "Int64", "p99_us": "Int64"})
+
+    @staticmethod
+    def _rates(last: tuple | None, now: tuple) -> tuple:
+        if last is None:
+            return None, None, None
+        seconds = (now[0] - last[0]) / US_PER_SEC
+        if seconds <= 0:
+            return seconds, 0.0, 0.0
+        return seconds, max(now[1] - last[1], 0) / seconds, max(now[3] - last[3], 0) / seconds * 8
+
+    @staticmethod
+    def _quantiles(counts: dict[int, int], *quantiles: float) -> list[int | None]:
+        highs = sorted(counts)
+        upto = np.cumsum([counts[h] for h in highs])
+        return [highs[int(np.searchsorted(upto, upto[-1] * q))] if highs else None for q in quantiles]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.ending.is_over(timerValues):
+            self.last.clear()
+            self.histogram.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass

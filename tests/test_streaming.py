@@ -8,7 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from streamgrid.operators import drift, grid
+from streamgrid.operators import blocks, drift, grid
 from streamgrid.operators.origin import attach_origin, common_origin, trim_pre_origin
 from streamgrid.schema import OBSERVATIONS
 from streamgrid.streaming import operators, replay, sinks, windows
@@ -254,3 +254,69 @@ def test_replay_orders_any_spread_of_times(spark):
     empty = replay.write_replay(df.limit(0), F.col("us"), {"us": F.col("_last") + 5})
     assert spark.read.schema(df.schema).parquet(empty.path).count() == 0
     assert replay.untimed_rows(spark, empty, schema).count() == 0
+
+
+def _parts(spark, folder, parts, schema):
+    """A stream of one file per part, in this order."""
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_merge_waits_for_slow_streams_and_ends_with_them(spark, tmp_path):
+    rng, parts, sent = random.Random(4), [[] for _ in range(6)], []
+    for session in ("x", "y"):
+        for index in range(3):
+            dts = sorted(rng.randrange(30) for _ in range(20))
+            packets = [(session, index, i, t + rng.randrange(3), t, "data") for i, t in enumerate(dts)]
+            sent += packets
+            packets.append((session, index, None, None, None, "eof"))
+            cuts = sorted(rng.randrange(21) for _ in range(4)) + [21]
+            for i, (a, b) in enumerate(zip([0, *cuts], cuts, strict=False)):
+                parts[min(i + index, 5)] += packets[a:b]
+    schema = "session_id string, stream_index int, seq bigint, pts bigint, dts bigint, kind string"
+    merged = operators.stream_merge(_parts(spark, tmp_path / "in", parts, schema), 3)
+    got, state = _finished(merged, spark, "merge")
+    want = []
+    for session in ("x", "y"):
+        ordered = sorted((p for p in sent if p[0] == session), key=lambda p: (p[4], p[1], p[2]))
+        want += [(session, "data", p[1], p[2], p[3], p[4], i + 1) for i, p in enumerate(ordered)]
+        want.append((session, "complete", None, None, None, None, len(ordered)))
+    assert rows(got, *got.columns) == sorted(want, key=repr)
+    assert state == 0
+
+
+def test_live_blocks_equal_the_batch_blocks(spark, tmp_path):
+    rng, parts, us = random.Random(6), [], 0
+    for _ in range(5):
+        part = []
+        for _ in range(12):
+            us += 10
+            part.append(("s", rng.choice("ab"), us, us, 2, [float(us + i) for i in range(2 * rng.randrange(0, 9))]))
+        parts.append(part)
+    schema = "session_id string, stream_id string, us bigint, seq bigint, channels int, samples array<float>"
+    want = blocks.reblock(spark.createDataFrame([r for p in parts for r in p], schema), 16)
+    parts.append([("s", t, us + 1, None, None, None) for t in "ab"])
+    got, state = _finished(operators.stream_reblock(_parts(spark, tmp_path / "in", parts, schema), 16), spark, "blocks")
+    columns = ["stream_id", "block", "pts", "channels", "frames", "is_partial", "samples"]
+    assert rows(got, *columns) == rows(want, *columns)
+    assert state == 0
+
+
+def test_status_rows_count_missing_latencies_and_end(spark, session_feed):
+    data = _sessions(12)
+    _, stream, _ = session_feed(data)
+    timed = windows.with_lookahead(stream.withColumn("ts", F.timestamp_micros("us")), "0 seconds")
+    timed = timed.withColumn("latency", F.when(F.col("seq") % 3 != 0, F.col("seq") * 10))
+    counters = {"dropped": F.col("value") > 40, "bytes": F.col("value")}
+    got, state = _finished(operators.stream_dashboard(timed, 20 * SECOND, "latency", counters, 200 * SECOND), spark, "status")
+    last = {r["session_id"]: r for r in got.orderBy("at_us").collect()}
+    for session in "pqrs":
+        mine = [r for r in data if r[0] == session]
+        slow = sorted(r[2] * 10 for r in mine if r[2] % 3)
+        row = last[session]
+        assert (row["received"], row["dropped"]) == (len(mine), sum(r[4] > 40 for r in mine))
+        assert row["bytes"] == sum(int(r[4]) for r in mine)
+        assert slow[-1] * 0.98 <= row["p99_us"] <= slow[-1] * 1.001
+    # The end mark is a session of its own and the last row of all.
+    assert state <= 3
