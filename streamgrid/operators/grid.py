@@ -49,21 +49,31 @@ def coalesce_slots(df: DataFrame, by_arrival: bool = False) -> DataFrame:
     """Last row wins per (stream, slot); the others are counted as superseded.
 
     One aggregate with map-side combine: a slot or stream that holds a third of all rows is reduced before
-    the shuffle. Order key (us, seq), or (arrival, us, seq) when re-slotted rows compete.
+    the shuffle. Order key (us, seq), or (arrival, us, seq) when re-slotted rows compete. The key of two is packed
+    into one number, so that rows are combined by hash; the key of three is a struct, for which Spark sorts.
     """
-    rank = (["arrival_us"] if by_arrival else []) + ["us", "seq"]
     late = F.count_if(F.col("late")) if "late" in df.columns else F.lit(0).cast("bigint")
+    counts = ((F.count(F.lit(1)) - 1).alias("superseded"), late.alias("late"))
+    if not by_arrival:
+        packed = df.withColumn("_rank", packed_rank("us", "seq"))
+        return packed.groupBy(*STREAM_KEYS, "slot").agg(
+            F.max("us").alias("us"), F.max_by("seq", "_rank").alias("seq"), F.max_by("value", "_rank").alias("value"), *counts
+        )
+    last = F.max(F.struct("arrival_us", "us", "seq", "value")).alias("_last")
     return (
         df.groupBy(*STREAM_KEYS, "slot")
-        .agg(
-            F.max(F.struct(*rank, "value")).alias("_last"),
-            (F.count(F.lit(1)) - 1).alias("superseded"),
-            late.alias("late"),
-        )
+        .agg(last, *counts)
         .select(*STREAM_KEYS, "slot", "_last.us", "_last.seq", "_last.value", "superseded", "late")
     )
 
 
+def packed_rank(us: str, seq: str) -> Column:
+    """(us, seq) as one number of the same order, a null ``seq`` first. Times have to lie within 62 bits."""
+    whole = lambda c: F.lit(c).cast("decimal(20,0)") if isinstance(c, str) else c.cast("decimal(20,0)")
+    low = F.coalesce(F.col(seq).cast("bigint"), F.lit(-(2**63)))
+    return whole(F.col(us)) * whole(str(2**64)) + whole(low)
+
+
 def fill_gaps(
     slots: DataFrame,
     max_fill: int | None = None,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamgrid.functions import lookups, scalars
-from streamgrid.operators import rules
+from streamgrid.operators import rules, written
 from streamgrid.operators.merge import warn_once as first_warnings
 from streamgrid.plans.inputs import (
     FINE,
@@ -208,6 +208,17 @@ def write_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.verify_written(spark, path, rows)
 
 
+@query("written_order", f"""WITH {sql_observations()}
+SELECT us // {7 * 24 * HOUR} AS segment, count(*) AS rows, min(us) AS low, max(us) AS high, CAST(0 AS BIGINT) AS backward,
+  CAST(0 AS BIGINT) AS stepped, TRUE AS in_order FROM obs GROUP BY 1""")
+def written_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write in merge order, one folder per week, and audit the files."""
+    path = sinks.scratch_path(spark, "merged")
+    sinks.write_merged(sinks.with_segment(events(spark, sf_dir), 7 * 24 * HOUR, slot="us"), path, partition_by=["segment"])
+    segment = F.regexp_extract("folder", "segment=(-?[0-9]+)$", 1).cast("bigint").alias("segment")
+    return written.written_order(spark, path).select(segment, "rows", "low", "high", "backward", "stepped", "in_order")
+
+
 @query("suffix_class", """SELECT s_suppkey, CASE WHEN name IN ('libx264', 'libx265', 'libsvtav1') THEN 'software'
     WHEN name LIKE '%\\_vaapi' ESCAPE '\\' OR name LIKE '%\\_qsv' ESCAPE '\\' THEN 'hw_frames'
     WHEN name LIKE '%\\_nvenc' ESCAPE '\\' OR name LIKE '%\\_amf' ESCAPE '\\' OR name LIKE '%\\_mf' ESCAPE '\\'

@@ -145,3 +145,18 @@ def test_conservation_counts_rejected_rows(observe, spark):
     out = audit.conservation(seen, regularise(good, 5, max_fill=2))
     found = rows(out, "session_id", "observations", "rejected", "rows_conserved")
     assert found == sorted([("s", 2, 0, True), (None, 2, 2, True)], key=repr)
+
+
+def test_slots_are_combined_by_hash_whatever_the_ties(observe):
+    rng = random.Random(5)
+    data = [(rng.choice("ab"), rng.choice([i % 7, -(2**63), 2**63 - 1, i]), rng.choice([0, 5, 10, 15, -5, 10**17]), i) for i in range(300)]
+    slotted = grid.assign_slots(observe(data), 10)
+    out = grid.coalesce_slots(slotted)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+    best = {}
+    for stream, seq, us, value in data:
+        slot = (us + 5) // 10 if us >= 0 else -((-us + 5) // 10)
+        best[stream, slot] = max(best.get((stream, slot), (us, seq, -1.0)), (us, seq, float(value)))
+    found = {(r["stream_id"], r["slot"]): (r["us"], r["seq"]) for r in out.collect()}
+    assert found == {k: v[:2] for k, v in best.items()}

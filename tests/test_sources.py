@@ -4,6 +4,7 @@ import pytest
 from conftest import SMALL, rows
 from pyspark.sql import functions as F
 
+from streamgrid.operators import written
 from streamgrid.operators.align import shared_slots
 from streamgrid.operators.grid import assign_slots, coalesce_slots
 from streamgrid.plans.inputs import events
@@ -67,3 +68,43 @@ def test_shared_slots(observe):
     df = observe([("a", 0, 0, 0), ("a", 1, 100, 0), ("b", 2, 95, 0)])
     slots = coalesce_slots(assign_slots(df, 100))
     assert rows(shared_slots(slots, "a", "b"), "slot") == [(1,)]
+
+
+def _order_of(spark, path, **how):
+    found = written.written_order(spark, path, ["us", "seq"], **how).collect()
+    return {r["folder"].rpartition("/")[2]: (r["rows"], r["backward"], r["stepped"], r["in_order"]) for r in found}
+
+
+def test_written_order_is_told_from_footers_and_rows(spark, tmp_path):
+    schema = "us bigint, seq bigint"
+
+    def write(folder, parts):
+        """One file per part, named in this order."""
+        for i, part in enumerate(parts):
+            one = tmp_path / f"{folder}-{i}"
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(one))
+            (tmp_path / folder).mkdir(exist_ok=True)
+            (file,) = one.glob("*.parquet")
+            file.rename(tmp_path / folder / f"part-{i:05d}.parquet")
+        return str(tmp_path / folder)
+
+    a, b, c = [(1, 1), (2, 2)], [(3, 1), (3, 4), (5, 5)], [(5, 6), (9, 9)]
+    assert _order_of(spark, write("good", [a, b, c])) == {"good": (7, 0, 0, True)}
+    # Swapped files are seen in the footers alone.
+    swapped = write("swapped", [a, c, b])
+    assert _order_of(spark, swapped) == {"swapped": (7, 1, 1, False)}
+    assert _order_of(spark, swapped, read_rows=False) == {"swapped": (7, 1, None, False)}
+    # Files that touch, and rows inside a file, need the rows.
+    assert _order_of(spark, write("touch", [a, b, [(5, 2), (9, 9)]])) == {"touch": (7, 0, 1, False)}
+    inside = write("inside", [a, [(3, 4), (3, 1), (5, 5)], c])
+    assert _order_of(spark, inside) == {"inside": (7, 0, 1, False)}
+    assert _order_of(spark, inside, read_rows=False) == {"inside": (7, 0, None, True)}
+    assert _order_of(spark, write("nulls", [[(None, None), (1, 1)], [(2, None)]])) == {"nulls": (3, 0, 0, True)}
+
+
+def test_row_groups_of_one_file_are_audited(spark, tmp_path):
+    rows_ = spark.range(0, 60_000, 1, 1).selectExpr("id AS us", "id AS seq")
+    rows_.write.option("parquet.block.size", 65_536).option("parquet.page.size", 8_192).parquet(str(tmp_path / "many"))
+    extents = written.file_extents(spark, str(tmp_path / "many"))
+    assert extents.count() > 1 and extents.agg(F.sum("rows")).first()[0] == 60_000
+    assert _order_of(spark, str(tmp_path / "many")) == {"many": (60_000, 0, 0, True)}
