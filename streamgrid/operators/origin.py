@@ -30,10 +30,12 @@ def common_origin(df: DataFrame, withdrawn: DataFrame | None = None, timeout_us:
     return firsts.groupBy("session_id").agg(F.max("first_us").alias("t0"), F.count(F.lit(1)).alias("streams"))
 
 
-def session_bounds(df: DataFrame) -> DataFrame:
-    """Common origin and last event time per session, in one pass."""
-    streams = df.groupBy(*STREAM_KEYS).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"))
-    return streams.groupBy("session_id").agg(F.max("first_us").alias("t0"), F.max("last_us").alias("end_us"))
+def session_bounds(df: DataFrame, by_arrival: bool = False) -> DataFrame:
+    """Common origin and last event time per session, in one pass; ``by_arrival`` adds the last arrival."""
+    last = {"end_us": "us", **({"end_arrival_us": "arrival_us"} if by_arrival else {})}
+    ends = [F.max(c).alias(name) for name, c in last.items()]
+    streams = df.groupBy(*STREAM_KEYS).agg(F.min("us").alias("first_us"), *ends)
+    return streams.groupBy("session_id").agg(F.max("first_us").alias("t0"), *[F.max(name).alias(name) for name in last])
 
 
 def attach_origin(df: DataFrame, origin: DataFrame | Bounded, how: str = "inner") -> DataFrame:

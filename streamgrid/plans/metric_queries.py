@@ -274,11 +274,11 @@ def occupancy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 n AS (SELECT *, CAST(sum(delta) OVER (ORDER BY us, delta DESC, seq) AS BIGINT) AS s FROM q),
 e AS (SELECT *, greatest(max(s - 500) OVER (ORDER BY us, delta DESC, seq), 0) AS overflow FROM n)
 SELECT us, seq, delta, s - overflow AS length, overflow FROM e""")
-def bounded_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bounded_queue(spark: SparkSession, sf_dir: str, hot_rows: int | None = None) -> DataFrame:
     """All events are offered to a queue of 500, one in four is taken a second later; the newest is dropped."""
     offers = events(spark, sf_dir).select("session_id", "us", "seq", F.lit(1).alias("delta"))
     takes = offers.filter(F.col("seq") % 4 == 0).withColumn("us", F.col("us") + 1_000_000)
-    occupied = metrics.occupancy(offers.unionByName(takes.withColumn("delta", F.lit(-1))), 500)
+    occupied = metrics.occupancy(offers.unionByName(takes.withColumn("delta", F.lit(-1))), 500, hot_rows=hot_rows)
     return occupied.select("us", "seq", "delta", "length", "overflow")
 
 

@@ -19,17 +19,21 @@ def slotted_with_bound(
 ) -> tuple[DataFrame, int | None]:
     """One row per (stream, slot), and a bound of the slots per stream where the sessions are few enough.
 
-    With a lookahead, late rows move to the next open slot first; their slots depend on arrival times, so there
-    is no bound.
+    With a lookahead, late rows move to the next open slot first, so the last arrival bounds the slots as well.
     """
-    bounds = bounded(session_bounds(observations))
-    with_origin = attach_origin(observations, bounds).drop("end_us")
+    bounds = bounded(session_bounds(observations, by_arrival=lookahead_us is not None))
+    with_origin = attach_origin(observations, bounds).drop("end_us", "end_arrival_us")
     rows = grid.assign_slots(trim_pre_origin(with_origin), period_us, anchor)
-    if lookahead_us is not None:
-        return grid.coalesce_slots(grid.reslot_late(rows, period_us, lookahead_us), by_arrival=True), None
     limit = None
     if bounds.is_local:
-        limit = max(((r["end_us"] - r["t0"]) // period_us + 2 for r in bounds.rows), default=0)
+        # A session has an origin exactly if it has a time.
+        columns = {c: [v or 0 for v in bounds.table[c].to_pylist()] for c in bounds.table.column_names if c != "session_id"}
+        ends = columns["end_us"]
+        if lookahead_us is not None:
+            ends = [max(e, a - lookahead_us) for e, a in zip(ends, columns["end_arrival_us"], strict=True)]
+        limit = max((max(0, e - t0) // period_us + 2 for e, t0 in zip(ends, columns["t0"], strict=True)), default=0)
+    if lookahead_us is not None:
+        return grid.coalesce_slots(grid.reslot_late(rows, period_us, lookahead_us), by_arrival=True), limit
     return grid.coalesce_slots(rows), limit
 
 

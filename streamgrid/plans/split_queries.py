@@ -68,6 +68,12 @@ def occupancy_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occupied.select("us", "delta", "seq", "inflight", "above")
 
 
+@query("bounded_queue_split", SQL["bounded_queue"])
+def bounded_queue_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and overflow carried over the parts."""
+    return metric_queries.bounded_queue(spark, sf_dir, hot_rows=HOT)
+
+
 @query("row_cap_split", f"""WITH {sql_observations()},
 r AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY us, seq) AS rank FROM obs)
 SELECT stream_id, seq, us FROM r WHERE rank <= 1200""")

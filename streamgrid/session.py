@@ -21,8 +21,10 @@ RUNTIME_SETTINGS = {
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
+    """Set what results depend on; settings that already agree are left alone."""
     for key, value in RUNTIME_SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -44,14 +46,14 @@ def build_session(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``; only a local session may fall back to a temp folder."""
+    """Use the folder named by ``spark.checkpoint.dir``; only a session in one process may fall back to a temp folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if configured:
         context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
+    elif context.master == "local" or context.master.startswith("local["):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="streamgrid-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
