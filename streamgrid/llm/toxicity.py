@@ -3,7 +3,7 @@
 Voters are words and beginnings of words that stand out among labelled toxic documents, and patterns of writing. A
 generative model estimates, by expectation-maximisation, how often each voter fires in toxic and in clean documents;
 voters that fire together share one vote, so that correlated ones are not counted several times. A linear classifier
-is then trained on the posterior labels, from how often each voter fires.
+is then trained on the posterior labels, from how often each voter fires; a given label is one more voter there.
 """
 
 from __future__ import annotations
@@ -21,10 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamgrid.llm.common import cut
-from streamgrid.llm.training import SAMPLE_ROWS, descend, sample, scored, sigmoid
+from streamgrid.llm.training import SAMPLE_ROWS, descend, in_order, sample, scored, sigmoid
 
-#: Lexicon voters at most, and the labelled toxic documents that each of them must occur in.
-VOTERS = 300
+#: Labelled toxic documents that a lexicon voter must occur in.
 LEAST_DOCUMENTS = 4
 #: Share of toxic documents among those labelled that a lexicon voter occurs in, at least.
 LEAST_PRECISION = 0.6
@@ -32,6 +31,8 @@ LEAST_PRECISION = 0.6
 BEGINNINGS = range(4, 11)
 #: Voters whose firing correlates at least so share their vote.
 SAME = 0.5
+#: How often a given label is taken to be wrong where it votes.
+GOLD_ERROR = 0.01
 ROUNDS = 30
 STEPS = 500
 RATE = 0.05
@@ -93,8 +94,13 @@ def voters(lexicon: tuple[bytes, ...]) -> Voters:
     return Voters(lexicon)
 
 
-def mine_lexicon(texts: DataFrame, limit: int = VOTERS) -> tuple[bytes, ...]:
-    """The ``limit`` entries that tell labelled toxic documents from clean ones best, from (text, label)."""
+def mine_lexicon(texts: DataFrame) -> tuple[bytes, ...]:
+    """All entries that stand out in labelled toxic documents, from (text, label), most telling first.
+
+    An entry qualifies if it occurs in ``LEAST_DOCUMENTS`` toxic documents, if at least ``LEAST_PRECISION`` of its
+    documents are toxic, and if so many are less likely than one entry in all by chance. A beginning that occurs in the
+    same documents as a longer entry says nothing of its own and is dropped.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -114,13 +120,28 @@ def mine_lexicon(texts: DataFrame, limit: int = VOTERS) -> tuple[bytes, ...]:
         yield from sums()
 
     known = texts.filter(F.col("label").isNotNull())
+    share = known.agg(F.avg((F.col("label") > 0).cast("double"))).first()[0] or 0.0
     counted = known.mapInArrow(count, "key binary, clean bigint, toxic bigint").groupBy("key")
-    found = counted.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(
-        (F.col("toxic") >= LEAST_DOCUMENTS) & (F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean")))
-    )
-    weight = F.col("toxic") * F.log((F.col("toxic") + 1) / (F.col("clean") + 0.5))
-    top = found.select("key", weight.alias("w")).orderBy(F.col("w").desc(), "key").limit(limit)
-    return tuple(bytes(r["key"]) for r in top.collect())
+    counted = cut(counted.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-words")
+    tested = counted.filter(F.col("clean") + F.col("toxic") >= LEAST_DOCUMENTS).count()
+    n, rate = F.col("toxic") + F.col("clean"), F.lit(min(max(share, 1e-9), 1 - 1e-9))
+    precision = F.col("toxic") / n
+    rest = F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - precision) / (1 - rate))).otherwise(0.0)
+    # By Chernoff's bound, the chance of so many toxic ones is below exp(-surprise).
+    surprise = F.col("toxic") * F.log(precision / rate) + rest
+    found = counted.filter((F.col("toxic") >= LEAST_DOCUMENTS) & (precision >= LEAST_PRECISION)).withColumn("w", surprise)
+    rows = found.filter((precision > rate) & (F.col("w") >= math.log(max(tested, 1)))).collect()
+    return _distinct_entries([(bytes(r["key"]), r["clean"], r["toxic"], r["w"]) for r in rows])
+
+
+def _distinct_entries(entries: list[tuple[bytes, int, int, float]]) -> tuple[bytes, ...]:
+    """The entries by weight, without beginnings that a longer entry with the same counts makes superfluous."""
+    longer: set[tuple[bytes, int, int]] = set()
+    for key, clean, toxic, _ in entries:
+        word = key.removeprefix(b"=")
+        longer.update((word[:n], clean, toxic) for n in BEGINNINGS if n < len(word) or (key[:1] == b"=" and n <= len(word)))
+    kept = [e for e in entries if e[0][:1] == b"=" or (e[0], e[1], e[2]) not in longer]
+    return tuple(e[0] for e in sorted(kept, key=lambda e: (-e[3], e[0])))
 
 
 class LabelModel(NamedTuple):
@@ -129,10 +150,14 @@ class LabelModel(NamedTuple):
     clean: np.ndarray
     share: np.ndarray
 
-    def posterior(self, fired: np.ndarray) -> np.ndarray:
+    def posterior(self, fired: np.ndarray, gold: np.ndarray | None = None) -> np.ndarray:
+        """Chance of each row to be toxic by its votes; ``gold`` (1, 0, or -1: none) is one more voter, seldom wrong."""
         hit = np.log(self.toxic) - np.log(self.clean)
         miss = np.log1p(-self.toxic) - np.log1p(-self.clean)
-        return sigmoid(math.log(self.prior / (1 - self.prior)) + (fired * hit + (1 - fired) * miss) @ self.share)
+        votes = math.log(self.prior / (1 - self.prior)) + (fired * hit + (1 - fired) * miss) @ self.share
+        if gold is not None:
+            votes = votes + math.log((1 - GOLD_ERROR) / GOLD_ERROR) * np.where(gold >= 0, 2 * gold - 1, 0)
+        return sigmoid(votes)
 
 
 def correlations(fired: np.ndarray, gold: np.ndarray) -> np.ndarray:
@@ -184,8 +209,7 @@ def fit_arrays(lexicon: tuple[bytes, ...], counts: np.ndarray, gold: np.ndarray)
     if not (gold == 1).any() or not (gold == 0).any():
         return Model(lexicon, None)
     fired = (counts[:, :-1] > 0).astype(float)
-    target = fit_labels(fired, gold).posterior(fired)
-    target = np.where(gold >= 0, 0.8 * gold + 0.2 * target, target)  # a gold label is one more, very reliable voter
+    target = fit_labels(fired, gold).posterior(fired, gold)
     x = expand(counts)
 
     def gradient(w: np.ndarray) -> np.ndarray:
@@ -199,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     texts = cut(sample(docs, labels, label, rows), "toxic-sample")
     lexicon = mine_lexicon(texts)
     count = _counts_udf(lexicon)
-    table = texts.select(count(F.col("text")).alias("x"), "label").toArrow()
+    table = in_order(texts.select("doc_id", count(F.col("text")).alias("x"), "label").toArrow())
     x = table["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(lexicon) + len(PATTERNS) + 1)
     gold = np.array([-1 if v is None else v for v in table["label"].to_pylist()], int)
     return fit_arrays(lexicon, x, gold)

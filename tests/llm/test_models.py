@@ -47,6 +47,36 @@ def test_risk_finds_the_negatives_among_the_unlabelled():
     assert model.score(good).mean() > 0.8 and model.score(bad).mean() < 0.2
 
 
+@pytest.mark.parametrize("prior", [0.15, 0.4, 0.7, 0.9])
+def test_prior_is_found_without_negatives(prior):
+    rng = np.random.default_rng(int(100 * prior))
+    width = 12
+    shift = 2.5 * (np.arange(width) < 4)
+    good = rng.normal(0, 1, (1500, width))
+    many = rng.random(3000) < prior
+    web = rng.normal(0, 1, (3000, width)) + np.where(many[:, None], 0, shift)
+    ones = lambda x: np.column_stack([x, np.ones(len(x))])
+    assert abs(quality_model.class_prior(ones(good), ones(web)) - prior) < 0.08
+
+
+def test_entries_without_own_documents_are_dropped():
+    entries = [(b"=awful", 0, 9, 5.0), (b"awfu", 0, 9, 5.0), (b"awful", 0, 12, 6.0), (b"grue", 1, 8, 4.0), (b"grueso", 1, 8, 4.0)]
+    assert toxicity._distinct_entries(entries) == (b"awful", b"=awful", b"grueso")
+
+
+def test_lexicon_has_all_that_stands_out(spark):
+    rng = np.random.default_rng(4)
+    bad = [f"badword{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(150)]
+    rows = []
+    for i in range(4000):
+        label = int(i % 5 == 0)
+        words = [f"w{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}" for j in rng.integers(0, 600, 20)]
+        rows.append((i, " ".join(words + ([bad[j] for j in rng.integers(0, 150, 4)] if label else [])), label))
+    lexicon = set(toxicity.mine_lexicon(spark.createDataFrame(rows, "doc_id int, text string, label int")))
+    assert sum(b"=" + b.encode() in lexicon for b in bad) > 145
+    assert sum(not k.lstrip(b"=").startswith(b"badw") for k in lexicon) <= 3
+
+
 def test_voters_that_fire_together_share_a_vote():
     rng = np.random.default_rng(1)
     gold = (rng.random(2000) < 0.3).astype(int)
