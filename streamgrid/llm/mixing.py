@@ -1,15 +1,17 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree. DataFrame functions only.
 
-Every source is dealt into ``BLOCKS`` blocks by a hash of the document. One aggregate gives the words of each block;
-all planning works on that table, whose size is bounded by sources times blocks. A source's blocks are taken in a
-random order until its target is met, in a second pass once more where the target exceeds the source; only the last
-block of a pass is cut, inside, between documents. The blocks taken are exact quotas of (source, pass); a binary tree
+Every source is dealt into blocks by a hash of the document, the more the more documents there are. One aggregate gives
+the words of each block; all planning works on that table, whose size is bounded by sources times blocks. A source's
+blocks are taken in a random order until its target is met, in a second pass once more where the target exceeds the
+source; only the last block of a pass is cut, inside, between documents: these few blocks alone are put in order, all
+others are taken or left whole where they lie. The blocks taken are exact quotas of (source, pass); a binary tree
 splits them among the output shards, each node drawing what goes left from the multivariate hypergeometric
 distribution. The shards then take disjoint runs of each source's permuted blocks, and are shuffled within.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -23,8 +25,9 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 #: No source, and no document, gives more than so many times its own size.
 PASSES = 2
-BLOCKS = 1024
-SHARDS = 32
+#: Blocks of a source, and output shards, at least; more where a block would hold more documents, a shard more words.
+BLOCKS, DOCUMENTS_PER_BLOCK = 1024, 4096
+SHARDS, WORDS_PER_SHARD = 32, 16_000_000
 SEED = 17
 
 
@@ -39,8 +42,8 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
-def _block(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id, F.lit(SEED)), F.lit(BLOCKS)).cast("int")
+def _block(doc_id: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit(SEED)), F.lit(blocks)).cast("int")
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE) -> DataFrame:
@@ -155,7 +158,10 @@ def split(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
 
 
 def _planned_blocks(stats: DataFrame, goals: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(key, block, source_size, target, need1, shard1, need2, shard2): what each pass takes from each block."""
+    """(key, block, source_size, target, cut, need1, shard1, need2, shard2): what each pass takes from each block.
+
+    ``cut`` tells whether a pass takes a part of the block only.
+    """
     joined = stats.join(goals.select("key", "source_size", "target"), "key")
     passes = F.explode(F.sequence(F.lit(1), F.lit(PASSES)))
     rows = joined.withColumn("pass", passes).withColumn(
@@ -181,14 +187,20 @@ def _planned_blocks(stats: DataFrame, goals: DataFrame, shards: int, seed: int)
         for c in ("need", "shard"):
             columns.append(F.max(F.when(F.col("pass") == p, F.col(c))).alias(f"{c}{p}"))
     wide = placed.groupBy("key", "block").agg(*columns)
-    return joined.select("key", "block", "source_size", "target").join(wide, ["key", "block"], "left")
+    whole = joined.select("key", "block", "source_size", "target", "words").join(wide, ["key", "block"], "left")
+    parts = [F.coalesce(F.col(f"need{p}") < F.col("words"), F.lit(False)) for p in range(1, PASSES + 1)]
+    return whole.withColumn("cut", functools.reduce(lambda a, b: a | b, parts)).drop("words")
+
+
+#: Columns that ``plan`` adds.
+PLANNED = ("size", "source_size", "target", "shards")
 
 
 def plan(
     df: DataFrame,
     weights: Sequence[float] = WEIGHTS,
     share: float = SHARE,
-    shards: int = SHARDS,
+    shards: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """Every row of ``df`` (doc_id, source, text and others) with ``size``, ``source_size``, ``target``, ``shards``.
@@ -197,46 +209,67 @@ def plan(
     own), ``target`` its source's, ``shards`` the shard of each time the document is taken: none, one or two.
     Documents of a cut block are taken in random order while their middle lies before the cut, so a source misses its
     target by half a document at most in each pass. Reruns agree. Repeated rows are taken for themselves; columns of
-    these names are replaced.
+    these names are replaced. The number of shards follows from the words unless it is given.
     """
-    own = ["size", "source_size", "target", "shards"]
-    plain = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in own])
+    return _planned(df, weights, share, shards, seed)[0]
+
+
+def _planned(df: DataFrame, weights: Sequence[float], share: float, shards: int | None, seed: int) -> tuple[DataFrame, int]:
+    plain = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in PLANNED])
+    number = max(BLOCKS, math.ceil(plain.count() / DOCUMENTS_PER_BLOCK))
     names = {n: free_name(plain.columns, f"_{n}") for n in ("key", "block", "size")}
-    dealt = plain.withColumns(
-        {names["key"]: _key(F.col("source")), names["block"]: _block(F.col("doc_id")), names["size"]: word_count("text")}
-    )
+    dealt = plain.withColumns({names["key"]: _key(F.col("source")), names["block"]: _block(F.col("doc_id"), number)})
     stats = cut(
         dealt.groupBy(F.col(names["key"]).alias("key"), "source", F.col(names["block"]).alias("block"))
-        .agg(F.sum(names["size"]).alias("words")),
+        .agg(F.sum(word_count("text")).alias("words")),
         "mix-blocks",
     )
     goals = cut(targets(stats.groupBy("source").agg(F.sum("words").alias("words")), weights, share), "mix-targets")
+    if shards is None:
+        words = goals.agg(F.sum("target")).first()[0] or 0
+        shards = max(SHARDS, math.ceil(words / WORDS_PER_SHARD))
     blocks = cut(_planned_blocks(stats.drop("source"), goals, shards, seed), "mix-plan")
     held = {c: free_name(dealt.columns, f"_plan_{c}") for c in blocks.columns}
-    blocks = blocks.withColumnsRenamed(held)
-    same = (F.col(names["key"]) == F.col(held["key"])) & (F.col(names["block"]) == F.col(held["block"]))
-    rows = dealt.join(blocks, same)
-    taken = []
     size = F.col(names["size"])
+
+    def taken(rows: DataFrame, before: Sequence[Column] | None) -> DataFrame:
+        """The rows with their shards; ``before`` gives the words before each in its block, if the block is cut."""
+        found = []
+        for p in range(1, PASSES + 1):
+            need = F.col(held[f"need{p}"])
+            fits = need.isNotNull() if before is None else before[p - 1] + size / 2 <= need
+            found.append(F.when((size > 0) & fits, F.col(held[f"shard{p}"])))
+        return rows.select(
+            *[F.col(f"`{c}`") for c in plain.columns], size.alias("size"), F.col(held["source_size"]).alias("source_size"),
+            F.col(held["target"]).alias("target"), F.array_compact(F.array(*found)).alias("shards"),
+        )
+
+    def met(of: DataFrame) -> DataFrame:
+        of = of.withColumnsRenamed(held)
+        same = (F.col(names["key"]) == F.col(held["key"])) & (F.col(names["block"]) == F.col(held["block"]))
+        return dealt.join(of, same).withColumn(names["size"], word_count("text"))
+
+    # Two blocks of a source are cut at most; only their documents are moved and sorted.
+    parted = met(cut(blocks.filter("cut"), "mix-cut"))
+    before = []
     for p in range(1, PASSES + 1):
         order = [F.xxhash64("doc_id", F.lit(seed + 10 + p)), F.col("doc_id"), size]
         window = Window.partitionBy(names["key"], names["block"]).orderBy(*order)
-        before = F.coalesce(F.sum(size).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        taken.append(F.when((size > 0) & (before + size / 2 <= F.col(held[f"need{p}"])), F.col(held[f"shard{p}"])))
-    return rows.select(
-        *[F.col(f"`{c}`") for c in plain.columns], size.alias("size"), F.col(held["source_size"]).alias("source_size"),
-        F.col(held["target"]).alias("target"), F.array_compact(F.array(*taken)).alias("shards"),
-    )
+        before.append(F.coalesce(F.sum(size).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return taken(met(blocks.filter("not cut")), None).unionByName(taken(parted, before)), shards
 
 
-def mix(df: DataFrame, shards: int = SHARDS, seed: int = SEED, **options: object) -> DataFrame:
+def mix(
+    df: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, shards: int | None = None, seed: int = SEED
+) -> DataFrame:
     """The rows that the plan takes, repeats as rows of their own, dealt to their shards and shuffled within.
 
-    Columns are those of ``df``. A partition holds whole shards.
+    Columns are those of ``df`` but for ones with names that ``plan`` adds, which are left out. Partition i is shard i.
+    Documents without words, so null and empty texts, are never taken; an empty table gives an empty mixture.
     """
-    planned = plan(df, shards=shards, seed=seed, **options)
-    shard, number = (free_name(planned.columns, n) for n in ("_shard", "_number"))
-    kept = [c for c in planned.columns if c in df.columns and c.lower() not in ("size", "source_size", "target", "shards")]
-    rows = planned.select(*[F.col(f"`{c}`") for c in kept], F.posexplode("shards").alias(number, shard))
-    mixed = rows.repartition(shards, shard).sortWithinPartitions(shard, F.xxhash64("doc_id", number, F.lit(seed + 20)))
-    return mixed.drop(shard, number)
+    planned, count = _planned(df, weights, share, shards, seed)
+    shard, number, order = (free_name(planned.columns, n) for n in ("_shard", "_number", "_order"))
+    kept = [F.col(f"`{c}`") for c in planned.columns if c.lower() not in PLANNED]
+    rows = planned.select(*kept, F.posexplode("shards").alias(number, shard))
+    rows = rows.withColumn(order, F.xxhash64("doc_id", number, F.lit(seed + 20))).drop(number)
+    return rows.repartitionById(count, F.col(shard).cast("int")).sortWithinPartitions(order).drop(order, shard)

@@ -5,6 +5,10 @@ inverted files of the first ``POSTED``. A query orders all pivots, visits the fi
 what is posted there by Spearman's footrule (how far each pivot of a vector lies from its place in the query's order),
 and reranks the better part by the exact inner product.
 
+Permutations see directions, inner products grow with lengths as well. So a vector is posted in more files the longer
+it is, compared with the median, and the footrule is turned into the cosine that it stands for (a line through a few
+visited vectors) and multiplied by the length. For vectors of one length this is the order of the footrule.
+
 The files are dealt to groups of pivots, and groups to blocks of rows and of queries, so that a task holds a bounded
 number of either. Equal vectors would fill one file; of each vector only the k + 1 smallest ids can be among the k
 nearest of anything, so only these are indexed, and no answer is lost.
@@ -23,10 +27,15 @@ from streamgrid.llm.common import cut
 
 PIVOTS = 1024
 POSTED = 6
+#: Files of very short and of very long vectors.
+POSTED_LEAST, POSTED_MOST = 3, 64
 VISITED = 140
 #: Share of the visited vectors that is reranked, and how many are in any case.
 RERANKED = 0.6
 RERANKED_LEAST = 100
+#: Visited vectors whose cosines tell what a footrule stands for, and by how many deviations a guess is raised.
+SEEN_FOR_LINE = 256
+RAISED = 2.0
 GROUPS = 32
 ROWS_PER_BLOCK = 16_384
 QUERIES_PER_BLOCK = 8_192
@@ -47,6 +56,15 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def _line(footrule: np.ndarray, cosine: np.ndarray) -> tuple[float, float]:
+    """Height, raised, and slope of the line that tells cosines (times the query's length) from footrules."""
+    spread = footrule - footrule.mean()
+    square = float(spread @ spread)
+    slope = min(0.0, float(spread @ cosine) / square) if square else 0.0
+    rest = cosine - slope * footrule
+    return float(rest.mean() + RAISED * rest.std()), slope
+
+
 def _search(pivots: np.ndarray, k: int, posted: int, visited: int):  # noqa: ANN202
     """The search of one block: rows (vec_id, vector, first pivots) against queries (query_id, vector)."""
     width = pivots.shape[1]
@@ -59,11 +77,15 @@ def _search(pivots: np.ndarray, k: int, posted: int, visited: int):  # noqa: ANN
         vectors, ids = _matrix(rows["vector"], width).astype(np.float64), rows["vec_id"].to_numpy()
         first = _matrix(rows["pivots"], min(posted, len(pivots)))
         # The inverted files of this group: rows sorted by pivot, and where each pivot's rows begin.
-        row, place = np.nonzero(first % GROUPS == group)
-        order = np.argsort(first[row, place], kind="stable")
-        row, pivot = row[order], first[row, place][order]
+        files_of = rows["files"].combine_chunks()
+        row = np.repeat(np.arange(len(ids)), files_of.value_lengths().to_numpy())
+        pivot = files_of.flatten().to_numpy()
+        mine = pivot % GROUPS == group
+        order = np.argsort(pivot[mine], kind="stable")
+        row, pivot = row[mine][order], pivot[mine][order]
         begins = np.searchsorted(pivot, np.arange(len(pivots) + 1))
         columns_of_first = np.ascontiguousarray(first.T)
+        lengths = np.linalg.norm(vectors, axis=1)
         found: list[tuple[int, np.ndarray, np.ndarray]] = []
         asked, names = _matrix(queries["vector"], width).astype(np.float64), queries["query_id"].to_numpy()
         # Scaled to components of at most 1, rounding to single precision moves an inner product by less than ``slack``.
@@ -89,7 +111,10 @@ def _search(pivots: np.ndarray, k: int, posted: int, visited: int):  # noqa: ANN
                     footrule = np.zeros(len(near), np.int32)
                     for rank, column in enumerate(columns_of_first):
                         footrule += np.abs(place_of[column[near]] - np.int32(rank))
-                    near = near[np.argpartition(footrule, kept - 1)[:kept]]
+                    some = slice(None, None, max(1, len(near) // SEEN_FOR_LINE))
+                    line = _line(footrule[some], (vectors[near[some]] @ query) / lengths[near[some]])
+                    guess = lengths[near] * (line[0] + line[1] * footrule)
+                    near = near[np.argpartition(-guess, kept - 1)[:kept]]
                 if len(near) > k:
                     guess = rough[near] @ (query / np.abs(query).max()).astype(np.float32)
                     least = np.partition(guess, len(guess) - k)[len(guess) - k]
@@ -137,31 +162,43 @@ def nearest(
     indexed = plain(rows).filter(fits).distinct().withColumn("_n", F.row_number().over(copies))
     indexed = cut(indexed.filter(F.col("_n") <= k + 1).drop("_n"), "ann-rows")
     asked = cut(plain(queries).filter(fits).distinct().withColumnRenamed("vec_id", "query_id"), "ann-queries")
-    total, questions = indexed.count(), asked.count()
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    total, median = indexed.agg(F.count(F.lit(1)), F.percentile_approx(F.sqrt(square), 0.5)).first()
+    questions = asked.count()
     if not total or not questions:
         return empty
-    chosen = indexed.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("vector").toArrow()
-    base = np.unique(_matrix(chosen["vector"], width), axis=0)
+    # The first by a hash of the id, of those whose hash can be among them.
+    share = 1.25 * (pivots + 8 * math.sqrt(pivots) + 32) / total
+    bound = F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))
+    chosen = indexed.filter(F.xxhash64("vec_id") <= bound).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots)
+    base = np.unique(_matrix(chosen.select("vector").toArrow()["vector"], width), axis=0)
     base = base / np.linalg.norm(base, axis=1, keepdims=True)
     count = min(posted, len(base))
+    least, most = min(POSTED_LEAST, len(base)), min(max(POSTED_MOST, posted), len(base))
 
-    @F.arrow_udf("array<int>")
-    def first_pivots(vectors: pa.Array) -> pa.Array:
-        out = []
+    @F.arrow_udf("struct<pivots:array<int>,files:array<int>>")
+    def ordered_pivots(vectors: pa.Array) -> pa.Array:
+        first, files = [], []
         for begin in range(0, len(vectors), 2_000):
             part = _matrix(pa.chunked_array([vectors[begin : begin + 2_000]]), width)
-            near = np.argsort(-(part @ base.T), axis=1, kind="stable")[:, :count].astype(np.int32)
-            out += near.tolist()
-        return pa.array(out, pa.list_(pa.int32()))
-
-    row_blocks = math.ceil(total * count / GROUPS / ROWS_PER_BLOCK)
+            near = np.argsort(-(part @ base.T), axis=1, kind="stable")[:, :most].astype(np.int32)
+            sizes = np.clip(np.round(count * np.linalg.norm(part, axis=1) / median), least, most).astype(int)
+            first += near[:, :count].tolist()
+            files += [row[:n].tolist() for row, n in zip(near, sizes, strict=True)]
+        kind = pa.list_(pa.int32())
+        return pa.StructArray.from_arrays([pa.array(first, kind), pa.array(files, kind)], ["pivots", "files"])
+
+    posted_all = cut(
+        indexed.withColumn("_p", ordered_pivots("vector")).select("vec_id", "vector", "_p.pivots", "_p.files"), "ann-posted"
+    )
+    groups = F.array_distinct(F.transform("files", lambda p: p % GROUPS))
+    copies_made = posted_all.agg(F.sum(F.size(groups))).first()[0]
+    row_blocks = math.ceil(copies_made / GROUPS / ROWS_PER_BLOCK)
     query_blocks = math.ceil(questions / QUERIES_PER_BLOCK)
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     hashed = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    groups = F.array_distinct(F.transform("pivots", lambda p: p % GROUPS))
     posted_rows = (
-        indexed.withColumn("pivots", first_pivots("vector"))
-        .withColumn("g", F.explode(groups)).withColumn("r", hashed("vec_id", row_blocks))
+        posted_all.withColumn("g", F.explode(groups)).withColumn("r", hashed("vec_id", row_blocks))
         .withColumn("q", numbers(query_blocks))
     )
     dealt_queries = (

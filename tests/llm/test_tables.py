@@ -9,6 +9,7 @@ import numpy as np
 import oracle
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from streamgrid.llm import mixing, neardup, neighbours, quality_rules
 from streamgrid.llm.queries import QUERIES, SQL
@@ -183,9 +184,13 @@ def test_recall_and_order(spark):
     assert hits >= 0.9 * 20 * len(found)
 
 
-def test_recall_of_random_vectors(spark):
-    vectors = np.random.default_rng(0).normal(size=(10_000, 64))
+@pytest.mark.parametrize("deviation", [0.0, 0.2, 0.5, 1.0])
+def test_recall_of_random_vectors(spark, deviation):
+    """Directions at random, lengths lognormal."""
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(10_000, 64))
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors *= np.exp(deviation * rng.normal(size=(10_000, 1)))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
     found = collections.defaultdict(set)
     for r in neighbours.nearest(df.repartition(4), df.filter("vec_id < 120")).collect():
@@ -262,6 +267,22 @@ def test_mixed_rows_are_the_planned_ones(spark):
     assert collections.Counter(r["doc_id"] for r in mixed.collect()) == +planned
 
 
+def test_partitions_are_shards_and_their_number_follows_the_words(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert mixing.mix(docs).rdd.getNumPartitions() == mixing.SHARDS
+    monkeypatch.setattr(mixing, "WORDS_PER_SHARD", 1_000)
+    monkeypatch.setattr(mixing, "DOCUMENTS_PER_BLOCK", 1)
+    monkeypatch.setattr(mixing, "BLOCKS", 4)
+    planned = mixing.plan(docs).collect()
+    check_mix(planned)
+    number = -(-round(sum({r["source"]: r["target"] for r in planned}.values())) // 1_000)
+    mixed = mixing.mix(docs)
+    assert abs(mixed.rdd.getNumPartitions() - number) <= 1
+    want = collections.Counter((r["doc_id"], s) for r in planned for s in r["shards"])
+    placed = mixed.select("doc_id", F.spark_partition_id().alias("p")).collect()
+    assert collections.Counter((r["doc_id"], r["p"]) for r in placed) == want
+
+
 def test_the_tree_splits_every_block(spark):
     quotas = {0: 100, 1: 37, 2: 1, 3: 250}
     df = spark.createDataFrame(list(quotas.items()), "stream int, blocks bigint")
@@ -334,6 +355,27 @@ def test_the_cascade_asks_cheap_rejecting_rules_first(spark):
     assert kept[0] == kept[1] and kept[0]
 
 
+def test_rules_are_asked_over_counts_made_once(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for rules in (quality_rules.RULES, quality_rules.RULES[::-1], quality_rules.RULES[2:]):
+        judged = {r["doc_id"]: r["kept"] for r in quality_rules.judged(docs, rules).collect()}
+        plain = quality_rules.counts(docs)
+        for rule in rules:
+            plain = plain.withColumn(f"_{rule.name}", rule.rejects(quality_rules.Counted(F.col("text"))))
+        kept = ~F.coalesce(quality_rules.base_failed(F.col("n_words"), F.col("n_repeat_words")), F.lit(True))
+        for rule in rules:
+            kept = kept & ~F.col(f"_{rule.name}")
+        assert judged == {r["doc_id"]: r["kept"] for r in plain.select("doc_id", kept.alias("kept")).collect()}
+
+
+def test_costs_are_of_the_work_alone(spark):
+    text = "Some Words are HERE, and here again. " * 400
+    sample = spark.createDataFrame([(text + str(i),) for i in range(400)], "text string")
+    found = {m.rule.name: m for m in quality_rules.measure(sample)}
+    assert found["repeated_words"].seconds > 3 * found["symbols"].seconds
+    assert found["repeated_words"].rejected == 1.0 and found["few_words"].rejected == 0.0
+
+
 # --- the pipeline ---
 
 
