@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -98,8 +99,9 @@ def mine_lexicon(texts: DataFrame) -> tuple[bytes, ...]:
     """All entries that stand out in labelled toxic documents, from (text, label), most telling first.
 
     An entry qualifies if it occurs in ``LEAST_DOCUMENTS`` toxic documents, if at least ``LEAST_PRECISION`` of its
-    documents are toxic, and if so many are less likely than one entry in all by chance. A beginning that occurs in the
-    same documents as a longer entry says nothing of its own and is dropped.
+    documents are toxic, and if so many are less likely than one entry in all by chance. For the last, occurrences
+    between the same two words count once: copies of a text say nothing new, and would make all its words stand out.
+    A beginning that occurs in the same documents as a longer entry says nothing of its own and is dropped.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,14 +126,52 @@ def mine_lexicon(texts: DataFrame) -> tuple[bytes, ...]:
     counted = known.mapInArrow(count, "key binary, clean bigint, toxic bigint").groupBy("key")
     counted = cut(counted.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-words")
     tested = counted.filter(F.col("clean") + F.col("toxic") >= LEAST_DOCUMENTS).count()
-    n, rate = F.col("toxic") + F.col("clean"), F.lit(min(max(share, 1e-9), 1 - 1e-9))
-    precision = F.col("toxic") / n
-    rest = F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - precision) / (1 - rate))).otherwise(0.0)
-    # By Chernoff's bound, the chance of so many toxic ones is below exp(-surprise).
-    surprise = F.col("toxic") * F.log(precision / rate) + rest
-    found = counted.filter((F.col("toxic") >= LEAST_DOCUMENTS) & (precision >= LEAST_PRECISION)).withColumn("w", surprise)
-    rows = found.filter((precision > rate) & (F.col("w") >= math.log(max(tested, 1)))).collect()
-    return _distinct_entries([(bytes(r["key"]), r["clean"], r["toxic"], r["w"]) for r in rows])
+    precision = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    rows = counted.filter((F.col("toxic") >= LEAST_DOCUMENTS) & (precision >= LEAST_PRECISION) & (precision > share)).collect()
+    seen = _surroundings(known, frozenset(bytes(r["key"]) for r in rows))
+    found = []
+    for r in rows:
+        key = bytes(r["key"])
+        weight = surprise(*seen.get(key, (0, 0)), share)
+        if weight >= math.log(max(tested, 1)):
+            found.append((key, r["clean"], r["toxic"], weight))
+    return _distinct_entries(found)
+
+
+def surprise(clean: int, toxic: int, rate: float) -> float:
+    """By Chernoff's bound, so many toxic ones have a chance below exp(-surprise) where a share ``rate`` is toxic."""
+    n, rate = clean + toxic, min(max(rate, 1e-9), 1 - 1e-9)
+    if not n or toxic <= rate * n:
+        return 0.0
+    return toxic * math.log(toxic / n / rate) + (clean * math.log(clean / n / (1 - rate)) if clean else 0.0)
+
+
+def _surroundings(known: DataFrame, keys: frozenset[bytes]) -> dict[bytes, tuple[int, int]]:
+    """In how many surroundings (the word before and the one after) each key occurs in clean and in toxic documents."""
+    shared = known.sparkSession.sparkContext.broadcast(keys)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, memo = shared.value, {}
+        for batch in batches:
+            found = set()
+            for text, label in zip(batch["text"], batch["label"], strict=True):
+                words = words_of(text.as_py())
+                for i, word in enumerate(words):
+                    own = memo.get(word)
+                    if own is None:
+                        if len(memo) >= MEMO_WORDS:
+                            memo.clear()
+                        own = memo[word] = [k for k in keys_of(word) if k in wanted]
+                    for key in own:
+                        around = b" ".join((words[i - 1] if i else b"", words[i + 1] if i + 1 < len(words) else b""))
+                        found.add((key, zlib.crc32(around), label.as_py() > 0))
+            columns = list(zip(*found, strict=True)) if found else [[], [], []]
+            kinds = [pa.binary(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "around", "toxic"])
+
+    each = known.select("text", "label").mapInArrow(look, "key binary, around bigint, toxic boolean").distinct()
+    counted = each.groupBy("key").agg(F.count_if(~F.col("toxic")).alias("clean"), F.count_if("toxic").alias("toxic"))
+    return {bytes(r["key"]): (r["clean"], r["toxic"]) for r in counted.collect()}
 
 
 def _distinct_entries(entries: list[tuple[bytes, int, int, float]]) -> tuple[bytes, ...]:
@@ -202,13 +242,16 @@ def expand(counts: np.ndarray) -> np.ndarray:
     distinct, total = (lexicon > 0).sum(1), lexicon.sum(1)
     dense = 100 * total / np.maximum(1, counts[:, -1])
     more = [np.log1p(distinct), np.log1p(total), np.log1p(dense), distinct >= 2, total >= 2, np.ones(len(counts))]
-    return np.column_stack([np.log1p(counts[:, :-1]), *more])
+    out = np.empty((len(counts), counts.shape[1] - 1 + len(more)), np.float32)
+    np.log1p(counts[:, :-1], out=out[:, : -len(more)], casting="same_kind")
+    out[:, -len(more) :] = np.column_stack(more)
+    return out
 
 
 def fit_arrays(lexicon: tuple[bytes, ...], counts: np.ndarray, gold: np.ndarray) -> Model:
     if not (gold == 1).any() or not (gold == 0).any():
         return Model(lexicon, None)
-    fired = (counts[:, :-1] > 0).astype(float)
+    fired = (counts[:, :-1] > 0).astype(np.float32)
     target = fit_labels(fired, gold).posterior(fired, gold)
     x = expand(counts)
 
