@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. ``run`` writes each stage's
 rows to the shared folder and reads them again for the next.
+
+Columns other than those of documents are left out, whatever their names. A null text is taken for an empty one and
+stays null where it stays. Rows without an id are kept by ``near_copies``, learned from by nothing, and otherwise treated
+like others; repeated rows are copies of each other, of which ``near_copies`` keeps one if they have an id. Every stage
+gives an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -15,7 +20,10 @@ from streamgrid.llm.queries import VOCABULARY
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good ones; it learns from their labels and from the other documents."""
+    """Documents that the classifier takes for good ones; it learns from their labels and from the other documents.
+
+    Without any label of a good document nothing is learned, and all documents stay.
+    """
     prepare(spark)
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
     return quality_model.score(docs, model).filter("predicted = 1").select(*DOCUMENTS)
@@ -34,7 +42,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture of sources takes, as often as it takes them, in shuffled shards."""
+    """The documents that the mixture of sources takes, as often as it takes them, in shuffled shards.
+
+    Documents without words are never taken; a null source is a source of its own.
+    """
     prepare(spark)
     return mixing.mix(docs).select(*DOCUMENTS)
 

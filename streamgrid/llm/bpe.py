@@ -277,7 +277,11 @@ DIGEST = pa.struct(
 
 
 def digest(df: DataFrame, vocab_path: str, text: str | Column = "text") -> DataFrame:
-    """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: encoded, and decoded again from the ids, in one pass."""
+    """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: encoded, and decoded again from the ids, in one pass.
+
+    A null or empty text has no tokens and the digests of nothing. Rows, repeated ones too, and other columns stay;
+    columns of these names are replaced. An empty table stays empty.
+    """
     shipped = _Shipped(df, vocab_path)
 
     def one(t: str) -> tuple:

@@ -167,7 +167,10 @@ def _votes(text: Column, kind: Kind, span: Column) -> list[Column]:
 
 
 def candidates(df: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
-    """Add ``out``: every candidate as (kind, start, end, votes), ordered by kind as listed, then start."""
+    """Add ``out``: every candidate as (kind, start, end, votes), ordered by kind as listed, then start.
+
+    A null or empty text has none. Rows, repeated ones too, and other columns stay; a column named ``out`` is replaced.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
 
     def of(kind: Kind) -> Column:
@@ -287,8 +290,9 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     A null text stays null. All rows and columns stay.
     """
     held = free_name(df.columns, "_candidates")
-    found = candidates(df, text, held)
-    model = fit(cut(found.select(held), "pii"), held)
+    # Written once with the texts: the model is fitted on the candidates, and the texts are rebuilt from the same.
+    found = cut(candidates(df, text, held), "pii-candidates")
+    model = fit(found, held)
     spans = free_name(found.columns, "_spans")
     marked = found.withColumn(spans, kept_spans(model, F.col(held)))
     whole = F.col(text)

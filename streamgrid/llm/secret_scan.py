@@ -155,7 +155,11 @@ def find_secrets(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULE
 
 
 def secret_digest(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the counts of the base kinds, ``base_sha256`` over their spans, and ``spans`` over those of all rules."""
+    """Add the counts of the base kinds, ``base_sha256`` over their spans, and ``spans`` over those of all rules.
+
+    A null or empty text has no spans and the digest of nothing. Rows, repeated ones too, and other columns stay;
+    columns of these names are replaced. An empty table stays empty.
+    """
     kinds = [r.kind for r in RULES]
     base = len(BASE_RULES)
 
