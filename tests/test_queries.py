@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+
 import oracle
 import pytest
-from conftest import SMALL
+from conftest import ROOT, SMALL
 
 from streamgrid.plans import catalog
 
@@ -29,3 +32,15 @@ def test_entry_points(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_queries_remain_without_the_libraries_of_others():
+    code = """
+import sys, warnings
+sys.modules.update(dict.fromkeys(["ahocorasick", "tokenizers", "public_tokenizers"]))
+warnings.simplefilter("ignore")
+import __spark_entry__ as entry
+from streamgrid.plans import catalog
+assert set(entry.queries()) == set(catalog.QUERIES) and set(entry.oracle_sql()) == set(catalog.SQL)
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
