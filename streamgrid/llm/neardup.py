@@ -432,13 +432,13 @@ def keep_one(df: DataFrame, least: float = SIMILARITY, weighted: bool = False) -
     """The rows of ``df`` without near copies: of each class the document with the smallest doc_id stays.
 
     Where that id stands for several texts of the class, the one with the smallest text id stays. Repeated rows with the
-    same doc_id and text are one document. Rows without an id cannot be named and all stay.
+    same doc_id and text are one document. Of a class without any id one row stays, that with the smallest text id; in
+    other classes rows without an id go.
     """
-    found = _classed(df, least, weighted).filter("doc_id = class_id")
+    found = _classed(df, least, weighted).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
     first = found.groupBy("root", "doc_id").agg(F.min(F.struct("tid", "raw"))["raw"].alias("_raw"))
     kept = cut(first.select(F.col("doc_id").alias("_kept"), "_raw").distinct(), "neardup-kept")
-    same = (F.col("doc_id") == F.col("_kept")) & (F.xxhash64("text") == F.col("_raw"))
-    named = df.filter("doc_id is not null").join(kept, same, "left_semi")
-    held = free_name(df.columns, "_raw")
-    one = named.withColumn(held, F.xxhash64("text")).dropDuplicates(["doc_id", held]).drop(held)
-    return one.unionByName(df.filter("doc_id is null"))
+    held = free_name(df.columns, "_raw_text")
+    named = df.withColumn(held, F.xxhash64("text"))
+    same = named["doc_id"].eqNullSafe(kept["_kept"]) & (named[held] == kept["_raw"])
+    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", held]).drop(held)
