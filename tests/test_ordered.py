@@ -56,6 +56,16 @@ def test_hot_stream_is_spread_over_parts(skewed):
     assert max(sizes) < 150 and len(sizes) > 15
 
 
+def test_cuts_grow_with_the_rows_and_not_with_a_low_bound(spark):
+    assert o.cuts_for(900, 40) == 45
+    assert o.cuts_for(6_000_000, 100) == 64 and o.cuts_for(36_000_000, 10) == 360
+    assert o.cuts_for(36_000_000, o.HOT_ROWS) == 18
+    df = spark.range(4_000).select(F.lit("s").alias("session_id"), F.lit("a").alias("stream_id"), F.col("id").alias("us"), F.col("id").alias("seq"))
+    split = o.ordered(df, KEYS, ORDER, hot_rows=10)
+    assert 32 < split.parted().select(o.PART).distinct().count() <= o.LEAST_CUTS
+    assert split.scan(rank=o.row_number()).result().filter("rank = us + 1").count() == 4_000
+
+
 def test_given_parts_and_chained_scans(skewed):
     def chain(df, **kw):
         scan = o.ordered(df, KEYS, ORDER, **kw).scan(prev=o.lag("us")).with_columns(gap=F.col("us") - F.col("prev"))
