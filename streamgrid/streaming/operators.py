@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,21 +14,19 @@ from streamgrid.operators.drift import Rule, plan_correction, units_in, us_of_un
 from streamgrid.operators.metrics import LATENCY_FLOOR_US, histogram_bucket
 from streamgrid.schema import STREAM_KEYS
 from streamgrid.streaming.processors import (
-    BARRIER_OUTPUT,
     BLOCK_OUTPUT,
-    CLOCK_OUTPUT,
-    DASHBOARD_OUTPUT,
     FILL_OUTPUT,
-    MERGE_OUTPUT,
     THIN_OUTPUT,
-    BarrierProcessor,
+    Barrier,
     BlockProcessor,
-    ClockProcessor,
-    DashboardProcessor,
+    BucketProcessor,
+    Clock,
+    Dashboard,
     FillProcessor,
-    GridProcessor,
-    MergeProcessor,
-    ReleaseProcessor,
+    Grid,
+    KeyLogic,
+    Merge,
+    Release,
     ThinProcessor,
 )
 
@@ -63,6 +61,26 @@ def stream_slots(df: DataFrame, period_us: int, origin_us: int, lookahead_us: in
     )
 
 
+#: Keys are dealt to so many groups, whose keys share a call, their state accesses and their frames.
+BUCKETS = 256
+
+
+def _by_bucket(
+    rows: DataFrame, keys: Sequence[str], logic: KeyLogic, time_mode: str = "EventTime", event_time: str = "",
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """Run ``logic`` for every key of ``rows``, the keys of a bucket together."""
+    whole = [f.name for f in rows.schema if isinstance(f.dataType, T.IntegralType)]
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("_bucket").transformWithStateInPandas(
+        statefulProcessor=BucketProcessor(logic, keys, whole),
+        outputStructType=logic.output,
+        outputMode="Append",
+        timeMode=time_mode,
+        eventTimeColumnName=event_time,
+    )
+
+
 def _time_mode(idle_us: int | None) -> str:
     return "None" if idle_us is None else "EventTime"
 
@@ -86,9 +104,7 @@ def stream_clock(
     rows = df.withColumn("skipped", skipped).filter(F.col("skipped") < n)
     expected = units_in(start + us_of_units(F.col("skipped"), rate, tb_us), rate, tb_us)
     rows = rows.select(*STREAM_KEYS, "us", "seq", expected.alias("expected"), (n - F.col("skipped")).alias("units"))
-    clock = rows.groupBy(*STREAM_KEYS).transformWithStateInPandas(
-        statefulProcessor=ClockProcessor(Rule.of(rate, max_gap)), outputStructType=CLOCK_OUTPUT, outputMode="Append", timeMode="None"
-    )
+    clock = _by_bucket(rows, STREAM_KEYS, Clock(Rule.of(rate, max_gap)), "None")
     return clock.withColumn("drift", F.col("expected") - F.col("counted"))
 
 
@@ -113,12 +129,7 @@ def start_barrier(
     firsts = timed.select(*STREAM_KEYS, "us").mapInPandas(
         _first_per_batch, FIRSTS
     )
-    return firsts.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=BarrierProcessor(participants, timeout_us, idle_us=idle_us),
-        outputStructType=BARRIER_OUTPUT,
-        outputMode="Append",
-        timeMode="EventTime",
-    )
+    return _by_bucket(firsts, ["session_id"], Barrier(participants, timeout_us, idle_us=idle_us))
 
 
 def stream_thin(df: DataFrame, idle_us: int | None = None) -> DataFrame:
@@ -151,13 +162,7 @@ def release_at_origin(
     """
     rows = df.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", lookahead)
     firsts = rows.select(*STREAM_KEYS, "us").mapInPandas(_first_per_batch, FIRSTS)
-    origins = firsts.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=BarrierProcessor(participants, timeout_us, salts, idle_us),
-        outputStructType="session_id string, salt int, t0 bigint, ts timestamp",
-        outputMode="Append",
-        timeMode="EventTime",
-        eventTimeColumnName="ts",
-    )
+    origins = _by_bucket(firsts, ["session_id"], Barrier(participants, timeout_us, salts, idle_us), event_time="ts")
     fields = [T.StructField(f.name, f.dataType) for f in df.schema if f.name != "ts"]
     salt = F.pmod(F.xxhash64("stream_id", "us", "seq"), F.lit(salts)).cast("int")
     waiting = rows.filter(F.col("us").isNotNull()).select(
@@ -169,14 +174,8 @@ def release_at_origin(
         F.lit(0 if isinstance(f.dataType, whole) else None).cast(f.dataType).alias(f.name) for f in fields if f.name != "session_id"
     ]
     told = origins.select("ts", "session_id", *blank, "salt", "t0", F.lit(True).alias("is_origin"))
-    released = T.StructType([*fields, T.StructField("t0", T.LongType()), T.StructField("ready_ts", T.TimestampType())])
-    return waiting.unionByName(told).groupBy("session_id", "salt").transformWithStateInPandas(
-        statefulProcessor=ReleaseProcessor(fields, timeout_us),
-        outputStructType=released,
-        outputMode="Append",
-        timeMode="EventTime",
-        eventTimeColumnName="ready_ts",
-    )
+    logic = Release(fields, timeout_us)
+    return _by_bucket(waiting.unionByName(told), ["session_id", "salt"], logic, event_time="ready_ts")
 
 
 def stream_grid(
@@ -194,12 +193,7 @@ def stream_grid(
         .agg(F.max(F.struct("us", "seq", "value")).alias("_last"), F.count(F.lit(1)).alias("rows"), F.max("t0").alias("t0"))
         .select(*STREAM_KEYS, "slot", "_last.us", "_last.seq", "_last.value", "rows", "t0")
     )
-    return slots.groupBy(*STREAM_KEYS).transformWithStateInPandas(
-        statefulProcessor=GridProcessor(max_fill, period_us, timeout_us, idle_us),
-        outputStructType=FILL_OUTPUT,
-        outputMode="Append",
-        timeMode="EventTime",
-    )
+    return _by_bucket(slots, STREAM_KEYS, Grid(max_fill, period_us, timeout_us, idle_us))
 
 
 CORRECTION_OUTPUT = (
@@ -222,12 +216,7 @@ def stream_correction(
     expected = units_in(start + us_of_units(F.col("skipped"), rate, tb_us), rate, tb_us)
     rows = rows.select(*STREAM_KEYS, "us", "seq", "skipped", expected.alias("expected"), (n - F.col("skipped")).alias("units"))
     rule = Rule.of(rate, max_gap, closed_loop)
-    clock = rows.groupBy(*STREAM_KEYS).transformWithStateInPandas(
-        statefulProcessor=ClockProcessor(rule, idle_us, CORRECTION_OUTPUT),
-        outputStructType=CORRECTION_OUTPUT,
-        outputMode="Append",
-        timeMode=_time_mode(idle_us),
-    )
+    clock = _by_bucket(rows, STREAM_KEYS, Clock(rule, idle_us, CORRECTION_OUTPUT), _time_mode(idle_us))
     planned = plan_correction(clock.withColumn("drift", F.col("expected") - F.col("counted")), rate, max_gap)
     trimmed, drops, zero = F.col("counted").isNull(), F.col("action") == "drop", F.lit(0).cast("bigint")
     amount = F.when(drops, F.least("amount", "units")).otherwise(F.col("amount"))
@@ -245,9 +234,7 @@ def stream_merge(packets: DataFrame, participants: int) -> DataFrame:
     session; a row of kind ``complete`` follows the last one.
     """
     rows = packets.select("session_id", "stream_index", "seq", "pts", "dts", "kind")
-    return rows.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=MergeProcessor(participants), outputStructType=MERGE_OUTPUT, outputMode="Append", timeMode="None"
-    )
+    return _by_bucket(rows, ["session_id"], Merge(participants), "None")
 
 
 def stream_reblock(chunks: DataFrame, size: int) -> DataFrame:
@@ -274,9 +261,4 @@ def stream_dashboard(
         .agg(F.count(F.lit(1)).alias("received"), *[F.sum(c.cast("bigint")).alias(n) for n, c in counters.items()])
         .select("session_id", F.unix_micros("window.end").alias("at_us"), "bucket_high", "received", *counters)
     )
-    return ticks.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=DashboardProcessor(idle_us),
-        outputStructType=DASHBOARD_OUTPUT,
-        outputMode="Append",
-        timeMode=_time_mode(idle_us),
-    )
+    return _by_bucket(ticks, ["session_id"], Dashboard(idle_us), _time_mode(idle_us))

@@ -6,7 +6,9 @@ Rows of one key are ordered inside a micro-batch; across micro-batches they are
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterable, Iterator
+import itertools
+import pickle
+from collections.abc import Collection, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,9 +24,11 @@ FILL_OUTPUT = (
 )
 CLOCK_OUTPUT = "session_id string, stream_id string, us bigint, seq bigint, expected bigint, units bigint, counted bigint"
 BARRIER_OUTPUT = "session_id string, t0 bigint, streams bigint, timed_out boolean"
+RELEASE_OUTPUT = "session_id string, salt int, t0 bigint, ts timestamp"
 THIN_OUTPUT = "session_id string, stream_id string, us bigint, seq bigint, value double"
 
 MAX_FILL_ROWS = 10_000
+MAX_FRAME_ROWS = 10_000
 
 
 def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -122,42 +126,153 @@ class Ending:
         return (us + self.idle_us) // 1000 + 1
 
 
-class ClockProcessor(StatefulProcessor):
-    """The counted clock of a stream under insertion and dropping; state is the counted position.
+class Held:
+    """What is kept of a key (None: nothing) and when, in ms of event time, the key has to be asked again."""
 
-    Without ``idle_us`` state stays for good; with it, it ends when a stream has been silent for that long.
+    __slots__ = ("due", "state")
+
+    def __init__(self, state=None, due: int | None = None):
+        self.state, self.due = state, due
+
+
+def _expiry(us: int | None, idle_us: int | None) -> int | None:
+    """When a key that was last seen at ``us`` has been silent for ``idle_us``."""
+    return None if us is None or idle_us is None else (us + idle_us) // 1000 + 1
+
+
+def _latest(known: int | None, us: int) -> int:
+    return us if known is None else max(known, us)
+
+
+def _earliest(*dues: int | None) -> int | None:
+    return min((d for d in dues if d is not None), default=None)
+
+
+class KeyLogic:
+    """What is done with the rows of one key; rows come and go as tuples in the order of ``columns`` and ``output``.
+
+    ``on_rows`` and ``on_time`` change ``held`` and give rows. ``on_time`` is called once the watermark reaches
+    ``held.due`` and has to set the next one.
     """
 
-    def __init__(self, rule: Rule, idle_us: int | None = None, output: str = CLOCK_OUTPUT):
-        self.rule, self.idle_us = rule, idle_us
-        self.columns = [c.split()[0] for c in output.split(", ")]
+    columns: tuple[str, ...]
+    output: str
+
+    def on_rows(self, key: tuple, rows: list[tuple], held: Held, watermark_ms: int) -> Iterator[tuple]:
+        raise NotImplementedError
+
+    def on_time(self, key: tuple, held: Held, watermark_ms: int) -> Iterator[tuple]:
+        held.due = None
+        yield from ()
+
+
+class BucketProcessor(StatefulProcessor):
+    """Runs a ``KeyLogic`` for all keys of a bucket (a hash of the keys) in one call.
+
+    A call, a state access and a frame cost milliseconds each, whatever they hold. So the keys of a bucket are read and
+    written together, and their rows leave in common frames. State has a row per key that holds something.
+    """
+
+    def __init__(self, logic: KeyLogic, keys: Sequence[str], whole: Collection[str]):
+        self.logic, self.keys, self.whole = logic, tuple(keys), frozenset(whole)
+        pairs = [c.split() for c in logic.output.split(", ")]
+        self.names = [n for n, _ in pairs]
+        self.types = {n: {"bigint": "Int64", "int": "Int32"}[t] for n, t in pairs if t in ("bigint", "int")}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.clock = handle.getValueState("counted", T.StructType([T.StructField("counted", T.LongType())]))
-        self.ending = Ending(handle, self.idle_us)
+        self.handle = handle
+        fields = [("due", T.LongType()), ("held", T.BinaryType())]
+        self.state = handle.getListState("keys", T.StructType([T.StructField(n, t) for n, t in fields]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        blocks = _ordered(rows, ["us", "seq"])
-        counted = self.clock.get()[0] if self.clock.exists() else 0
-        before = []
-        for expected, units in zip(blocks["expected"].tolist(), blocks["units"].tolist(), strict=True):
-            # A block that was trimmed has no units and leaves the clock alone.
-            before.append(counted if units > 0 else None)
-            counted = self.rule.advance(counted, expected, units) if units > 0 else counted
-        self.clock.update((counted,))
-        self.ending.saw(int(blocks["us"].max()))
-        yield blocks.assign(counted=pd.array(before, dtype="Int64"))[self.columns]
+        yield from self._frames(self._take(rows, timerValues.getCurrentWatermarkInMs()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.ending.is_over(timerValues):
-            self.clock.clear()
-        yield from ()
+        yield from self._frames(self._wake(timerValues.getCurrentWatermarkInMs()))
+
+    def _take(self, frames: Iterable[pd.DataFrame], now: int) -> Iterator[tuple]:
+        arrived: dict[tuple, list[tuple]] = {}
+        places = [self.logic.columns.index(k) for k in self.keys]
+        for frame in frames:
+            for row in zip(*[self._values(frame[c]) for c in self.logic.columns], strict=True):
+                arrived.setdefault(tuple(row[i] for i in places), []).append(row)
+        known = self._load()
+        for key, found in arrived.items():
+            yield from self.logic.on_rows(key, found, known.setdefault(key, Held()), now)
+        self._store(known)
+
+    def _wake(self, now: int) -> Iterator[tuple]:
+        known = self._load()
+        due = [(k, h) for k, h in known.items() if h.due is not None and h.due <= now]
+        for key, held in due:
+            yield from self.logic.on_time(key, held, now)
+        if due:
+            self._store(known)
+
+    def _values(self, column: pd.Series) -> list:
+        """Whole numbers stay whole where nulls made them floats; what is missing is None."""
+        if isinstance(column.dtype, np.dtype) and column.dtype.kind in "iub":
+            return column.tolist()
+        if column.name in self.whole:
+            return [None if pd.isna(v) else int(v) for v in column]
+        return [None if v is pd.NA or (isinstance(v, float) and v != v) else v for v in column.tolist()]
+
+    def _load(self) -> dict[tuple, Held]:
+        if not self.state.exists():
+            return {}
+        out = {}
+        for due, held in self.state.get():
+            key, state = pickle.loads(bytes(held))
+            out[key] = Held(state, None if due is None or due != due else int(due))
+        return out
+
+    def _store(self, known: dict[tuple, Held]) -> None:
+        kept = {k: h for k, h in known.items() if h.state is not None}
+        if not kept:
+            self.state.clear()
+            return
+        self.state.put([(h.due, pickle.dumps((k, h.state))) for k, h in kept.items()])
+        due = _earliest(*(h.due for h in kept.values()))
+        if due is not None:
+            self.handle.registerTimer(due)
+
+    def _frames(self, rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        while some := list(itertools.islice(rows, MAX_FRAME_ROWS)):
+            yield pd.DataFrame(some, columns=self.names).astype(self.types)
 
     def close(self) -> None:
         pass
 
 
-class BarrierProcessor(StatefulProcessor):
+class Clock(KeyLogic):
+    """The counted clock of a stream under insertion and dropping; state is the counted position.
+
+    Without ``idle_us`` state stays for good; with it, it ends when a stream has been silent for that long.
+    """
+
+    def __init__(self, rule: Rule, idle_us: int | None = None, output: str = CLOCK_OUTPUT):
+        self.rule, self.idle_us, self.output = rule, idle_us, output
+        self.columns = tuple(c.split()[0] for c in output.split(", "))[:-1]
+        self.places = [self.columns.index(c) for c in ("us", "seq", "expected", "units")]
+
+    def on_rows(self, key, rows, held, watermark_ms):
+        us, seq, expected, units = self.places
+        rows.sort(key=lambda r: (r[us], r[seq]))
+        counted, latest = held.state or (0, None)
+        for row in rows:
+            # A block that was trimmed has no units and leaves the clock alone.
+            live = row[units] > 0
+            yield (*row, counted if live else None)
+            counted = self.rule.advance(counted, row[expected], row[units]) if live else counted
+        latest = _latest(latest, rows[-1][us])
+        held.state, held.due = (counted, latest), _expiry(latest, self.idle_us)
+
+    def on_time(self, key, held, watermark_ms):
+        held.state = held.due = None
+        yield from ()
+
+
+class Barrier(KeyLogic):
     """Resolves the common origin of a session once all participants reported, or after a timeout.
 
     Input rows are first and last times per stream (null for a stream that withdraws). The timeout is event time after
@@ -166,98 +281,67 @@ class BarrierProcessor(StatefulProcessor):
     Output is one row per session; with ``salts``, the origin for every salt instead, again in every micro-batch that
     brings rows of the session, dated no earlier than the watermark allows. So who waits for an origin meets it in the
     micro-batch of the rows and holds no origins. With ``idle_us`` a session's state ends when it has been silent.
-    """
 
-    def __init__(self, participants: int, timeout_us: int, salts: int = 0, idle_us: int | None = None):
-        self.participants = participants
-        self.timeout_us = timeout_us
-        self.salts = salts
-        self.idle_us = idle_us
+    State is the first time of every stream until the origin is known, then the origin alone, and the latest row.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.firsts = handle.getMapState(
-            "firsts",
-            T.StructType([T.StructField("stream_id", T.StringType())]),
-            T.StructType([T.StructField("first_us", T.LongType())]),
-        )
-        summary = T.StructType([
-            T.StructField("resolved", T.BooleanType()),
-            T.StructField("reports", T.LongType()),
-            T.StructField("earliest", T.LongType()),
-            T.StructField("t0", T.LongType()),
-        ])
-        self.summary = handle.getValueState("summary", summary)
-        self.ending = Ending(handle, None if self.idle_us is None else self.idle_us + self.timeout_us)
+    columns = ("session_id", "stream_id", "first_us", "last_us")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))
-        batch, last = frame.groupby("stream_id")["first_us"].min(), frame["last_us"].max()
-        if not pd.isna(last):
-            self.ending.saw(int(last))
-        resolved, reports, earliest, t0 = self.summary.get() if self.summary.exists() else (False, 0, None, None)
-        if resolved:
-            if self.salts and not pd.isna(last):
-                yield self._announce(key, t0, int(last), timerValues)
-            return
-        incoming = {stream: None if pd.isna(first) else int(first) for stream, first in batch.items()}
-        # Streams of one micro-batch that are complete by themselves need no state per stream.
-        if reports == 0 and len(incoming) >= self.participants and any(v is not None for v in incoming.values()):
-            yield self._resolve(key, incoming.values(), False, int(last), timerValues)
+    def __init__(self, participants: int, timeout_us: int, salts: int = 0, idle_us: int | None = None):
+        self.participants, self.timeout_us, self.salts = participants, timeout_us, salts
+        self.idle_us = None if idle_us is None else idle_us + timeout_us
+        self.output = RELEASE_OUTPUT if salts else BARRIER_OUTPUT
+
+    def on_rows(self, key, rows, held, watermark_ms):
+        t0, firsts, latest = held.state or (None, {}, None)
+        last = max((r[3] for r in rows if r[3] is not None), default=None)
+        if last is not None:
+            latest = _latest(latest, last)
+        if t0 is not None:
+            held.state = (t0, {}, latest)
+            held.due = _expiry(latest, self.idle_us)
+            if self.salts and last is not None:
+                yield from self._announce(key, t0, last, watermark_ms)
             return
-        for stream, first in incoming.items():
-            new = reports == 0 or not self.firsts.containsKey((stream,))
-            old = None if new else self.firsts.getValue((stream,))[0]
-            if new or (first is not None and (old is None or first < old)):
-                self.firsts.updateValue((stream,), (first,))
-        before = earliest
-        earliest = min((v for v in (earliest, *incoming.values()) if v is not None), default=None)
-        reports = sum(1 for _ in self.firsts.keys())
-        if earliest is not None and reports >= self.participants:
+        for _, stream, first, _ in rows:
+            known = firsts.get(stream)
+            firsts[stream] = first if known is None else known if first is None else min(known, first)
+        earliest = min((v for v in firsts.values() if v is not None), default=None)
+        if earliest is not None and len(firsts) >= self.participants:
             # What decides may be only that a stream withdraws; then the timeout dates the origin.
-            known = earliest + self.timeout_us if pd.isna(last) else int(last)
-            yield self._resolve(key, [v[0] for v in self.firsts.values()], False, known, timerValues)
+            known = earliest + self.timeout_us if last is None else last
+            yield from self._resolve(key, held, firsts, latest, False, known, watermark_ms)
             return
-        if earliest != before:
-            if before is not None:
-                self.handle.deleteTimer(self._expiry(before))
-            self.handle.registerTimer(self._expiry(earliest))
-        self.summary.update((False, reports, earliest, None))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.summary.exists():
-            resolved, _, earliest, _ = self.summary.get()
-            if not resolved and earliest is not None and self._expiry(earliest) <= timerValues.getCurrentWatermarkInMs():
-                firsts = [v[0] for v in self.firsts.values()]
-                yield self._resolve(key, firsts, True, earliest + self.timeout_us, timerValues)
-        if self.ending.is_over(timerValues):
-            self.firsts.clear()
-            self.summary.clear()
-
-    def _expiry(self, earliest: int) -> int:
-        return (earliest + self.timeout_us) // 1000 + 1
-
-    def _resolve(self, key, firsts: Iterable[int | None], timed_out: bool, at_us: int, timerValues) -> pd.DataFrame:
-        known = [v for v in firsts if v is not None]
+        held.state = (None, firsts, latest)
+        held.due = _earliest(_expiry(earliest, self.timeout_us), _expiry(latest, self.idle_us))
+
+    def on_time(self, key, held, watermark_ms):
+        t0, firsts, latest = held.state
+        earliest = min((v for v in firsts.values() if v is not None), default=None)
+        if t0 is None and earliest is not None and _expiry(earliest, self.timeout_us) <= watermark_ms:
+            yield from self._resolve(key, held, firsts, latest, True, earliest + self.timeout_us, watermark_ms)
+        held.due = _expiry(latest, self.idle_us)
+        if held.due is not None and held.due <= watermark_ms:
+            held.state = held.due = None
+
+    def _resolve(self, key, held, firsts, latest, timed_out, at_us, watermark_ms):
+        known = [v for v in firsts.values() if v is not None]
         in_time = [v for v in known if v <= min(known) + self.timeout_us]
-        self.firsts.clear()
-        self.summary.update((True, len(known), min(known), max(in_time)))
+        t0 = max(in_time)
+        held.state, held.due = (t0, {}, latest), _expiry(latest, self.idle_us)
         if self.salts:
-            return self._announce(key, max(in_time), at_us, timerValues)
-        columns = ["session_id", "t0", "streams", "timed_out"]
-        without_some = timed_out or len(in_time) < len(known)
-        return pd.DataFrame([(*key, max(in_time), len(in_time), without_some)], columns=columns)
+            yield from self._announce(key, t0, at_us, watermark_ms)
+        else:
+            yield (*key, t0, len(in_time), timed_out or len(in_time) < len(known))
 
-    def _announce(self, key, t0: int, at_us: int, timerValues) -> pd.DataFrame:
+    def _announce(self, key, t0, at_us, watermark_ms):
         # What is dated before the watermark would be refused.
-        ts = pd.Timestamp(max(at_us, timerValues.getCurrentWatermarkInMs() * 1000) * 1000)
-        return pd.DataFrame([(*key, salt, t0, ts) for salt in range(self.salts)], columns=["session_id", "salt", "t0", "ts"])
-
-    def close(self) -> None:
-        pass
+        ts = pd.Timestamp(max(at_us, watermark_ms * 1000) * 1000)
+        for salt in range(self.salts):
+            yield (*key, salt, t0, ts)
 
 
-class ReleaseProcessor(StatefulProcessor):
+class Release(KeyLogic):
     """Holds the rows of a (session, salt) until the origin of the session is announced, then lets them go with it.
 
     The announcement comes again with every micro-batch that has rows, so nothing is kept once rows have left.
@@ -265,108 +349,80 @@ class ReleaseProcessor(StatefulProcessor):
     """
 
     def __init__(self, fields: list[T.StructField], timeout_us: int):
-        self.fields, self.timeout_us = fields, timeout_us
-        self.names = [f.name for f in fields]
+        names = [f.name for f in fields]
+        self.timeout_us, self.width, self.us = timeout_us, len(fields), names.index("us")
+        self.columns = (*names, "salt", "t0", "is_origin")
+        types = [f.dataType.simpleString() for f in fields]
+        self.output = ", ".join([*(f"{n} {t}" for n, t in zip(names, types, strict=True)), "t0 bigint", "ready_ts timestamp"])
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getListState("waiting", T.StructType(self.fields))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def on_rows(self, key, rows, held, watermark_ms):
         # A filter on the session before this would be pushed below the watermark, which end marks are there to move.
         if key[0] is None:
             return
-        frames = [f for f in rows if len(f)]
-        origins = [f.loc[f["is_origin"], "t0"] for f in frames]
-        origins = [o for o in origins if len(o)]
-        if not origins:
-            for frame in frames:
-                self.waiting.appendList(list(zip(*[frame[c].tolist() for c in self.names], strict=True)))
+        t0 = next((r[-2] for r in rows if r[-1]), None)
+        waiting = [r[: self.width] for r in rows if not r[-1]]
+        if t0 is None:
+            held.state = [*(held.state or []), *waiting]
             return
-        t0 = int(origins[0].iloc[0])
-        if self.waiting.exists():
-            held = pd.DataFrame(list(self.waiting.get()), columns=self.names)
-            self.waiting.clear()
-            yield self._released(held, t0)
-        for frame in frames:
-            yield self._released(frame.loc[~frame["is_origin"], self.names], t0)
-
-    def _released(self, frame: pd.DataFrame, t0: int) -> pd.DataFrame:
-        ready = pd.to_datetime(frame["us"].astype("int64") + self.timeout_us + 1000, unit="us")
-        return frame.assign(t0=t0, ready_ts=ready)
+        for row in itertools.chain(held.state or [], waiting):
+            yield (*row, t0, pd.Timestamp((row[self.us] + self.timeout_us + 1000) * 1000))
+        held.state = None
 
-    def close(self) -> None:
-        pass
 
-
-class GridProcessor(StatefulProcessor):
+class Grid(KeyLogic):
     """Bounded gap fill on slots that may come in two portions, as a slot may lie in two windows of release.
 
     The newest slot of a stream waits for its other portion: until a later slot comes, or the watermark passes it.
+    State is the last slot that left, the one that waits, and the latest row.
     """
 
-    def __init__(self, max_fill: int | None, period_us: int, timeout_us: int, idle_us: int | None = None):
-        self.max_fill, self.period_us, self.timeout_us, self.idle_us = max_fill, period_us, timeout_us, idle_us
+    columns = ("session_id", "stream_id", "slot", "us", "seq", "value", "rows", "t0")
+    output = FILL_OUTPUT
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        fields = [(n, T.LongType()) for n in ("slot", "us", "seq")] + [("value", T.DoubleType())]
-        previous = T.StructType([T.StructField(n, t) for n, t in fields])
-        pending = T.StructType([T.StructField(n, t) for n, t in [*fields, ("rows", T.LongType()), ("t0", T.LongType())]])
-        self.previous = handle.getValueState("previous", previous)
-        self.pending = handle.getValueState("pending", pending)
-        self.ending = Ending(handle, None if self.idle_us is None else self.idle_us + self.timeout_us)
+    def __init__(self, max_fill: int | None, period_us: int, timeout_us: int, idle_us: int | None = None):
+        self.max_fill, self.period_us, self.timeout_us = max_fill, period_us, timeout_us
+        self.idle_us = None if idle_us is None else idle_us + timeout_us
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = _ordered(rows, ["slot", "us", "seq"])
-        self.ending.saw(int(frame["us"].max()))
-        pending = self.pending.get() if self.pending.exists() else None
-        out: list[tuple] = []
-        for r in frame.itertuples(index=False):
-            value = None if pd.isna(r.value) else float(r.value)
-            now = (int(r.slot), int(r.us), int(r.seq), value, int(r.rows), int(r.t0))
+    def on_rows(self, key, rows, held, watermark_ms):
+        previous, pending, latest = held.state or (None, None, None)
+        for now in sorted((r[2:] for r in rows), key=lambda r: r[:3]):
+            latest = _latest(latest, now[1])
             if pending is not None and pending[0] == now[0]:
                 newest = max(pending, now, key=lambda p: p[1:3])
                 pending = (*newest[:4], pending[4] + now[4], now[5])
                 continue
             if pending is not None:
-                yield from self._emit(key, pending, out)
+                yield from self._emit(key, previous, pending)
+                previous = pending[:4]
             pending = now
-        self.pending.update(pending)
-        self.handle.registerTimer(self._due(pending))
-        if out:
-            yield FillProcessor._frame(out)
+        self._keep(held, previous, pending, latest)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.pending.exists():
-            pending, out = self.pending.get(), []
-            if self._due(pending) <= timerValues.getCurrentWatermarkInMs():
-                yield from self._emit(key, pending, out)
-                yield FillProcessor._frame(out)
-                self.pending.clear()
-        if not self.pending.exists() and self.ending.is_over(timerValues):
-            self.previous.clear()
+    def on_time(self, key, held, watermark_ms):
+        previous, pending, latest = held.state
+        if pending is not None and self._due(pending) <= watermark_ms:
+            yield from self._emit(key, previous, pending)
+            previous, pending = pending[:4], None
+        self._keep(held, previous, pending, latest)
+        if pending is None and held.due is not None and held.due <= watermark_ms:
+            held.state = held.due = None
+
+    def _keep(self, held, previous, pending, latest):
+        held.state = (previous, pending, latest)
+        held.due = _expiry(latest, self.idle_us) if pending is None else self._due(pending)
 
     def _due(self, pending: tuple) -> int:
         """When every window of release that touches the slot has passed."""
         slot, t0 = pending[0], pending[5]
         return (t0 + (slot + 3) * self.period_us + self.timeout_us) // 1000 + 2
 
-    def _emit(self, key, slot: tuple, out: list[tuple]) -> Iterator[pd.DataFrame]:
-        last = self.previous.get() if self.previous.exists() else None
+    def _emit(self, key, last, slot):
         gap = 0 if last is None else slot[0] - last[0] - 1
         if self.max_fill is not None and gap > self.max_fill:
-            out.append((*key, last[0] + 1, slot[0] - 1, "skipped", None, None, None, 0, 0, gap))
+            yield (*key, last[0] + 1, slot[0] - 1, "skipped", None, None, None, 0, 0, gap)
         else:
             for s in range(slot[0] - gap, slot[0]):
-                out.append((*key, s, s, "filled", last[1], last[2], last[3], 0, 0, 0))
-                if len(out) >= MAX_FILL_ROWS:
-                    yield FillProcessor._frame(out)
-                    out.clear()
-        out.append((*key, slot[0], slot[0], "fresh", slot[1], slot[2], slot[3], slot[4] - 1, 0, 0))
-        self.previous.update(slot[:4])
-
-    def close(self) -> None:
-        pass
+                yield (*key, s, s, "filled", last[1], last[2], last[3], 0, 0, 0)
+        yield (*key, slot[0], slot[0], "fresh", slot[1], slot[2], slot[3], slot[4] - 1, 0, 0)
 
 
 class ThinProcessor(StatefulProcessor):
@@ -411,7 +467,7 @@ MERGE_OUTPUT = (
 )
 
 
-class MergeProcessor(StatefulProcessor):
+class Merge(KeyLogic):
     """Merges the streams of a session by (dts, stream_index, seq) as far as no earlier row can come any more.
 
     Every stream brings its rows in that order. The frontier is the smallest last row over the open streams; rows up
@@ -419,55 +475,32 @@ class MergeProcessor(StatefulProcessor):
     Once all ``participants`` have ended a ``complete`` row tells how many rows there were, and the state is gone.
     """
 
+    columns = ("session_id", "stream_index", "seq", "pts", "dts", "kind")
+    output = MERGE_OUTPUT
+
     def __init__(self, participants: int):
         self.participants = participants
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        long, whole = T.LongType(), T.IntegerType()
-        fields = [("dts", long), ("stream_index", whole), ("seq", long), ("pts", long)]
-        self.waiting = handle.getListState("waiting", T.StructType([T.StructField(n, t) for n, t in fields]))
-        last = T.StructType([T.StructField("dts", long), T.StructField("open", T.BooleanType())])
-        self.streams = handle.getMapState("streams", T.StructType([T.StructField("stream_index", whole)]), last)
-        self.emitted = handle.getValueState("emitted", T.StructType([T.StructField("rows", long)]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def on_rows(self, key, rows, held, watermark_ms):
         if key[0] is None:
             return
-        frame = pd.concat(list(rows), ignore_index=True)
-        known = {k[0]: v for k, v in self.streams.iterator()}
-        ended = frame["kind"] == "eof"
-        for index, part in frame.groupby("stream_index"):
-            dts, open_ = known.get(int(index), (None, True))
-            top = part["dts"].max()
-            dts = dts if pd.isna(top) else int(top) if dts is None else max(dts, int(top))
-            known[int(index)] = (dts, open_ and not ended[part.index].any())
-            self.streams.updateValue((int(index),), known[int(index)])
-        data = frame.loc[~ended, ["dts", "stream_index", "seq", "pts"]]
-        packets = [*self.waiting.get()] if self.waiting.exists() else []
-        packets += [tuple(map(int, p)) for p in zip(*[data[c].tolist() for c in data], strict=True)]
+        packets, streams, before = held.state or ([], {}, 0)
+        for _, index, seq, pts, dts, kind in rows:
+            last, open_ = streams.get(index, (None, True))
+            top = last if dts is None else dts if last is None else max(last, dts)
+            streams[index] = (top, open_ and kind != "eof")
+            if kind != "eof":
+                packets.append((dts, index, seq, pts))
         packets.sort(key=lambda p: p[:3])
-        complete = len(known) >= self.participants
-        frontier = min(((v[0], k) for k, v in known.items() if v[1]), default=None)
+        complete = len(streams) >= self.participants
+        frontier = min(((v[0], k) for k, v in streams.items() if v[1]), default=None)
         over = complete and frontier is None
-        ready = 0 if not complete else len(packets) if over else bisect.bisect_right(packets, frontier, key=lambda p: tuple(p[:2]))
-        before = self.emitted.get()[0] if self.emitted.exists() else 0
-        out = [(key[0], "data", p[1], p[2], p[3], p[0], before + i + 1) for i, p in enumerate(packets[:ready])]
+        ready = 0 if not complete else len(packets) if over else bisect.bisect_right(packets, frontier, key=lambda p: p[:2])
+        for i, p in enumerate(packets[:ready]):
+            yield (key[0], "data", p[1], p[2], p[3], p[0], before + i + 1)
         if over:
-            out.append((key[0], "complete", None, None, None, None, before + ready))
-            self.streams.clear()
-            self.waiting.clear()
-            self.emitted.clear()
-        else:
-            self.emitted.update((before + ready,))
-            self.waiting.clear()
-            if ready < len(packets):
-                self.waiting.put([tuple(p) for p in packets[ready:]])
-        if out:
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in MERGE_OUTPUT.split(", ")])
-            yield frame.astype({"stream_index": "Int32", "seq": "Int64", "pts": "Int64", "dts": "Int64"})
-
-    def close(self) -> None:
-        pass
+            yield (key[0], "complete", None, None, None, None, before + ready)
+        held.state = None if over else (packets[ready:], streams, before + ready)
 
 
 BLOCK_OUTPUT = (
@@ -522,48 +555,35 @@ DASHBOARD_OUTPUT = (
 )
 
 
-class DashboardProcessor(StatefulProcessor):
+class Dashboard(KeyLogic):
     """Status rows of a session: counters and latency quantiles so far, and rates since the row before.
 
     The input has the counts of a tick per latency bucket, a tick complete in one micro-batch. State is the last
     snapshot and one histogram (as many buckets as the latencies spread over, three digits).
     """
 
-    COUNTERS = ("received", "dropped", "bytes")
+    columns = ("session_id", "at_us", "bucket_high", "received", "dropped", "bytes")
+    output = DASHBOARD_OUTPUT
 
     def __init__(self, idle_us: int | None = None):
         self.idle_us = idle_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        long = T.LongType()
-        last = T.StructType([T.StructField(n, long) for n in ("at_us", *self.COUNTERS)])
-        self.last = handle.getValueState("last", last)
-        pairs = T.StructType([T.StructField(n, T.ArrayType(long)) for n in ("highs", "rows")])
-        self.histogram = handle.getValueState("histogram", pairs)
-        self.ending = Ending(handle, self.idle_us)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True)
-        last = self.last.get() if self.last.exists() else None
-        counts = dict(zip(*self.histogram.get(), strict=True)) if self.histogram.exists() else {}
-        out = []
-        for at_us, tick in frame.groupby("at_us", sort=True):
-            for high, n in zip(tick["bucket_high"], tick["received"], strict=True):
-                if not pd.isna(high):
-                    counts[int(high)] = counts.get(int(high), 0) + int(n)
-            before = last[1:] if last is not None else (0, 0, 0)
-            now = (int(at_us), *[b + int(tick[c].sum()) for b, c in zip(before, self.COUNTERS, strict=True)])
-            out.append((key[0], *now, *self._rates(last, now), *self._quantiles(counts, 0.5, 0.99)))
-            last = now
-        self.last.update(last)
-        highs = sorted(counts)
-        self.histogram.update((highs, [counts[h] for h in highs]))
-        self.ending.saw(last[0])
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in DASHBOARD_OUTPUT.split(", ")])
-        yield frame.astype({"p50_us": "Int64", "p99_us": "Int64"})
+    def on_rows(self, key, rows, held, watermark_ms):
+        last, counts = held.state or (None, {})
+        rows.sort(key=lambda r: r[1])
+        for at_us, tick in itertools.groupby(rows, key=lambda r: r[1]):
+            now = [at_us, *(last[1:] if last is not None else (0, 0, 0))]
+            for _, _, high, *added in tick:
+                if high is not None:
+                    counts[high] = counts.get(high, 0) + added[0]
+                # A counter is null where all its values of the tick and bucket are.
+                now[1:] = [b + (a or 0) for b, a in zip(now[1:], added, strict=True)]
+            yield (key[0], *now, *self._rates(last, now), *self._quantiles(counts, 0.5, 0.99))
+            last = tuple(now)
+        held.state, held.due = (last, counts), _expiry(last[0], self.idle_us)
 
     @staticmethod
-    def _rates(last: tuple | None, now: tuple) -> tuple:
+    def _rates(last: tuple | None, now: Sequence[int]) -> tuple:
         if last is None:
             return None, None, None
         seconds = (now[0] - last[0]) / US_PER_SEC
@@ -574,14 +594,9 @@ class DashboardProcessor(StatefulProcessor):
     @staticmethod
     def _quantiles(counts: dict[int, int], *quantiles: float) -> list[int | None]:
         highs = sorted(counts)
-        upto = np.cumsum([counts[h] for h in highs])
-        return [highs[int(np.searchsorted(upto, upto[-1] * q))] if highs else None for q in quantiles]
+        upto = list(itertools.accumulate(counts[h] for h in highs))
+        return [highs[bisect.bisect_left(upto, upto[-1] * q)] if highs else None for q in quantiles]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.ending.is_over(timerValues):
-            self.last.clear()
-            self.histogram.clear()
+    def on_time(self, key, held, watermark_ms):
+        held.state = held.due = None
         yield from ()
-
-    def close(self) -> None:
-        pass

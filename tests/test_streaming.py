@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from streamgrid.operators import blocks, drift, grid
 from streamgrid.operators.origin import attach_origin, common_origin, trim_pre_origin
 from streamgrid.schema import OBSERVATIONS
-from streamgrid.streaming import operators, replay, sinks, windows
+from streamgrid.streaming import operators, processors, replay, sinks, windows
 
 P = 1_000_000
 LOOKAHEAD = 2_000_000
@@ -320,3 +321,49 @@ def test_status_rows_count_missing_latencies_and_end(spark, session_feed):
         assert slow[-1] * 0.98 <= row["p99_us"] <= slow[-1] * 1.001
     # The end mark is a session of its own and the last row of all.
     assert state <= 3
+
+
+class _Handle:
+    """One list state and the timers of a group, with the state accesses counted."""
+
+    def __init__(self):
+        self.rows, self.calls, self.timers, self.now = [], 0, [], 0
+        self.getListState = lambda name, schema: self
+        self.registerTimer = self.timers.append
+        self.getCurrentWatermarkInMs = lambda: self.now
+
+    def exists(self):
+        self.calls += 1
+        return bool(self.rows)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls += 1
+        self.rows = rows
+
+    def clear(self):
+        self.calls += 1
+        self.rows = []
+
+
+def test_keys_of_a_bucket_share_calls_and_frames():
+    handle, keys = _Handle(), [f"u{i}" for i in range(500)]
+    barrier = processors.BucketProcessor(processors.Barrier(2, 10 * SECOND, idle_us=50 * SECOND), ["session_id"], ["first_us", "last_us"])
+    barrier.init(handle)
+
+    def send(stream, us, sessions):
+        frame = pd.DataFrame({"session_id": sessions, "stream_id": stream, "first_us": us, "last_us": us})
+        return [f for f in barrier.handleInputRows((0,), iter([frame]), handle)]
+
+    assert send("a", 1 * SECOND, keys) == [] and len(handle.rows) == 500
+    out = send("b", 3 * SECOND, keys[:400])
+    assert [len(f) for f in out] == [400] and set(out[0]["t0"]) == {3 * SECOND}
+    handle.now = 11_001
+    out = [f for f in barrier.handleExpiredTimer((0,), handle, None)]
+    assert [len(f) for f in out] == [100] and out[0]["timed_out"].all() and set(out[0]["t0"]) == {1 * SECOND}
+    handle.now = 70_000
+    assert [f for f in barrier.handleExpiredTimer((0,), handle, None)] == [] and handle.rows == []
+    assert handle.calls <= 12 and len(handle.timers) <= 4
